@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: What separates words everywhere in this package: ASCII white space only.
@@ -42,6 +44,10 @@ _IS_BLANK = np.zeros(256, dtype=bool)
 _IS_BLANK[[32, *range(9, 14)]] = True
 #: An odd 64-bit constant: multiplying by it loses nothing modulo 2**64.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Masks that keep the first n of eight bytes.
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+#: Texts are hashed in chunks of about this many bytes; a longer text is a chunk of its own.
+CHUNK_BYTES = 1 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -53,35 +59,47 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2**64, by doubling."""
-    out = np.ones(max(n, 1), dtype=np.uint64)
-    have = 1
-    while have < n:
-        step = min(have, n - have)
-        out[have : have + step] = out[:step] * (out[have - 1] * _BASE)
-        have += step
-    return out
+def _hash_chunk(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the texts raw[starts[k]:starts[k + 1]], and where each text's words begin among them.
 
-
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash for each word `[^\\x20\\x09-\\x0D]+` of a text, A-Z lowered; one pass over its bytes.
-
-    Words are summed as polynomials in an odd base, so a word's hash is a difference of two prefix sums.
+    All words are hashed together, eight bytes at a time: the loop runs once per eight bytes of the longest word,
+    over the words that are still that long.
     """
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
     if not len(raw):
-        return np.empty(0, dtype=np.uint64)
-    solid = ~_IS_BLANK[raw]
-    edge = np.diff(solid.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
-    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(begin):
-        return np.empty(0, dtype=np.uint64)
-    # within a word the i-th byte counts with power i, so equal words at different places hash alike
-    length = end - begin
-    place = np.arange(len(raw))
-    at = place - np.maximum.accumulate(np.where(edge[:-1] == 1, place, 0))
-    power = _powers(int(length.max()))
-    value = np.where(solid, (_LOWER[raw].astype(np.uint64) + np.uint64(1)) * power[np.minimum(at, len(power) - 1)], np.uint64(0))
-    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(value, dtype=np.uint64)))
-    return mix64(total[end] - total[begin] + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return np.empty(0, dtype=np.uint64), np.zeros(len(starts), dtype=np.int64)
+    blank = _IS_BLANK[raw]
+    first = ~blank
+    first[1:] &= blank[:-1]
+    heads = starts[:-1][starts[:-1] < len(raw)]
+    first[heads] = ~blank[heads]
+    last = ~blank
+    last[:-1] &= blank[1:] | first[1:]
+    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    padded = np.zeros(len(raw) + 8, dtype=np.uint8)
+    padded[: len(raw)] = _LOWER[raw]
+    eight = np.ndarray((len(raw),), dtype="<u8", buffer=padded, strides=(1,))
+    hashes = (end - begin).astype(np.uint64) * _BASE
+    active, at, left = slice(None), begin, end - begin
+    while True:
+        value = eight[at] & _LOW_BYTES[np.minimum(left, 8)]
+        hashes[active] = mix64(hashes[active] ^ value) * _BASE
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return hashes, np.searchsorted(begin, starts)
+        active = more if isinstance(active, slice) else active[more]
+        at, left = at[more] + 8, left[more] - 8
+
+
+def word_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
+    """For each text the 64-bit hashes of its words `[^\\x20\\x09-\\x0D]+`, A-Z lowered; a null text has none."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, dtype=np.uint8)
+    k = 0
+    while k < len(texts):
+        upto = max(k + 1, int(np.searchsorted(bounds, bounds[k] + CHUNK_BYTES, side="right")) - 1)
+        hashes, where = _hash_chunk(raw[bounds[k] : bounds[upto]], bounds[k : upto + 1] - bounds[k])
+        for a, b in zip(where[:-1], where[1:], strict=True):
+            yield hashes[a:b]
+        k = upto
