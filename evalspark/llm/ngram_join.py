@@ -43,9 +43,10 @@ NUM, DEN = 3, 4
 BLOCK_DOCS, BLOCK_SHINGLES = 20_000, 1_500_000
 #: Slices of the hash space per shuffle partition, for balance.
 SLICES = 4
-#: Fixed pivots of the suffix filter: the set is cut into this many parts by the leading bits of the hash.
-PARTS = 16
-STAR_ROUNDS = 2
+#: Fixed pivots of the suffix filter: sets are cut into this many parts by the leading bits of the hash, and the
+#: parities of the parts' sizes are kept as bits. Of two sets, as many shingles differ at least as parities do.
+PARTS = 1024
+_WORDS_OF_PARTS = PARTS // 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
 
@@ -65,9 +66,6 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return np.unique(mix64(total))
 
 
-def _rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
-
 
 def _key(docs: DataFrame, doc_id: str, text: str) -> Column:
     """A row's key: rows of equal id and text are one document."""
@@ -101,6 +99,12 @@ def _emit(blocks: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(blocks, schema=_BLOCK_SCHEMA)
 
 
+def _parities(s: np.ndarray) -> np.ndarray:
+    """The parities of the sizes of a set's parts, as packed bits."""
+    sizes = np.bincount((s >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64), minlength=PARTS)
+    return np.packbits((sizes & 1).astype(np.uint8))
+
+
 def _packed(sets: Iterator[tuple[int, np.ndarray]], n_slices: int, wide: bool) -> Iterator[dict]:
     """Blocks of a stream of (key, set): one with what belongs to the documents, and one per slice of the hash space."""
 
@@ -110,10 +114,7 @@ def _packed(sets: Iterator[tuple[int, np.ndarray]], n_slices: int, wide: bool) -
         batch = int.from_bytes(hashlib.blake2b(ids.tobytes(), digest_size=8).digest(), "little", signed=True)
         every = np.concatenate(parts)
         idx = np.repeat(np.arange(len(ns), dtype=np.uint16), ns)
-        cuts = np.zeros((len(ns), PARTS), dtype="<u4")
-        if wide:
-            np.add.at(cuts, (idx, (every >> np.uint64(60)).astype(np.int64)), 1)
-        yield _block(-1, batch, keys=ids, ns=ns, parts=cuts if wide else cuts[:0])
+        yield _block(-1, batch, keys=ids, ns=ns, parts=np.concatenate([_parities(s) for s in parts]) if wide else ns[:0])
         at = ((every >> np.uint64(32)) * np.uint64(n_slices) >> np.uint64(32)).astype(np.uint32)
         order = np.argsort(at.astype(np.uint16) if n_slices <= 65_536 else at, kind="stable")
         every, idx, at = every[order], idx[order], at[order]
@@ -229,12 +230,12 @@ def set_table(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text:
     return narrow.mapInArrow(sets, "key long, n int, shingles binary").dropDuplicates(["key"])
 
 
-_POSTING = "shingle long, key long, n int, pos int, own int, parts array<int>"
+_POSTING = "shingle long, key long, n int, pos int, own int, " + f"parts struct<{', '.join(f'p{k}: long' for k in range(_WORDS_OF_PARTS))}>"
 
 
 def postings(sets: DataFrame) -> DataFrame:
     """A row per shingle of a set's prefix that other sets have too: its place in the rare-first order, the number of
-    the set's own shingles (no other has them; they come first), and the sizes of the set's parts."""
+    the set's own shingles (no other has them; they come first), and the parities of the set's parts."""
     n_slices = SLICES * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +248,7 @@ def postings(sets: DataFrame) -> DataFrame:
             if not rest:
                 continue
             keys, ns = np.frombuffer(head["keys"], dtype="<i8"), np.frombuffer(head["ns"], dtype="<u4").astype(np.int64)
-            parts = np.frombuffer(head["parts"], dtype="<u4").reshape(-1, PARTS)
+            parts = np.frombuffer(head["parts"], dtype="<i8").reshape(-1, _WORDS_OF_PARTS)
             idx = np.concatenate([np.frombuffer(r["idx"], dtype="<u2") for r in rest]).astype(np.int64)
             hashes = np.concatenate([np.frombuffer(r["hashes"], dtype="<u8") for r in rest])
             dfs = np.concatenate([np.frombuffer(r["dfs"], dtype="<u4") for r in rest])
@@ -260,25 +261,21 @@ def postings(sets: DataFrame) -> DataFrame:
             take = (m >= _least_shared(ns))[idx] & (pos < prefix[idx])
             idx = idx[take]
             if len(idx):
-                sizes = pa.ListArray.from_arrays(pa.array(np.arange(len(idx) + 1, dtype=np.int32) * PARTS), pa.array(parts[idx].ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[take].view(np.int64)), pa.array(keys[idx]), pa.array(ns[idx].astype(np.int32)), pa.array(pos[take].astype(np.int32)), pa.array(own[idx].astype(np.int32)), sizes], names=["shingle", "key", "n", "pos", "own", "parts"])
+                bits = pa.StructArray.from_arrays([pa.array(parts[idx, k]) for k in range(_WORDS_OF_PARTS)], names=[f"p{k}" for k in range(_WORDS_OF_PARTS)])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[take].view(np.int64)), pa.array(keys[idx]), pa.array(ns[idx].astype(np.int32)), pa.array(pos[take].astype(np.int32)), pa.array(own[idx].astype(np.int32)), bits], names=["shingle", "key", "n", "pos", "own", "parts"])
 
     return _exchange(sets.select("key", "shingles").mapInArrow(pack, _BLOCKS), wide=True).mapInArrow(prefixes, _POSTING)
 
 
-def admitted(first: bool = True) -> Column:
-    """Whether the filters admit a pair x, y, found by a shingle at places x.pos, y.pos of their orders.
-
-    first: it is the first shingle that both prefixes have; else shingles before it may be shared too.
-    """
+def admitted() -> Column:
+    """Whether the length, positional and suffix filters admit a pair x, y, found by a shingle at places x.pos, y.pos
+    of their orders. Shingles before it may be shared too, as many as the smaller place."""
     c = F.col
     total = c("x.n") + c("y.n")
     needed = F.ceil(total * NUM / (NUM + DEN))
     length = (c("x.n") * DEN >= c("y.n") * NUM) & (c("y.n") * DEN >= c("x.n") * NUM)
-    before = F.lit(0) if first else F.least("x.pos", "y.pos")
-    positional = before + F.least(c("x.n") - c("x.pos"), c("y.n") - c("y.pos")) >= needed
-    # what the parts of two sets differ in size, they differ in shingles at least
-    apart = F.aggregate(F.zip_with("x.parts", "y.parts", lambda a, b: F.abs(a - b)), F.lit(0), lambda a, b: a + b)
+    positional = F.least("x.pos", "y.pos") + F.least(c("x.n") - c("x.pos"), c("y.n") - c("y.pos")) >= needed
+    apart = sum((F.bit_count(c(f"x.parts.p{k}").bitwiseXOR(c(f"y.parts.p{k}"))) for k in range(_WORDS_OF_PARTS)), F.lit(0))
     return length & positional & (apart <= total - 2 * needed)
 
 
@@ -305,10 +302,8 @@ def _pairs(found: DataFrame) -> DataFrame:
     return found.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def _mixed(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _mixed(posts: DataFrame, labels: DataFrame) -> DataFrame:
     """Postings of shingles that more than one component has, with their components."""
-    if labels is None:
-        return posts.withColumn("component", F.col("key"))
     named = posts.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     mixed = named.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("shingle")
     return named.join(mixed, "shingle", "left_semi")
@@ -318,12 +313,12 @@ def _star_pairs(posts: DataFrame) -> DataFrame:
     """Each posting with the centre of its shingle: the set with the least share of its own shingles, then the least key."""
     centre = posts.groupBy("shingle").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "key", "n", "pos", "parts", "component")).alias("y"))
     found = posts.alias("x").join(centre, "shingle").filter((F.col("x.key") != F.col("y.key")) & (F.col("x.component") != F.col("y.component")))
-    return _pairs(found.filter(admitted(first=False)))
+    return _pairs(found.filter(admitted()))
 
 
 def _cross_pairs(posts: DataFrame) -> DataFrame:
     """All admitted pairs of postings in different components: those outside a shingle's largest component against
-    the rest. The first shingle of a pair is where its smaller place is."""
+    the rest."""
     sizes = posts.groupBy("shingle", "component").count()
     largest = sizes.groupBy("shingle").agg(F.max(F.struct("count", "component")).alias("m")).select("shingle", F.col("m.component").alias("largest"))
     outside = posts.join(largest, "shingle").filter("component <> largest")
@@ -331,23 +326,17 @@ def _cross_pairs(posts: DataFrame) -> DataFrame:
     # a pair of two outside postings would come twice; the smaller key takes it
     once = (F.col("y.component") == F.col("x.largest")) | (F.col("x.key") < F.col("y.key"))
     found = x.join(y, F.col("x.shingle") == F.col("y.shingle")).filter((F.col("x.component") != F.col("y.component")) & once)
-    return _pairs(found.filter(admitted(first=False)))
+    return _pairs(found.filter(admitted()))
 
 
 def links(sets: DataFrame) -> DataFrame:
     """Links (a, b) between sets that connect all that are similar enough, directly or through others."""
     posts = materialise(postings(sets), "jaccard-postings")
-    found = materialise(verify(_star_pairs(_mixed(posts, None)), sets), "jaccard-links")
-    for _ in range(STAR_ROUNDS - 1):
-        mixed = materialise(_mixed(posts, components(found)), "jaccard-mixed")
-        if mixed.isEmpty():
-            return found
-        more = materialise(verify(_star_pairs(mixed), sets), "jaccard-links")
-        if more.isEmpty():
-            break
-        found = found.unionByName(more)
+    compared = materialise(_star_pairs(posts.withColumn("component", F.col("key"))), "jaccard-stars")
+    found = materialise(verify(compared, sets), "jaccard-links")
     mixed = materialise(_mixed(posts, components(found)), "jaccard-mixed")
-    return found.unionByName(materialise(verify(_cross_pairs(mixed), sets), "jaccard-links"))
+    across = materialise(_cross_pairs(mixed).join(compared, ["a", "b"], "left_anti"), "jaccard-across")
+    return found.unionByName(materialise(verify(across, sets), "jaccard-links"))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
