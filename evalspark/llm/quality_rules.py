@@ -28,6 +28,10 @@ STOP_WORDS = (
     "el los las del y que en un una por con para no"
 ).split()
 
+#: Stop words as they stand within and at the head of sentences, and words in capitals (letters with case, no lower one).
+STOP_FORMS = sorted({*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)})
+ALL_CAPITALS = r"^\P{Ll}*\p{Lu}\P{Ll}*$"
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -94,6 +98,12 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, F.lit(0)).otherwise(_with(windows, marked))
 
 
+MEASURES = (
+    "n_words word_chars n_symbols n_dup_lines n_repeat_words n_stop_words mean_word_chars symbols_per_word "
+    "capital_ratio dup_line_ratio bullet_line_ratio ellipsis_line_ratio repeat_ratio"
+).split()
+
+
 def measures(text: Column) -> Column:
     """A struct of every measure of a text; null counts as empty."""
     text = F.coalesce(text, F.lit(""))
@@ -105,8 +115,8 @@ def measures(text: Column) -> Column:
         n_symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
         dup_lines = n_lines - F.size(F.array_distinct(lines))
         repeated = _repeat_words(words)
-        stop = F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS)))
-        capital = F.size(F.filter(words, lambda w: (F.length(w) > 1) & (w == F.upper(w)) & (w != F.lower(w))))
+        stop = F.size(F.filter(words, lambda w: w.isin(STOP_FORMS)))
+        capital = F.size(F.filter(words, lambda w: (F.length(w) > 1) & w.rlike(ALL_CAPITALS)))
         bullets = F.size(F.filter(lines, lambda x: F.ltrim(x).rlike(r"^[-*•]")))
         dots = F.size(F.filter(lines, lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…")))
         ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -149,18 +159,27 @@ def compile_rules(m: Column, rules: tuple[Rule, ...] = RULES) -> dict[str, Colum
     return out
 
 
+def assessment(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """A struct of a text's measures, base_failed, failed (names of failed rules) and kept. It is one expression in
+    which the measures are computed once, so a filter on a field of it costs what the struct costs."""
+    names = MEASURES
+
+    def judged(m: Column) -> Column:
+        failed = F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in compile_rules(m, rules).items()]))
+        return F.struct(*[m[c].alias(c) for c in names], base_failed(m).alias("base_failed"), failed.alias("failed"))
+
+    def decided(j: Column) -> Column:
+        kept = ~j["base_failed"] & (F.size(j["failed"]) == 0)
+        return F.struct(*[j[c].alias(c) for c in (*names, "base_failed", "failed")], kept.alias("kept"))
+
+    return _with(_with(measures(text), judged), decided)
+
+
 def assess(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, into: str = "quality") -> DataFrame:
-    """docs with a struct column `into`: measures, base_failed, failed (names of failed rules) and kept."""
-    measured = docs.withColumn(into, measures(docs[text]))
-    m = measured[into]
-    failed = F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in compile_rules(m, rules).items()]))
-    base = base_failed(m)
-    return measured.withColumn(
-        into,
-        F.struct(
-            *[m[f.name].alias(f.name) for f in measured.schema[into].dataType.fields],
-            base.alias("base_failed"),
-            failed.alias("failed"),
-            (~base & (F.size(failed) == 0)).alias("kept"),
-        ),
-    )
+    """docs with the struct column `into` of their assessment."""
+    return docs.withColumn(into, assessment(docs[text], rules))
+
+
+def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs that pass the base rule and all of the table's."""
+    return docs.filter(assessment(docs[text], rules)["kept"])
