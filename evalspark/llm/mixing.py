@@ -55,8 +55,8 @@ def targets(sizes: DataFrame, source: str = "source", weights: tuple[int, ...] =
     left = total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     weight_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     per = per.withColumn("level", left / weight_left).withColumn("full", F.col("cap") / F.col("weight") <= F.col("level"))
-    # the level of the first source that is not full holds for all that are not
-    level = F.min(F.when(~F.col("full"), F.col("level"))).over(everything)
+    # the level of the first source that is not full holds for all that are not; after it the levels fall
+    level = F.max(F.when(~F.col("full"), F.col("level"))).over(everything)
     target = F.when(F.col("full"), F.col("cap")).otherwise(level * F.col("weight"))
     return per.select(F.col(source), "source_size", target.alias("target"))
 

@@ -139,7 +139,7 @@ reach AS (
 SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id
 FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(other) AS component_id FROM reach GROUP BY node) c USING (doc_id)"""
 
-_STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(quality_rules.STOP_WORDS))
+_STOPS = ", ".join(f"'{w}'" for w in quality_rules.STOP_FORMS)
 _OP6 = rf"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS words,
@@ -152,8 +152,8 @@ m AS (
   SELECT t.doc_id, len(words) AS n_words, list_sum(list_transform(words, lambda w: length(w)))::BIGINT AS chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines, coalesce(r.n, 0) AS n_repeat_words,
-    len(list_filter(words, lambda w: lower(w) IN ({_STOPS}))) AS n_stop,
-    len(list_filter(words, lambda w: length(w) > 1 AND w = upper(w) AND w <> lower(w))) AS n_capital,
+    len(list_filter(words, lambda w: w IN ({_STOPS}))) AS n_stop,
+    len(list_filter(words, lambda w: length(w) > 1 AND regexp_matches(w, '{quality_rules.ALL_CAPITALS}'))) AS n_capital,
     len(list_filter(lines, lambda x: regexp_matches(x, '^ *[-*•]'))) AS n_bullets,
     len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…) *$'))) AS n_dots
   FROM t LEFT JOIN repeated r ON r.doc_id = t.doc_id)
@@ -177,7 +177,7 @@ filled AS (
   SELECT *, (sum(s) OVER () - coalesce(sum(cap) OVER f, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER f, 0)) AS level
   FROM weighed WINDOW f AS (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 planned AS (
-  SELECT source, s, CASE WHEN cap / w <= level THEN cap ELSE min(level) FILTER (cap / w > level) OVER () * w END AS target FROM filled),
+  SELECT source, s, CASE WHEN cap / w <= level THEN cap ELSE max(level) FILTER (cap / w > level) OVER () * w END AS target FROM filled),
 shared AS (
   SELECT *, floor(coalesce(target / nullif(s, 0), 0) + 1e-12)::BIGINT AS base FROM planned),
 steps AS (
