@@ -12,8 +12,7 @@ from evalspark.llm.shared import work_dir
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    assessed = quality_rules.assess(docs, into="_quality")
-    return assessed.filter("_quality.kept").select(*docs.columns)
+    return quality_rules.keep(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
