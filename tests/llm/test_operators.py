@@ -244,7 +244,7 @@ def test_toxicity_learns_from_labels(spark):
     rng = random.Random(8)
     rows, labels = [], []
     for i in range(400):
-        ws = words(30, i, 2000)
+        ws = ["".join(chr(97 + int(c)) for c in w[1:]) for w in words(30, i, 2000)]
         if i % 5 == 0:
             ws[rng.randrange(30)] = f"blorg{rng.choice(['a', 'en', 'ish'])}"
         rows.append((i, " ".join(ws)))
