@@ -51,21 +51,40 @@ def tokens(text: Column) -> Column:
     return F.when(text.rlike(CJK), chars).otherwise(words(text))
 
 
-def edit_distance(reference: Column, hypothesis: Column) -> Column:
+#: Code points but the 2,048 surrogates, so many tokens have a character each.
+ALPHABET = 0x10FFFF - 2048
+
+
+def edit_distance(reference: Column, hypothesis: Column, alphabet: int = ALPHABET) -> Column:
     """Levenshtein distance of two arrays of tokens.
 
-    Each distinct token of a pair becomes one character, so the built-in string distance does the work (up to about
-    20,000 distinct tokens a pair).
+    Each distinct token of a pair becomes one character, so the built-in string distance does the work; a pair of
+    more than `alphabet` distinct tokens is folded row by row over the tokens themselves.
     """
 
     def encoded(s: Column) -> Column:
-        code = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(s["v"], t) + 19967), 4, "0")), "UTF-16BE")
+        point = lambda n: F.when(n < 0xD800, n).otherwise(n + 2048)
+        code = lambda t: F.decode(F.unhex(F.lpad(F.hex(point(F.array_position(s["v"], t))), 8, "0")), "UTF-32")
         one = lambda a: F.array_join(F.transform(a, code), "")
-        return F.levenshtein(one(s["r"]), one(s["h"]))
+        return F.when(F.size(s["v"]) <= alphabet, F.levenshtein(one(s["r"]), one(s["h"]))).otherwise(_edit_rows(s["r"], s["h"]))
 
     return let(F.struct(reference.alias("r"), hypothesis.alias("h"), F.array_distinct(F.concat(reference, hypothesis)).alias("v")), encoded)
 
 
+def _edit_rows(r: Column, h: Column) -> Column:
+    """Levenshtein distance by one fold per token of r."""
+
+    def row(previous: Column, token: Column) -> Column:
+        def step(now: Column, j: Column) -> Column:
+            swapped = F.element_at(previous, j) + F.when(F.element_at(h, j) == token, 0).otherwise(1)
+            return F.concat(now, F.array(F.least(swapped, F.element_at(now, -1) + 1, F.element_at(previous, j + 1) + 1)))
+
+        first = F.array(F.element_at(previous, 1) + 1)
+        return F.when(F.size(h) == 0, first).otherwise(F.aggregate(F.sequence(F.lit(1), F.size(h)), first, step))
+
+    return F.element_at(F.aggregate(r, F.sequence(F.lit(0), F.size(h)), row), -1)
+
+
 def common_count(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two arrays."""
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evalspark.functions import instructions as I
 from evalspark.functions import process as P
 from evalspark.functions import text as T
+from evalspark.functions import text_udf as U
 from evalspark.operators import intervals, metrics
 from evalspark.session import table
 from evalspark.streaming import events as streams
@@ -263,6 +264,12 @@ def failure_taxonomy(spark, sf_dir):
 # Text functions and evaluators.
 
 
+def _sides(conversations: DataFrame) -> DataFrame:
+    """(conv_id, r, h): all words of the user's and of the assistant's turns, in the order of the turns."""
+    c = conversations.groupBy("conv_id").agg(*[F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda s: s["text"]), " ").alias(n) for role, n in (("user", "u"), ("assistant", "a"))])
+    return c.select("conv_id", T.words(F.col("u")).alias("r"), T.words(F.col("a")).alias("h"))
+
+
 @query(r"""
 WITH p AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) FILTER (role = 'user') AS u, string_agg(text, ' ' ORDER BY turn) FILTER (role = 'assistant') AS a FROM conversations GROUP BY conv_id),
 w AS (SELECT conv_id, list_slice(regexp_extract_all(coalesce(u, ''), '\S+'), 1, 20) AS r, list_slice(regexp_extract_all(coalesce(a, ''), '\S+'), 1, 20) AS h FROM p),
@@ -270,9 +277,15 @@ v AS (SELECT *, list_distinct(list_concat(r, h)) AS v FROM w)
 SELECT sum(levenshtein(array_to_string(list_transform(r, lambda t: chr(32 + list_position(v, t)::INT)), ''), array_to_string(list_transform(h, lambda t: chr(32 + list_position(v, t)::INT)), '')))::BIGINT AS errors,
   sum(len(r))::BIGINT AS reference_words FROM v""")
 def wer_corpus(spark, sf_dir):
-    """Word errors of the first twenty words a side (the length of the compared window is the feature), summed."""
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(*[F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda s: s["text"]), " ").alias(n) for role, n in (("user", "u"), ("assistant", "a"))])
-    sides = c.select(F.slice(T.words(F.col("u")), 1, 20).alias("r"), F.slice(T.words(F.col("a")), 1, 20).alias("h"))
+    """Word errors of the first twenty words a side, as its SQL has it; wer_whole compares whole texts."""
+    sides = _sides(table(spark, sf_dir, "conversations")).select(F.slice("r", 1, 20).alias("r"), F.slice("h", 1, 20).alias("h"))
+    return sides.agg(F.sum(T.edit_distance(F.col("r"), F.col("h"))).alias("errors"), F.sum(F.size("r")).alias("reference_words"))
+
+
+@query(None)
+def wer_whole(spark, sf_dir):
+    """Word errors of all the assistant's words of a conversation against all the user's, summed."""
+    sides = _sides(table(spark, sf_dir, "conversations"))
     return sides.agg(F.sum(T.edit_distance(F.col("r"), F.col("h"))).alias("errors"), F.sum(F.size("r")).alias("reference_words"))
 
 
@@ -347,10 +360,9 @@ def first_option(spark, sf_dir):
 
 @query(None)
 def rouge_l(spark, sf_dir):
-    """Longest common subsequence of the user's and assistant's first turns, as F1."""
-    c = table(spark, sf_dir, "conversations").filter("turn in (0, 1)").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("r"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("p"))
-    w = c.select("conv_id", T.words(F.col("r")).alias("r"), T.words(F.col("p")).alias("p"))
-    return w.select("conv_id", r6(T.f1(T.lcs_length(F.col("r"), F.col("p")), F.size("p"), F.size("r"))).alias("rouge_l"))
+    """Longest common subsequence of all the user's and all the assistant's words of a conversation, as F1."""
+    w = _sides(table(spark, sf_dir, "conversations"))
+    return w.select("conv_id", r6(T.f1(U.lcs_length("r", "h"), F.size("h"), F.size("r"))).alias("rouge_l"))
 
 
 @query(r"""
