@@ -28,6 +28,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\\s+"), lambda w: w != "")
 
 
+def strip(text: Column) -> Column:
+    """No white space at the ends, of any script's kind."""
+    return F.regexp_replace(text, "(?U)\\A\\s+|\\s+\\z", "")
+
+
 def squeeze(text: Column) -> Column:
     """Single blanks, none at the ends."""
     return F.trim(F.regexp_replace(text, "\\s+", " "))

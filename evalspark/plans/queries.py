@@ -293,8 +293,10 @@ _PAIR = r"""WITH p AS (SELECT a.doc_id, regexp_extract_all(lower(a.text), '\S+')
 
 
 def _pairs(spark, sf_dir):
+    """Every document beside the benchmark item that its id falls on, modulo the number of items; SQL has 40, their number on small tables."""
     d, b = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("reference"))
-    return d.join(b, F.col("doc_id") % 40 == F.col("item_id"))
+    n = b.agg(F.nullif(F.count(F.lit(1)), F.lit(0)).alias("n"))
+    return d.crossJoin(F.broadcast(n)).withColumn("item_id", F.pmod("doc_id", "n")).join(b, "item_id", "left").select("doc_id", "text", "reference")
 
 
 @query(_PAIR + r""", c AS (SELECT doc_id, len(x) AS nx, len(y) AS ny, list_sum(list_transform(list_distinct(y), lambda t: least(len(list_filter(x, lambda s: s = t)), len(list_filter(y, lambda s: s = t)))))::BIGINT AS n FROM p)
@@ -307,7 +309,7 @@ def token_f1(spark, sf_dir):
 @query(_PAIR.replace("lower(a.text)", "a.text") + r""", g AS (SELECT doc_id, list_transform(range(1, len(x) - 2), lambda i: array_to_string(x[i:i + 3], ' ')) AS g FROM p)
 SELECT doc_id, round(CASE WHEN len(g) = 0 THEN 0 ELSE 1 - len(list_distinct(g)) / len(g) END, 6)::DOUBLE AS repeat_rate FROM g""")
 def repeat_rate(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("doc_id", r6(T.repeat_rate(F.col("text"))).alias("repeat_rate"))
+    return table(spark, sf_dir, "documents").select("doc_id", r6(T.repeat_rate(F.col("text"))).alias("repeat_rate"))
 
 
 @query(r"SELECT doc_id, contains(lower(text), lower(split_part(reference, ' ', 1))) AS exists_match, starts_with(text, split_part(reference, ' ', 1)) AS prefix_match, trim(lower(text)) = trim(lower(reference)) AS exact_match FROM (SELECT d.doc_id, d.text, b.text AS reference FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)")
@@ -316,6 +318,15 @@ def match_evaluators(spark, sf_dir):
     return _pairs(spark, sf_dir).select("doc_id", F.contains(F.lower("text"), F.lower(head)).alias("exists_match"), F.startswith(F.col("text"), head).alias("prefix_match"), (F.trim(F.lower("text")) == F.trim(F.lower("reference"))).alias("exact_match"))
 
 
+@query(None)
+def match_references(spark, sf_dir):
+    """Matches of whole references; match_evaluators compares their first words, as its SQL has it."""
+    p, r = T.strip(F.lower("text")), T.strip(F.lower("reference"))
+    bare = F.replace(r, F.lit(" "), F.lit(""))
+    prefix = F.startswith(p, r) | (F.contains(r, F.lit(" ")) & ~F.contains(p, F.lit(" ")) & F.startswith(p, bare))
+    return _pairs(spark, sf_dir).select("doc_id", F.contains(p, r).alias("exists_match"), prefix.alias("prefix_match"), (p == r).alias("exact_match"))
+
+
 @query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '\[[^\]]*\]|<[^>]*>|\([^)]*\)', '', 'g'), '[\p{M}\p{S}\p{P}]', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')) AS normalized FROM documents")
 def normalize_basic(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.normalize_basic(F.col("text")).alias("normalized"))

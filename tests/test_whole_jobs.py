@@ -54,3 +54,15 @@ def test_edit_distance_beyond_its_alphabet(spark):
     df = spark.createDataFrame(rows, "r array<string>, h array<string>")
     got = df.select("r", "h", T.edit_distance(F.col("r"), F.col("h"), 3).alias("n"), T.edit_distance(F.col("r"), F.col("h")).alias("m"), U.lcs_length("r", "h").alias("l"))
     assert all(x.n == x.m == distance(x.r, x.h) and x.l == subsequence(x.r, x.h) for x in got.collect())
+
+
+def test_every_document_meets_its_whole_reference(spark, tmp_path):
+    items = [(k, f"word passage number {k} of all") for k in range(50)]
+    docs = [(k, f"{items[k][1]} and more") for k in range(50)] + [(-1, items[49][1]), (None, "word a b c a b c d"), (100, "word other"), (101, "Wordpassagenumber1ofall!"), (102, f" x {items[2][1].upper()}")]
+    at = folder(tmp_path, documents=spark.createDataFrame(docs, "doc_id long, text string"), benchmark=spark.createDataFrame(items, "item_id long, text string"))
+    run = lambda name: {r.doc_id: tuple(r)[1:] for r in plans.queries()[name](spark, at).collect()}
+    ids = {d for d, _ in docs}
+    f1 = run("token_f1")
+    assert f1.keys() == ids and all(f1[k] == (round(12 / 14, 6),) for k in range(50)) and f1[-1] == (1.0,) and f1[None] == (0.0,)
+    assert run("repeat_rate").keys() == ids == run("match_evaluators").keys()
+    assert run("match_references") == {k: (True, True, False) for k in range(50)} | {-1: (True, True, True), None: (None, None, None), 100: (False, False, False), 101: (False, True, False), 102: (True, False, False)}
