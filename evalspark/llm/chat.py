@@ -10,8 +10,8 @@ Template: system `<<SYS>> text <</SYS>>`, user `[INST] text [/INST]`, assistant
 string gets a backslash after its first character, so that no control string is left and `unescape` restores the text.
 
 Defined cases: a null text or role is the empty one; turns with equal numbers are ordered by role, then text, and are
-all kept; a message whose parent is missing is a root; messages on a cycle have no root and are left out; an empty
-table gives no conversations; further columns are not read.
+all kept; a message whose parent is missing is a root; messages on a cycle or below one have no root and are left
+out; turns without a conversation id are one conversation, as in GROUP BY; an empty table gives no conversations; further columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,25 +71,32 @@ def parse(formatted: str) -> tuple[list[tuple[str, str]], list[tuple[int, int]]]
     return turns, spans
 
 
+def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left.join(right, keys, how) where a null tree equals a null tree."""
+    named = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) if k == "tree" else F.col(k) == F.col(f"_{k}") for k in keys]
+    return left.join(named, on, how).drop(*[f"_{k}" for k in keys])
+
+
 def _ancestors(messages: DataFrame) -> DataFrame:
-    """(leaf, node, up) for every leaf and every message above it, itself at up 0; and its root flag."""
+    """(leaf, node, up) for every leaf that has a root and every message above it, itself at up 0."""
     parents = messages.select("tree", "id", "parent")
-    known = parents.select(F.col("tree").alias("_t"), F.col("id").alias("_i"))
-    linked = parents.join(known, (F.col("tree") == F.col("_t")) & (F.col("parent") == F.col("_i")), "left")
-    jump = materialise(linked.select("tree", "id", F.col("_i").alias("to")), "chat-jump")
-    has_child = jump.filter(F.col("to").isNotNull()).select("tree", F.col("to").alias("id")).distinct()
-    paths = jump.join(has_child, ["tree", "id"], "left_anti").select("tree", F.col("id").alias("leaf"), F.col("id").alias("node"), F.lit(0).alias("up"))
-    reach = 1
-    while True:
-        jump = jump.filter(F.col("to").isNotNull())
-        step = jump.select("tree", F.col("id").alias("node"), "to")
-        further = paths.join(step, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + reach).alias("up"))
+    known = parents.select("tree", F.col("id").alias("parent"), F.col("id").alias("to"))
+    first = materialise(_join(parents, known, ["tree", "parent"], "left").select("tree", "id", "to"), "chat-jump")
+    longest = first.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    jumps = [first.filter(F.col("to").isNotNull())]
+    while not jumps[-1].isEmpty() and 2 ** (len(jumps) - 1) < longest:
+        ahead = jumps[-1].select("tree", F.col("id").alias("to"), F.col("to").alias("further"))
+        jumps.append(materialise(_join(jumps[-1], ahead, ["tree", "to"]).select("tree", "id", F.col("further").alias("to")), "chat-jump"))
+    # who has an ancestor as many replies up as its tree has messages is on a cycle or below one
+    rootless = jumps.pop().select("tree", "id")
+    has_child = jumps[0].select("tree", F.col("to").alias("id")).distinct() if jumps else rootless
+    leaves = _join(_join(first, has_child, ["tree", "id"], "left_anti"), rootless, ["tree", "id"], "left_anti")
+    paths = leaves.select("tree", F.col("id").alias("leaf"), F.col("id").alias("node"), F.lit(0).alias("up"))
+    for k, jump in enumerate(jumps):
+        further = _join(paths, jump.withColumnRenamed("id", "node"), ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + 2**k).alias("up"))
         paths = materialise(paths.unionByName(further), "chat-paths")
-        ahead = jump.select("tree", F.col("id").alias("to"), F.col("to").alias("_to"))
-        jump = materialise(jump.join(ahead, ["tree", "to"]).select("tree", "id", F.col("_to").alias("to")), "chat-jump")
-        reach *= 2
-        if jump.isEmpty():
-            return paths
+    return paths
 
 
 def best_paths(messages: DataFrame, most: int = 1) -> DataFrame:
@@ -99,7 +106,7 @@ def best_paths(messages: DataFrame, most: int = 1) -> DataFrame:
     """
     paths = _ancestors(messages)
     scores = messages.select("tree", F.col("id").alias("node"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    scored = paths.join(scores, ["tree", "node"])
+    scored = _join(paths, scores, ["tree", "node"])
     ranked = scored.groupBy("tree", "leaf").agg(F.avg("score").alias("mean"), F.max("up").alias("depth"))
     if most == 1:
         # one row per tree by an aggregate, which combines on the map side
@@ -108,8 +115,8 @@ def best_paths(messages: DataFrame, most: int = 1) -> DataFrame:
     else:
         order = Window.partitionBy("tree").orderBy(F.desc("mean"), "leaf")
         best = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).drop("mean")
-    chosen = paths.join(best, ["tree", "leaf"]).select("tree", "rank", "leaf", (F.col("depth") - F.col("up")).alias("pos"), F.col("node").alias("id"))
-    return chosen.join(messages.select("tree", "id", "role", "text"), ["tree", "id"])
+    chosen = _join(paths, best, ["tree", "leaf"]).select("tree", "rank", "leaf", (F.col("depth") - F.col("up")).alias("pos"), F.col("node").alias("id"))
+    return _join(chosen, messages.select("tree", "id", "role", "text"), ["tree", "id"])
 
 
 def format_paths(path_rows: DataFrame) -> DataFrame:
@@ -117,30 +124,32 @@ def format_paths(path_rows: DataFrame) -> DataFrame:
     turn = F.struct("pos", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = path_rows.groupBy("tree", "rank", "leaf").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
-    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["formatted"] = [render([(t["role"], t["text"]) for t in turns]) for turns in pdf.pop("turns")]
-            yield pdf
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            formatted = [render([(t["role"], t["text"]) for t in turns]) for turns in batch.column("turns").to_pylist()]
+            yield batch.drop_columns(["turns"]).append_column("formatted", pa.array(formatted, pa.string()))
 
     schema = "tree long, rank int, leaf long, formatted string"
-    return grouped.mapInPandas(texts, schema)
+    return grouped.mapInArrow(texts, schema)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of what the formatted strings hold, parsed from them alone."""
 
-    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-        for pdf in batches:
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        for batch in batches:
             rows = []
-            for tree, text in zip(pdf["tree"], pdf["formatted"], strict=True):
+            for tree, text in zip(batch.column("tree").to_pylist(), batch.column("formatted").to_pylist(), strict=True):
                 turns, spans = parse(text)
                 loss = "".join(unescape(text[a:b]) for a, b in spans)
                 rows.append((tree, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text)))
-            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return formatted.mapInPandas(digests, schema)
+    return formatted.mapInArrow(digests, schema)
 
 
 def thread_messages(turns: DataFrame, tree: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
