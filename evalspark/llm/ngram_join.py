@@ -339,8 +339,8 @@ def links(sets: DataFrame) -> DataFrame:
     return found.unionByName(materialise(verify(across, sets), "jaccard-links"))
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, doc_id, n_shingles, component_id) for every row of docs; a text without words is its own component."""
+def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(key, doc_id, n, component) for every row of docs; a text without words is its own component."""
     info = materialise(describe(docs, doc_id, text), "jaccard-info")
     close = materialise(mark(docs, doc_id, text), "jaccard-close")
     # one document stands for each class of equal sets
@@ -350,19 +350,26 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     labels = components(links(sets)).withColumnRenamed("node", "key")
     named = first.join(labels, "key", "left").select("d1", "d2", F.coalesce("component", "key").alias("component"))
     # a document that shares less than that with others stands alone: the key of its class is its own
-    rows = info.join(named, ["d1", "d2"], "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "key")).otherwise(F.col("key")))
-    least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "component").select("key", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.coalesce("component", "key")).otherwise(F.col("key"))
+    return info.join(named, ["d1", "d2"], "left").select("key", "doc_id", "n", component.alias("component"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
-    return classes(docs, doc_id, text).select("doc_id", "n_shingles", "component_id")
+    rows = _labelled(docs, doc_id, text)
+    least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "component").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each component: the one of the smallest id; of rows that repeat it, all but one go."""
-    kept = classes(docs, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("key", "component_id")
-    kept = materialise(kept, "jaccard-kept").select("key").distinct()
-    out = docs.withColumn("_key", _key(docs, doc_id, text)).join(kept.withColumnRenamed("key", "_key"), "_key", "left_semi")
+    """docs with one row of each component: one of the smallest id; of rows that repeat its id and text, all but one go."""
+    counts = _labelled(docs, doc_id, text).groupBy("component", "key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "copies")).alias("m")
+    kept = materialise(counts.groupBy("component").agg(first).select(F.col("m.key").alias("_key"), F.col("m.copies").alias("copies")), "jaccard-kept")
+    keyed = docs.withColumn("_key", _key(docs, doc_id, text))
+    out = keyed.join(kept.filter("copies = 1"), "_key", "left_semi")
+    repeated = kept.filter("copies > 1")
+    if not repeated.isEmpty():
+        # only rows that have copies are dealt out; they combine on the map side
+        out = out.unionByName(keyed.join(repeated, "_key", "left_semi").dropDuplicates(["_key"]))
     return out.drop("_key")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions import text as T
 from evalspark.functions import text_udf as U
-from evalspark.llm import chat
+from evalspark.llm import chat, ngram_join
 from evalspark.llm import queries as llm
 from evalspark.plans import queries as plans
 
@@ -85,3 +85,14 @@ def test_messages_on_a_cycle_are_left_out(spark):
         best = chat.format_paths(chat.best_paths(messages, most)).collect()
         assert {r.tree: r.formatted for r in best} == {1: chat.render([("user", "root"), ("assistant", "leaf")]), None: chat.render([("user", "q"), ("assistant", "a")])}
     assert chat.best_paths(messages.limit(0)).count() == 0
+
+
+def test_one_row_of_each_group_of_near_copies_stays(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(5, a), (5, a), (5, a), (5, f"{a} more"), (9, a), (5, b), (6, b), (7, c), (None, c), (None, ""), (None, ""), (3, ""), (3, ""), (4, None), (None, "alone")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, row long")
+    out = ngram_join.drop_near_duplicates(docs)
+    got = [(r.doc_id, (r.text or "")[:1]) for r in out.collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert out.columns == docs.columns
+    assert sorted(got, key=key) == sorted([(5, "a"), (5, "b"), (7, "c"), (None, ""), (3, ""), (4, ""), (None, "a")], key=key)
