@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evalspark.functions.text import nz, squeeze
+from evalspark.functions.text import let, nz, squeeze, strip
 
 
 def eliminate(text: Column, target: str) -> Column:
@@ -46,15 +46,78 @@ def content_extract(text: Column) -> Column:
     return F.coalesce(F.get_json_object(inner, "$.content"), text)
 
 
+#: In this order; @ stands for the option letters.
+OPTION_PATTERNS = (
+    r"答案是?\s*([@])",
+    r"答案是?\s*：\s*([@])",
+    r"答案是?\s*:\s*([@])",
+    r"答案是选项?\s*:\s*([@])",
+    r"答案选项应?该?是\s*([@])",
+    r"答案选项应?该?为\s*([@])",
+    r"答案应该?是\s*([@])",
+    r"答案应该?选\s*([@])",
+    r"答案选项为?\s*：\s*([@])",
+    r"答案选项为?\s+\(?\*?\*?([@])\*?\*?\)?",
+    r"选项为?\s+\(?\*?\*?([@])\*?\*?\)?",
+    r"答案选项是?\s*:\s*([@])",
+    r"答案为\s*([@])",
+    r"答案选\s*([@])",
+    r"选择?\s*([@])",
+    r"故选?\s*([@])只有选?项?\s?([@])\s?是?对",
+    r"只有选?项?\s?([@])\s?是?错",
+    r"只有选?项?\s?([@])\s?不?正确",
+    r"只有选?项?\s?([@])\s?错误",
+    r"说法不?对选?项?的?是\s?([@])",
+    r"说法不?正确选?项?的?是\s?([@])",
+    r"说法错误选?项?的?是\s?([@])",
+    r"([@])\s?是正确的",
+    r"([@])\s?是正确答案",
+    r"选项\s?([@])\s?正确",
+    r"所以答\s?([@])",
+    r"所以\s?([@][.。$]?$)",
+    r"所有\s?([@][.。$]?$)",
+    r"[\s，：:,]([@])[。，,\.]?$",
+    r"[\s，,：:][故即]([@])[。\.]?$",
+    r"[\s，,：:]因此([@])[。\.]?$",
+    r"[是为。]\s?([@])[。\.]?$",
+    r"因此\s?([@])[。\.]?$",
+    r"显然\s?([@])[。\.]?$",
+    r"答案是\s?(\S+)(?:。|$)",
+    r"答案应该是\s?(\S+)(?:。|$)",
+    r"答案为\s?(\S+)(?:。|$)",
+    r"ANSWER\s*:\s*([@])",
+    r"[Tt]he answer is:?\s+\(?([@])\)?",
+    r"[Tt]he answer is:?\s+\(?\*?\*?([@])\*?\*?\)?",
+    r"[Tt]he answer is option:?\s+\(?([@])\)?",
+    r"[Tt]he correct answer is:?\s+\(?([@])\)?",
+    r"[Tt]he correct answer is option:?\s+\(?([@])\)?",
+    r"[Tt]he correct answer is:?.*?boxed\{([@])\}",
+    r"[Tt]he correct option is:?.*?boxed\{([@])\}",
+    r"[Tt]he correct answer option is:?.*?boxed\{([@])\}",
+    r"[Tt]he answer to the question is:?\s+\(?([@])\)?",
+    r"^选项\s?([@])",
+    r"^([@])\s?选?项",
+    r"(\s|^)[@][\s。，,：:\.$]",
+    r"1.\s?(.*?)$",
+    r"1.\s?([@])[.。$]?$",
+    r"答案:\s*([@])",
+    r"故此为\s*([@])",
+    r"boxed\{([@])\}",
+    r"([@]):",
+    r"([@])",
+)
+
+
 def first_option(text: Column, options: str = "ABCD", default: str | None = None) -> Column:
-    """The option letter that an answer names: stated answers first, then a leading letter, then any lone letter."""
-    o = f"([{options}])"
-    patterns = (
-        f"answer\\s*(?:is|:)\\s*:?\\s*\\(?{o}\\b", f"答案\\s*(?:是|为|：|:)?\\s*{o}", f"(?:choose|select|option|choice)\\s+\\(?{o}\\b",
-        f"^\\s*\\(?{o}[).:,\\s]", f"^\\s*{o}\\s*$", f"\\(({o[1:-1]})\\)", f"\\b{o}\\b",
-    )
-    found = [nz(F.upper(F.regexp_extract(text, f"(?is){p}", 1))) for p in patterns]
-    return F.coalesce(*found, F.lit(default))
+    """The option that the first pattern with an option in its first group, or else its match, names."""
+    letters = F.array(*map(F.lit, options))
+
+    def named(t: Column, pattern: str) -> Column:
+        p = "(?isU)" + pattern.replace("@", options)
+        found = F.coalesce(nz(F.regexp_extract(t, p, 1)), F.regexp_extract(t, p, 0))
+        return let(found, lambda x: F.get(F.filter(letters, lambda o: F.contains(F.upper(x), F.upper(o))), F.lit(0)))
+
+    return let(strip(text), lambda t: F.coalesce(*[named(t, p) for p in OPTION_PATTERNS], F.lit(default)))
 
 
 def asr_extract(text: Column, lang: str = "en") -> Column:

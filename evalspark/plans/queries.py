@@ -352,6 +352,12 @@ def refusal_rate(spark, sf_dir):
     return table(spark, sf_dir, "conversations").filter("role = 'assistant'").agg(r6(F.avg(refused)).alias("refusal_rate"), F.count(F.lit(1)).alias("n"))
 
 
+@query(None)
+def refusal_rate_all_phrases(spark, sf_dir):
+    """Refusals by all phrases, blank answers among them; refusal_rate has the four of its SQL."""
+    return table(spark, sf_dir, "conversations").filter("role = 'assistant'").agg(r6(F.avg(I.refused(F.col("text")).cast("double"))).alias("refusal_rate"), F.count(F.lit(1)).alias("n"))
+
+
 @query(r"SELECT page_id, split_part(html, '<body', 1) AS head, replace(url, 'http', '') AS bare_url, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title FROM pages")
 def post_process(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", P.force_stop(F.col("html"), "<body").alias("head"), P.eliminate(F.col("url"), "http").alias("bare_url"), T.nz(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))

@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from evalspark.functions import instructions as I
+from evalspark.functions import process as P
 from evalspark.functions import text as T
 from evalspark.functions import text_udf as U
 from evalspark.llm import chat, ngram_join
@@ -96,3 +98,16 @@ def test_one_row_of_each_group_of_near_copies_stays(spark):
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     assert out.columns == docs.columns
     assert sorted(got, key=key) == sorted([(5, "a"), (5, "b"), (7, "c"), (None, ""), (3, ""), (4, ""), (None, "a")], key=key)
+
+
+def test_all_phrases_patterns_and_predicates(spark):
+    texts = ["I can't", "I won't do it", "That is UNETHICAL", "很抱歉", " \u3000\n", None, "Here you go", "No problem"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(I.refused(F.col("t")).alias("v"))
+    assert [r.v for r in df.collect()] == [True] * 6 + [False] * 2
+    cases = {"答案应该选 B": "B", "A 或 C? 答案选项为： C": "C", "D 是正确的，不是 A": "D", "so the value is \\boxed{B}": "B", "the correct option is: x \\boxed{C}": "C", "答案是 (D)。": "D", "A is wrong, answer: C": "C", "B: yes": "B", "no": "none"}
+    got = spark.createDataFrame([(t,) for t in cases], "t string").select("t", P.first_option(F.col("t"), default="none").alias("v"))
+    assert {r.t: r.v for r in got.collect()} == cases
+    lit = F.lit
+    checks = [(I.constrained_response(lit(" My answer is no. ")), True), (I.constrained_response(lit("no")), False), (I.number_highlights(lit("*a* **b** ** **"), 2), True), (I.number_highlights(lit("*a* * *"), 2), False), (I.number_sections(lit("Section 1 a\nSection 2 b"), "Section", 2), True), (I.paragraph_first_word(lit("a b\n\n'Dear, c"), 2, 2, "dear"), True), (I.paragraph_first_word(lit("a b\n\nDear"), 1, 1, "a"), False), (I.repeats_prompt(lit(" Say IT now"), "say it"), True)]
+    row = spark.range(1).select(*[c.alias(f"c{k}") for k, (c, _) in enumerate(checks)]).first()
+    assert list(row) == [v for _, v in checks]
