@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.shared import materialise
+from evalspark.llm.shared import discard, materialise
 
 
 def _state(links: DataFrame) -> tuple[int, int]:
@@ -38,7 +38,8 @@ def components(links: DataFrame) -> DataFrame:
     links = materialise(links, "links")
     before = _state(links)
     while before[0]:
-        links = materialise(_small_star(_large_star(links)), "links")
+        previous, links = links, materialise(_small_star(_large_star(links)), "links")
+        discard(previous)
         now = _state(links)
         if now == before:
             break

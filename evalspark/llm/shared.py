@@ -35,7 +35,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends there and lost executors cost nothing."""
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    step = df.sparkSession.read.schema(df.schema).parquet(path)
+    step.work_path = path
+    return step
+
+
+def discard(*steps: DataFrame) -> None:
+    """Deletes the tables of materialised steps. Only for steps that nothing but other materialised steps read."""
+    for step in steps:
+        path = step.sparkSession._jvm.org.apache.hadoop.fs.Path(step.work_path)
+        path.getFileSystem(step.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Names for temporary columns beside columns called `taken`, however those are called (case does not count)."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
