@@ -6,8 +6,9 @@ the next digits of the hash, until the threshold is exact. Then one filter takes
 and no source meets in one task, as sums combine on the map side.
 
 Defined cases: a null text has size 0; a null source is a source of its own, ordered last; a source without words
-has target 0 and is taken 0 times; rows that repeat a document id share its hash and so its fate; an empty table
-gives an empty mix; further columns pass through.
+has target 0, takes no words, and its rows, which cost nothing, stay once; rows that repeat a document id share its
+hash and so its fate, and a null id hashes like the empty text; an empty table gives an empty mix; further columns pass
+through whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.llm.shared import BLANK_RUN, materialise
+from evalspark.llm.shared import BLANK_RUN, fresh, materialise
 
 #: Hexadecimal digits per level, and levels: 4096 buckets a source and level, 48 bits in all.
 DIGITS, LEVELS = 3, 4
@@ -121,11 +122,11 @@ def copies(base: Column, cut: Column, h: Column) -> Column:
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """docs by the mix: rows of a document as often as it is taken, with the columns of docs."""
     sizes = measure(docs, doc_id, text, source)
-    cuts = thresholds(sizes, targets(sizes)).select(F.col("source").alias("_source"), F.col("base").alias("_base"), F.col("cut").alias("_cut"))
-    joined = docs.join(_small(cuts, cuts.count()), docs[source].eqNullSafe(F.col("_source")))
-    times = F.array_repeat(F.lit(0), copies(F.col("_base"), F.col("_cut"), hash_digits(docs[doc_id])).cast("int"))
-    names = [docs[c] for c in docs.columns]
-    return joined.select(*names, F.explode(times).alias("_copy")).select(*docs.columns)
+    of, base, cut, copy = fresh(docs.columns, "_source", "_base", "_cut", "_copy")
+    cuts = thresholds(sizes, targets(sizes)).select(F.col("source").alias(of), F.col("base").alias(base), F.col("cut").alias(cut))
+    joined = docs.join(_small(cuts, cuts.count()), docs[source].eqNullSafe(cuts[of]))
+    times = F.array_repeat(F.lit(0), copies(cuts[base], cuts[cut], hash_digits(docs[doc_id])).cast("int"))
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(times).alias(copy)).drop(copy)
 
 
 def report(docs: DataFrame) -> DataFrame:
