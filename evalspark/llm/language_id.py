@@ -5,8 +5,12 @@ word scores by its log frequency in each language. An unseen word falls back to
 three, two and one, taking the longest length of which any is known. Scores are averaged over the words of the whole
 text; the most likely language wins, ties by name.
 
-The model is fitted on a bounded sample of labelled documents (TRAIN_DOCS whole texts, chosen by hash) and bounded
-in size (MAX_WORDS, MAX_GRAMS), so it is broadcast. Texts are scored where they are: no shuffle.
+The model is fitted on a bounded sample of labelled documents (TRAIN_DOCS whole texts, chosen by hash); all words and
+n-grams that the sample holds LEAST_COUNT times are in it, and the sample bounds it, so it is broadcast. Texts are
+scored where they are: no shuffle.
+
+A word is a run of letters and of the few number signs that stand among them (as in x²); a run without any letter
+(½, ², Ⅷ) is none.
 
 Defined cases: a null text and one without letters are `und` with score 0; without any labelled document every
 prediction is `und`; null languages are never learned; rows that repeat an id are predicted each, and a null id counts
@@ -24,17 +28,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the training sample and of the model.
-TRAIN_DOCS, MAX_WORDS, MAX_GRAMS = 12_000, 60_000, 60_000
+#: Bound of the training sample, in documents.
+TRAIN_DOCS = 12_000
 GRAM_LENGTHS = (4, 3, 2, 1)
 #: A word or n-gram seen less often in training counts as unseen.
 LEAST_COUNT = 3
 UNDETERMINED = "und"
-_WORDS = re.compile(r"[^\W\d_]+")
+_RUNS = re.compile(r"[^\W\d_]+")
 #: Unseen words whose scores a worker keeps.
 _KEPT = 300_000
 
 
+def words_of(text: str | None) -> list[str]:
+    """The words of a text, in lower case."""
+    found = _RUNS.findall((text or "").lower())
+    return found if all(map(str.isalpha, found)) else [w for w in found if any(map(str.isalpha, w))]
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves that remainder."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
@@ -54,7 +64,7 @@ def _counts(sample: DataFrame) -> DataFrame:
         found: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found.setdefault(lang, Counter()).update(_WORDS.findall((text or "").lower()))
+                found.setdefault(lang, Counter()).update(words_of(text))
         for lang, words in found.items():
             grams: Counter = Counter()
             for word, n in words.items():
@@ -101,13 +111,9 @@ class Model:
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
     """A model of docs (doc_id, text, lang), all of which may be learned from; None without labelled rows."""
     counts = _counts(_sample(docs.filter("lang is not null").select("doc_id", "text", "lang"), train_docs))
-    total = counts.groupBy("length", "gram").agg(F.sum("n").alias("total")).filter(F.col("total") >= LEAST_COUNT)
-    top = None
-    for length in (0, *GRAM_LENGTHS):
-        part = total.filter(F.col("length") == length).orderBy(F.desc("total"), "gram").limit(MAX_GRAMS if length else MAX_WORDS)
-        top = part if top is None else top.unionByName(part)
-    # the tables are bounded by MAX_WORDS and MAX_GRAMS, times the number of languages
-    rows = counts.join(top.select("length", "gram"), ["length", "gram"]).toArrow().to_pylist()
+    # one row per gram, in one pass; what a bounded sample holds is bounded
+    grams = counts.groupBy("length", "gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
+    rows = grams.filter(F.col("total") >= LEAST_COUNT).select("length", "gram", F.inline("by")).toArrow().to_pylist()
     langs = sorted({r["lang"] for r in rows})
     return Model(rows, langs) if langs else None
 
@@ -126,7 +132,7 @@ def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
         for batch in batches:
             langs, scores = [], []
             for t in batch.column("text"):
-                found = _WORDS.findall((t.as_py() or "").lower())
+                found = words_of(t.as_py())
                 if not found or m is None:
                     langs.append(UNDETERMINED)
                     scores.append(0.0)
