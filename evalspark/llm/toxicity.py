@@ -4,8 +4,8 @@ Words and marks of a text become symbols: insult, threat, target, negation, repo
 transducers read them and are composed into one: the insult and threat transducer passes words through by class, the
 target transducer marks hits near an addressed person or group, the negation transducer marks hits shortly after a
 negation, the reported-speech transducer marks hits inside quotes or after a verb of saying. The composition reads a
-clause at a time, so what is scored is a clause's pattern (say, an insult with a target, not negated), never a word
-alone. Each pattern has a weight and each hit the weight of its word; a text's score is the logistic function of the
+clause at a time, and a target that follows its hit is marked by the same transducer run from the clause's end, so
+what is scored is a clause's pattern (say, an insult with a target, not negated), never a word alone. Each pattern has a weight and each hit the weight of its word; a text's score is the logistic function of the
 weighted sum over its clauses, so length without hits changes nothing.
 
 Words of insult are seeds (fixed values below) and whatever words and stems the labels show: forms that occur in toxic
@@ -29,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.llm.shared import discard, materialise
+
 #: Bounds of the training samples, in documents.
 TRAIN_TOXIC, TRAIN_CLEAN = 3_000, 6_000
-#: Candidate forms considered (the most frequent), and contexts that a form must occur in.
-MAX_FORMS, LEAST_CONTEXTS = 20_000, 5
+#: Documents and contexts that a form must occur in.
+LEAST_CONTEXTS = 5
 LEAST_LOG_ODDS = 3.0
 #: Evidence that a form is no chance find among millions: documents times divergence from the share of toxic ones.
 LEAST_EVIDENCE = 16.0
@@ -160,6 +162,7 @@ class Scorer:
     def __init__(self, lexicon: Lexicon):
         self.lexicon, self.cache = lexicon, {}
         self.table, self.start = grammar()
+        self.back, self.back_start = compile_table(compose(Transducer(None, _hits), _marker(TARGET, TARGET_REACH, TARGETED)), list(range(8)))
 
     def features(self, text: str | None) -> np.ndarray:
         """1 and, for each pattern, the log of one plus the summed weights of the clauses' best hits."""
@@ -178,9 +181,9 @@ class Scorer:
         places = [k for k, (symbol, _) in enumerate(found) if symbol in (INSULT, THREAT)]
         if not places:
             return out
-        # a target after the hit counts as one before it: the clause is read as if it stood there
+        # a target after the hit counts as one before it
+        ahead = self._targets_ahead(found)
         state, best = self.start, {}
-        ahead = self._targets_ahead(found, places)
         for k, (symbol, weight) in enumerate(found):
             state, written = self.table[state, symbol]
             if isinstance(written, tuple):
@@ -198,17 +201,13 @@ class Scorer:
         out[1:] = np.log1p(out[1:])
         return out
 
-    @staticmethod
-    def _targets_ahead(found: list, places: list[int]) -> set[int]:
-        """Hits that a target follows within reach in their clause."""
-        out = set()
-        for k in places:
-            for symbol, _ in found[k + 1 : k + 1 + TARGET_REACH]:
-                if symbol == END:
-                    break
-                if symbol == TARGET:
-                    out.add(k)
-                    break
+    def _targets_ahead(self, found: list) -> set[int]:
+        """Hits that a target follows within reach in their clause: the target transducer, from the end."""
+        out, state = set(), self.back_start
+        for k in range(len(found) - 1, -1, -1):
+            state, written = self.back[state, found[k][0]]
+            if isinstance(written, tuple) and written[1] & TARGETED:
+                out.add(k)
         return out
 
 
@@ -255,7 +254,7 @@ def _learned(sample: DataFrame) -> dict[str, float]:
     odds = F.log((F.col("bad") + 0.5) / n[True]) - F.log((F.col("good") + 0.5) / n[False])
     likely = counts.withColumn("odds", odds).filter((F.col("bad") >= LEAST_CONTEXTS) & (F.col("odds") >= LEAST_LOG_ODDS))
     share = n[True] / (n[True] + n[False])
-    forms = {r["form"]: (r["odds"], r["bad"], r["good"]) for r in likely.orderBy(F.desc("bad"), "form").limit(MAX_FORMS).collect()}
+    forms = {r["form"]: (r["odds"], r["bad"], r["good"]) for r in likely.collect()}
     known = sample.sparkSession.sparkContext.broadcast(set(forms))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +295,7 @@ def _weights(x: np.ndarray, y: np.ndarray, spread: float = 2.0) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
     """Lexicon and pattern weights from labels (doc_id, toxic) of docs (doc_id, text); both may be learned from."""
-    sample = _sampled(labels, docs).cache()
+    sample = materialise(_sampled(labels, docs), "toxicity-sample")
     lexicon = Lexicon(_learned(sample))
     shared = sample.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -308,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
 
     # a bounded sample of short vectors
     rows = sample.mapInArrow(features, "x array<double>, y boolean").toArrow()
-    sample.unpersist()
+    discard(sample)
     x = np.array(rows.column("x").to_pylist(), dtype=float).reshape(-1, len(PRIOR))
     return lexicon, _weights(x, np.array(rows.column("y").to_pylist(), dtype=float))
 
