@@ -3,8 +3,11 @@
 Context sizes are tiers of 1024, 512 and 256 ids. A document fills whole windows of the longest tier first; what
 remains is routed to the smallest tier that holds it. Tiers are packed from the longest down: every remainder opens a
 window of its tier, whose gap is filled from the shorter tiers, by the longest piece that fits and at last by a piece
-cut to measure. Sequences of equal tier form step groups of equal token counts, so that every step has one shape
-and one load. What is left at the end of a partition is cut at powers of two. So no sequence holds padding.
+cut to measure. What is left at the end of a partition is cut at powers of two. So no sequence holds padding.
+
+Step groups are balanced: sequences of one tier form steps of STEP_TOKENS tokens, each of one shape; at the end of a
+partition the open steps of all tiers are put together, longest sequences first, into steps of the same number of
+tokens, so that of a partition's steps only the last one can be lighter.
 
 Partitions pack on their own, in pools of bounded size: nothing is shuffled, and no partition holds more than one
 pool of remainders. A reader joins pieces to ids by document and start, or takes the ids with the pieces.
@@ -128,21 +131,40 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, with_ids: bool =
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, pool = encoder(tokenizer), np.array([end_id], dtype="<u4"), _Pool()
         base = TaskContext.get().partitionId() << 40
-        made = 0
-        by_tier: dict[int, int] = {}
+        made = steps = 0
+        open_steps: dict[int, list[list[_Piece]]] = {}
         columns: list[list] = [[] for _ in schema]
 
+        def close(step: list[tuple[int, list[_Piece]]]) -> None:
+            nonlocal made, steps
+            for tier, window in step:
+                offset = 0
+                for p in window:
+                    values = [p.doc_id, p.start, len(p.ids), zlib.crc32(p.ids), p.total, base + made, offset, tier, base + steps]
+                    for column, v in zip(columns, [*values, p.ids.tobytes()], strict=False):
+                        column.append(v)
+                    offset += len(p.ids)
+                made += 1
+            steps += 1
+
         def put(tier: int, window: list[_Piece]) -> None:
-            nonlocal made
-            step = by_tier[tier] = by_tier.get(tier, -1) + 1
-            group = base + (tier << 28) + step * tier // STEP_TOKENS
-            offset = 0
-            for p in window:
-                values = [p.doc_id, p.start, len(p.ids), zlib.crc32(p.ids), p.total, base + made, offset, tier, group]
-                for column, v in zip(columns, [*values, p.ids.tobytes()], strict=False):
-                    column.append(v)
-                offset += len(p.ids)
-            made += 1
+            step = open_steps.setdefault(tier, [])
+            step.append(window)
+            if len(step) * tier >= STEP_TOKENS:
+                close([(tier, w) for w in open_steps.pop(tier)])
+
+        def close_all() -> None:
+            # sizes are powers of two: in falling order they fill every step but the last
+            step, held = [], 0
+            for tier in sorted(open_steps, reverse=True):
+                for window in open_steps[tier]:
+                    step.append((tier, window))
+                    held += tier
+                    if held >= STEP_TOKENS:
+                        close(step)
+                        step, held = [], 0
+            if step:
+                close(step)
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
@@ -156,7 +178,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, with_ids: bool =
                 ids = np.concatenate((enc.ids(t.as_py()), end))
                 full = len(ids) - len(ids) % whole
                 for a in range(0, full, whole):
-                    put(whole, [_Piece(name, a, ids[a : a + whole], len(ids))])
+                    put(whole, [_Piece(name, a, ids[a : a + whole].copy(), len(ids))])
                 if full < len(ids):
                     pool.add(_Piece(name, full, ids[full:].copy(), len(ids)))
                     waiting += 1
@@ -168,6 +190,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, with_ids: bool =
                     yield flush()
         for tier, window in pool.windows(last=True):
             put(tier, window)
+        close_all()
         yield flush()
 
     ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long" + ", ids binary" * with_ids
