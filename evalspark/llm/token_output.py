@@ -1,7 +1,7 @@
 """Operator 4, token ids as ORC files in document order.
 
 Texts are dealt by ranges of document id, sorted and encoded within their range, and written as one ORC file per
-range: ids in run-length encoded integer columns, a row index every few hundred rows, and a Bloom filter on document
+range: ids in run-length encoded integer columns, a row index entry every thousand rows, and a Bloom filter on document
 ids, so that a reader prunes files, stripes and row groups by metadata and reads stripes in parallel. Each row has
 its place within its file's ids; a document's place in the whole corpus is that plus the ids of all files before,
 which is a sum over one row per file.

@@ -9,6 +9,7 @@ beyond the Latin scripts and all texts of a tokenizer that is not known to split
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from array import array
@@ -19,10 +20,11 @@ import regex
 #: White space about which Python and the tokenizers disagree, lone surrogates, and what special tokens begin with.
 _WHOLE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u3000\ufeff\ud800-\udfff]")
 _BEYOND_LATIN = regex.compile(r"[^\x00-\u024f]")
-#: Of each file: where texts are cut into pieces, and the split pattern inside a piece (fixed values of the files).
+#: Of each file, known by the SHA-256 of its bytes: where texts are cut into pieces, and the split pattern inside a
+#: piece (fixed values of the files). Any other file's texts are encoded whole.
 _KNOWN = {
-    "byte_bpe_50k.json": (r"\s*\S+|\s+", r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"),
-    "word_bpe_49k.json": (r"\S+", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"),
+    "cec27cb89f428497695f4e2a90118d636a594654897a44c0fb11b8f185521820": (r"\s*\S+|\s+", r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"),
+    "53fa9d558ea625daafcd57cd61e7be7b3c7043ea584b22d09575cf5ea9131b0a": (r"\S+", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"),
 }
 #: Pieces kept per generation and worker (about 200 bytes each).
 GENERATION = 400_000
@@ -44,7 +46,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        known = _KNOWN.get(os.path.basename(path))
+        with open(path, "rb") as f:
+            known = _KNOWN.get(hashlib.file_digest(f, "sha256").hexdigest())
         self.pieces = re.compile(known[0]).findall if known else None
         self.split = regex.compile(known[1]).findall if known else None
         # the model's own cache would hold a copy of what is kept here
