@@ -10,8 +10,13 @@ Template: system `<<SYS>> text <</SYS>>`, user `[INST] text [/INST]`, assistant
 string gets a backslash after its first character, so that no control string is left and `unescape` restores the text.
 
 Defined cases: a null text or role is the empty one; turns with equal numbers are ordered by role, then text, and are
-all kept; a message whose parent is missing is a root; messages on a cycle or below one have no root and are left
-out; turns without a conversation id are one conversation, as in GROUP BY; an empty table gives no conversations; further columns are not read.
+all kept; in a tree, messages that repeat an id are one message (its least parent, best score, first role and text);
+a message whose parent is missing is a root; messages on a cycle or below one have no root and are left out; turns or
+messages without a conversation id are one conversation, as in GROUP BY; leaves of equal mean rank by id; an empty
+table gives no conversations; further columns are not read.
+
+Shape: paths are found on ids alone. The texts are shuffled once, by tree, where the chosen paths of the tree meet
+them; a conversation, which becomes one string, is one row then.
 """
 
 from __future__ import annotations
@@ -19,12 +24,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from evalspark.llm.shared import materialise
+from evalspark.llm.shared import discard, materialise
 
 CONTROLS = ("<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "<s>", "</s>", "[ROLE]", "[TEXT]", "[/ROLE]")
 MARKS = {"system": ("<<SYS>> ", " <</SYS>>"), "user": ("[INST] ", " [/INST]"), "assistant": ("<s> ", " </s>")}
@@ -71,42 +78,43 @@ def parse(formatted: str) -> tuple[list[tuple[str, str]], list[tuple[int, int]]]
     return turns, spans
 
 
-def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """left.join(right, keys, how) where a null tree equals a null tree."""
-    named = right.withColumnsRenamed({k: f"_{k}" for k in keys})
-    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) if k == "tree" else F.col(k) == F.col(f"_{k}") for k in keys]
-    return left.join(named, on, how).drop(*[f"_{k}" for k in keys])
+def _keyed(rows: DataFrame) -> DataFrame:
+    """rows with `tree` as a struct, which is never null and so joins and groups alike."""
+    return rows if isinstance(rows.schema["tree"].dataType, StructType) else rows.withColumn("tree", F.struct("tree"))
 
 
 def _ancestors(messages: DataFrame) -> DataFrame:
-    """(leaf, node, up) for every leaf that has a root and every message above it, itself at up 0."""
-    parents = messages.select("tree", "id", "parent")
-    known = parents.select("tree", F.col("id").alias("parent"), F.col("id").alias("to"))
-    first = materialise(_join(parents, known, ["tree", "parent"], "left").select("tree", "id", "to"), "chat-jump")
+    """(tree, leaf, node, up) for every leaf that has a root and every message above it, itself at up 0."""
+    known = messages.select("tree", F.col("id").alias("parent"), F.col("id").alias("to"))
+    first = materialise(messages.select("tree", "id", "parent").join(known, ["tree", "parent"], "left").select("tree", "id", "to"), "chat-jump")
     longest = first.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     jumps = [first.filter(F.col("to").isNotNull())]
     while not jumps[-1].isEmpty() and 2 ** (len(jumps) - 1) < longest:
         ahead = jumps[-1].select("tree", F.col("id").alias("to"), F.col("to").alias("further"))
-        jumps.append(materialise(_join(jumps[-1], ahead, ["tree", "to"]).select("tree", "id", F.col("further").alias("to")), "chat-jump"))
+        jumps.append(materialise(jumps[-1].join(ahead, ["tree", "to"]).select("tree", "id", F.col("further").alias("to")), "chat-jump"))
     # who has an ancestor as many replies up as its tree has messages is on a cycle or below one
-    rootless = jumps.pop().select("tree", "id")
-    has_child = jumps[0].select("tree", F.col("to").alias("id")).distinct() if jumps else rootless
-    leaves = _join(_join(first, has_child, ["tree", "id"], "left_anti"), rootless, ["tree", "id"], "left_anti")
+    rootless = jumps.pop()
+    has_child = jumps[0].select("tree", F.col("to").alias("id")).distinct() if jumps else rootless.select("tree", "id")
+    leaves = first.join(has_child, ["tree", "id"], "left_anti").join(rootless, ["tree", "id"], "left_anti")
     paths = leaves.select("tree", F.col("id").alias("leaf"), F.col("id").alias("node"), F.lit(0).alias("up"))
     for k, jump in enumerate(jumps):
-        further = _join(paths, jump.withColumnRenamed("id", "node"), ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + 2**k).alias("up"))
-        paths = materialise(paths.unionByName(further), "chat-paths")
+        further = paths.join(jump.withColumnRenamed("id", "node"), ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + 2**k).alias("up"))
+        before, paths = paths, materialise(paths.unionByName(further), "chat-paths")
+        if k:
+            discard(before)
+    discard(*[j for j in (first, *jumps[1:], rootless) if hasattr(j, "work_path")] if jumps else [])
     return paths
 
 
 def best_paths(messages: DataFrame, most: int = 1) -> DataFrame:
-    """A row per message of each tree's `most` best paths: tree, rank, leaf, pos, role, text.
+    """A row per message of each tree's `most` best paths: tree, rank, leaf, pos, id.
 
-    messages: tree, id, parent (null: root), role, text, score (null counts as 0).
+    messages: tree, id, parent (null: root) and score (null counts as 0).
     """
+    score = F.coalesce(F.max("score"), F.lit(0.0)).alias("score")
+    messages = materialise(_keyed(messages.select("tree", "id", "parent", "score")).groupBy("tree", "id").agg(F.min("parent").alias("parent"), score), "chat-messages")
     paths = _ancestors(messages)
-    scores = messages.select("tree", F.col("id").alias("node"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    scored = _join(paths, scores, ["tree", "node"])
+    scored = paths.join(messages.select("tree", F.col("id").alias("node"), "score"), ["tree", "node"])
     ranked = scored.groupBy("tree", "leaf").agg(F.avg("score").alias("mean"), F.max("up").alias("depth"))
     if most == 1:
         # one row per tree by an aggregate, which combines on the map side
@@ -115,22 +123,32 @@ def best_paths(messages: DataFrame, most: int = 1) -> DataFrame:
     else:
         order = Window.partitionBy("tree").orderBy(F.desc("mean"), "leaf")
         best = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).drop("mean")
-    chosen = _join(paths, best, ["tree", "leaf"]).select("tree", "rank", "leaf", (F.col("depth") - F.col("up")).alias("pos"), F.col("node").alias("id"))
-    return _join(chosen, messages.select("tree", "id", "role", "text"), ["tree", "id"])
+    return paths.join(best, ["tree", "leaf"]).select("tree", "rank", "leaf", (F.col("depth") - F.col("up")).alias("pos"), F.col("node").alias("id"))
 
 
-def format_paths(path_rows: DataFrame) -> DataFrame:
-    """A row per path: tree, rank, leaf and the formatted conversation."""
-    turn = F.struct("pos", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = path_rows.groupBy("tree", "rank", "leaf").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
+    """A row per path: tree, rank, leaf and the formatted conversation, of messages (tree, id, role, text)."""
+    turn = F.struct("id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    said = _keyed(messages.select("tree", "id", "role", "text")).groupBy("tree").agg(F.collect_list(turn).alias("said"))
+    chosen = _keyed(paths).groupBy("tree").agg(F.sort_array(F.collect_list(F.struct("rank", "leaf", "pos", "id"))).alias("path"))
+    # texts already dealt by tree stay where they are
+    both = said.join(chosen, "tree").select(F.col("tree.tree").alias("tree"), "said", "path")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            formatted = [render([(t["role"], t["text"]) for t in turns]) for turns in batch.column("turns").to_pylist()]
-            yield batch.drop_columns(["turns"]).append_column("formatted", pa.array(formatted, pa.string()))
+            rows = []
+            for k, tree in enumerate(batch.column("tree").to_pylist()):
+                content: dict[int, tuple[str, str]] = {}
+                for t in batch.column("said")[k].as_py():
+                    value = (t["role"], t["text"])
+                    content[t["id"]] = min(content.get(t["id"], value), value)
+                for (rank, leaf), steps in groupby(batch.column("path")[k].as_py(), key=lambda p: (p["rank"], p["leaf"])):
+                    rows.append((tree, rank, leaf, render([content[p["id"]] for p in steps])))
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
 
-    schema = "tree long, rank int, leaf long, formatted string"
-    return grouped.mapInArrow(texts, schema)
+    fields = pa.schema([("tree", pa.int64()), ("rank", pa.int32()), ("leaf", pa.int64()), ("formatted", pa.string())])
+    return both.mapInArrow(texts, "tree long, rank int, leaf long, formatted string")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -152,10 +170,14 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.mapInArrow(digests, schema)
 
 
+def thread_links(turns: DataFrame, tree: str = "conv_id") -> DataFrame:
+    """Messages of plain threads without their texts: each of a conversation's turns replies to the one before it."""
+    n = turns.groupBy(F.struct(turns[tree].cast("long").alias("tree")).alias("tree")).agg(F.count(F.lit(1)).alias("n"))
+    return n.select("tree", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("id")).select("tree", "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), F.lit(1.0).alias("score"))
+
+
 def thread_messages(turns: DataFrame, tree: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Messages of plain threads: each turn replies to the one before it; equal turns go by role, then text."""
-    rows = turns.select(turns[tree].cast("long").alias("tree"), turns[turn].alias("turn"), turns[role].alias("role"), turns[text].alias("text"))
+    """(tree, id, role, text) of plain threads: turns in order from 1; equal turns go by role, then text."""
+    rows = turns.select(F.struct(turns[tree].cast("long").alias("tree")).alias("tree"), turns[turn].alias("turn"), turns[role].alias("role"), turns[text].alias("text"))
     order = Window.partitionBy("tree").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
-    rows = rows.withColumn("id", F.row_number().over(order).cast("long"))
-    parent = F.when(F.col("id") > 1, F.col("id") - 1)
-    return rows.select("tree", "id", parent.alias("parent"), "role", "text", F.lit(1.0).alias("score"))
+    return rows.select("tree", F.row_number().over(order).cast("long").alias("id"), "role", "text")

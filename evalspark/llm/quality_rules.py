@@ -43,9 +43,12 @@ class Rule:
     most: float | None = None
 
 
+#: Fewer repeated lines than this are no ground to reject a document; line dedup removes them.
+FEW_LINES = 3
+
 #: Production thresholds.
 RULES = (
-    Rule("length", "n_words", least=50, most=100_000),
+    Rule("length", "n_words", least=50),
     Rule("word_length", "mean_word_chars", least=2.5, most=12.0),
     Rule("symbols", "symbols_per_word", most=0.10),
     Rule("stop_words", "n_stop_words", least=2),
@@ -130,7 +133,7 @@ def measures(text: Column) -> Column:
             ratio(word_chars, n).alias("mean_word_chars"),
             ratio(n_symbols, n).alias("symbols_per_word"),
             ratio(capital, n).alias("capital_ratio"),
-            ratio(dup_lines, n_lines).alias("dup_line_ratio"),
+            F.when(dup_lines >= FEW_LINES, ratio(dup_lines, n_lines)).otherwise(F.lit(0.0)).alias("dup_line_ratio"),
             ratio(bullets, n_lines).alias("bullet_line_ratio"),
             ratio(dots, n_lines).alias("ellipsis_line_ratio"),
             ratio(repeated, n).alias("repeat_ratio"),

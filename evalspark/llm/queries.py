@@ -28,8 +28,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
-    messages = chat.thread_messages(turns.unionByName(probe))
-    return chat.read_back(chat.format_paths(chat.best_paths(messages)))
+    turns = turns.unionByName(probe)
+    return chat.read_back(chat.format_paths(chat.best_paths(chat.thread_links(turns)), chat.thread_messages(turns)))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,9 +160,9 @@ m AS (
 SELECT doc_id, n_words::BIGINT AS n_words, coalesce(chars, 0)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words <= 100000
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
     AND chars / n_words BETWEEN 2.5 AND 12.0 AND n_symbols / n_words <= 0.10 AND n_stop >= 2 AND n_capital / n_words <= 0.70
-    AND n_dup_lines / n_lines <= 0.30 AND n_bullets / n_lines <= 0.90 AND n_dots / n_lines <= 0.30 AND n_repeat_words / n_words <= 0.50 AS kept
+    AND (n_dup_lines < 3 OR n_dup_lines / n_lines <= 0.30) AND n_bullets / n_lines <= 0.90 AND n_dots / n_lines <= 0.30 AND n_repeat_words / n_words <= 0.50 AS kept
 FROM m"""
 
 
