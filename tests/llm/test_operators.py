@@ -125,7 +125,7 @@ def test_chat_round_trip_and_best_path(spark):
     assert [chat.unescape(formatted[a:b]) for a, b in spans] == texts
     rows = [(1, 1, None, "user", "q", 1.0), (1, 2, 1, "assistant", "bad", 0.0), (1, 3, 1, "assistant", "good", 2.0), (1, 4, 3, "user", None, None), (2, 1, 9, "user", "orphan", 1.0)]
     messages = spark.createDataFrame(rows, "tree long, id long, parent long, role string, text string, score double")
-    best = chat.format_paths(chat.best_paths(messages)).collect()
+    best = chat.format_paths(chat.best_paths(messages), messages).collect()
     assert {r.tree: r.formatted for r in best} == {1: chat.render([("user", "q"), ("assistant", "good"), ("user", "")]), 2: chat.render([("user", "orphan")])}
 
 
@@ -203,7 +203,7 @@ def test_embedding_links_match_brute_force(spark):
 
 
 def test_leaf_blocks_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "LEAF_ROWS", 20)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 20)
     monkeypatch.setattr(embedding_dedup, "SAMPLE_LEAF", 10**6)
     rng = np.random.default_rng(4)
     x = np.repeat(rng.standard_normal((3, 8)), 25, axis=0) + 0.05 * rng.standard_normal((75, 8))
