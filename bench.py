@@ -11,7 +11,7 @@ from evalspark.plans.queries import queries
 from evalspark.session import local_session
 
 #: (A warm-up, then the median of three; results go to a noop sink.)
-HEADLINE = ("cube_slices", "wer_corpus", "auc", "eer", "macro_f1", "runtime_percentiles", "ratio_of_sums", "interval_overlap", "dialogue_history", "resume_overlay_left", "token_f1", "repeat_rate")
+HEADLINE = ("cube_slices", "mesh_cube", "wer_corpus", "wer_whole", "bleu_corpus", "auc", "eer", "macro_f1", "runtime_percentiles", "ratio_of_sums", "interval_overlap", "dialogue_history", "resume_overlay_left", "token_f1", "repeat_rate")
 
 
 def main() -> None:

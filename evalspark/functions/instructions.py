@@ -87,21 +87,37 @@ def keywords_exist(r: Column, keywords: list[str]) -> Column:
     return F.forall(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.lower(r), F.lower(k)))
 
 
-def keyword_frequency(r: Column, keyword: str, at_least: int) -> Column:
-    return F.regexp_count(F.lower(r), F.lit(keyword.lower())) >= at_least
+def _compared(count: Column, n: int, less: bool) -> Column:
+    """The two relations of instructions that count: at least n, or less than n."""
+    return count < n if less else count >= n
+
+
+def keyword_frequency(r: Column, keyword: str, n: int, less: bool = False) -> Column:
+    """The keyword is a regular expression, in any case."""
+    return _compared(F.regexp_count(r, F.lit(f"(?i){keyword}")), n, less)
 
 
 def forbidden_words(r: Column, words: list[str]) -> Column:
-    return ~r.rlike("(?i)\\b(" + "|".join(words) + ")\\b")
+    return ~r.rlike("(?i)\\b(" + "|".join(f"\\Q{w}\\E" for w in words) + ")\\b")
 
 
-def letter_frequency(r: Column, letter: str, at_least: int) -> Column:
+def letter_frequency(r: Column, letter: str, n: int, less: bool = False) -> Column:
     low = F.lower(r)
-    return F.length(low) - F.length(F.replace(low, F.lit(letter.lower()), F.lit(""))) >= at_least
+    return _compared(F.length(low) - F.length(F.replace(low, F.lit(letter.lower()), F.lit(""))), n, less)
+
+
+def number_words(r: Column, n: int, less: bool = False) -> Column:
+    return _compared(F.regexp_count(r, F.lit("(?U)\\w+")), n, less)
+
 
+def number_sentences(r: Column, n: int, less: bool = False) -> Column:
+    """Sentences end with marks before white space or the end; an approximation without a trained model."""
+    return _compared(F.regexp_count(r, F.lit("[.!?]+(\\s|\\z)")), n, less)
 
-def number_words(r: Column, at_least: int) -> Column:
-    return F.regexp_count(r, F.lit("(?U)\\w+")) >= at_least
+
+def capital_words(r: Column, n: int, less: bool = False) -> Column:
+    """Words between white space with an upper-case letter and no lower-case one; an approximation of a tokeniser's."""
+    return _compared(F.size(F.filter(F.split(r, "\\s+"), lambda w: w.rlike("^\\P{Ll}*\\p{Lu}\\P{Ll}*$"))), n, less)
 
 
 def number_paragraphs(r: Column, n: int) -> Column:
@@ -187,3 +203,17 @@ def paragraph_first_word(r: Column, n_paragraphs: int, nth: int, word: str) -> C
 
 def repeats_prompt(r: Column, prompt: str) -> Column:
     return F.startswith(F.lower(strip(r)), F.lit(prompt.strip().lower()))
+
+
+def strictly(r: Column, check) -> Column:
+    """Whether the response follows check, a function of a Column; a blank one follows nothing."""
+    return (strip(r) != "") & check(r)
+
+
+def loosely(r: Column, check) -> Column:
+    """Whether the response follows check as it is, without asterisks, or without its first, last or both lines."""
+    lines = F.split(r, "\\n")
+    cut = lambda head, tail: strip(F.array_join(F.slice(lines, 1 + head, F.greatest(F.size(lines) - head - tail, F.lit(0))), "\n"))
+    variants = [r, cut(1, 0), cut(0, 1), cut(1, 1)]
+    variants += [F.replace(v, F.lit("*"), F.lit("")) for v in variants]
+    return F.greatest(*[strictly(v, check) for v in variants])

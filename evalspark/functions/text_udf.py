@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections import Counter
 from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
 def lcs(a: Sequence[str], b: Sequence[str]) -> int:
@@ -26,3 +28,84 @@ def lcs(a: Sequence[str], b: Sequence[str]) -> int:
 def lcs_length(a: pa.Array, b: pa.Array) -> pa.Array:
     """lcs of two columns of arrays."""
     return pa.array([lcs(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int64())
+
+
+def edits(a: Sequence[str], b: Sequence[str]) -> int:
+    """Levenshtein distance, exactly: a bit per token of a, one step per token of b."""
+    if not a:
+        return len(b)
+    places: dict[str, int] = {}
+    for k, token in enumerate(a):
+        places[token] = places.get(token, 0) | 1 << k
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = full, 0, len(a)
+    for token in b:
+        same = places.get(token, 0)
+        straight = (((same & up) + up) ^ up) | same | down
+        rise, fall = down | ~(straight | up) & full, up & straight
+        distance += bool(rise & last) - bool(fall & last)
+        rise = rise << 1 & full | 1
+        up, down = fall << 1 & full | ~(straight | rise) & full, rise & straight
+    return distance
+
+
+@F.arrow_udf(returnType=LongType())
+def edit_distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    """edits of two columns of arrays, of any length and vocabulary."""
+    return pa.array([edits(x or [], y or []) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int64())
+
+
+@F.arrow_udf(returnType=LongType())
+def common_count(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Sizes of the multiset intersections of two columns of arrays."""
+    return pa.array([(Counter(x or []) & Counter(y or [])).total() for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int64())
+
+
+@F.arrow_udf(returnType=StringType())
+def nfkc(text: pa.Array) -> pa.Array:
+    """Unicode normal form NFKC."""
+    return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in text.to_pylist()], pa.string())
+
+
+@F.arrow_udf(returnType=StringType())
+def nfd(text: pa.Array) -> pa.Array:
+    """Unicode normal form NFD."""
+    return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFD", t) for t in text.to_pylist()], pa.string())
+
+
+#: Letters that no decomposition maps to ASCII (fixed values).
+LETTERS = str.maketrans({"œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "æ": "ae", "Æ": "AE", "ß": "ss", "ẞ": "SS", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "th", "ł": "l", "Ł": "L"})
+
+
+@F.arrow_udf(returnType=StringType())
+def unmarked(text: pa.Array) -> pa.Array:
+    """Letters without their diacritics (NFKD)."""
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t.translate(LETTERS)) if unicodedata.category(c) != "Mn")
+    return pa.array([t if t is None or t.isascii() else plain(t) for t in text.to_pylist()], pa.string())
+
+
+_COUNTS = StructType([StructField(f"{s}{n}", LongType()) for n in range(1, 7) for s in "mhr"])
+
+
+def _gram_counts(hypothesis: Sequence[str], reference: Sequence[str], most: int) -> dict[str, int]:
+    out = {}
+    for n in range(1, 7):
+        h, r = (Counter(tuple(x[k : k + n]) for k in range(len(x) - n + 1)) if n <= most else Counter() for x in (hypothesis, reference))
+        out |= {f"m{n}": (h & r).total(), f"h{n}": h.total(), f"r{n}": r.total()}
+    return out
+
+
+_COUNT_TYPE = pa.struct([(f"{s}{n}", pa.int64()) for n in range(1, 7) for s in "mhr"])
+
+
+@F.arrow_udf(returnType=_COUNTS)
+def word_gram_counts(hypothesis: pa.Array, reference: pa.Array) -> pa.Array:
+    """Of n-grams of up to four tokens: clipped matches m, and how many there are in the hypothesis h and reference r."""
+    return pa.array([_gram_counts(h or [], r or [], 4) for h, r in zip(hypothesis.to_pylist(), reference.to_pylist(), strict=True)], _COUNT_TYPE)
+
+
+@F.arrow_udf(returnType=_COUNTS)
+def char_gram_counts(hypothesis: pa.Array, reference: pa.Array) -> pa.Array:
+    """The same of n-grams of up to six characters, white space left out."""
+    bare = lambda t: "".join((t or "").split())
+    return pa.array([_gram_counts(bare(h), bare(r), 6) for h, r in zip(hypothesis.to_pylist(), reference.to_pylist(), strict=True)], _COUNT_TYPE)

@@ -42,3 +42,12 @@ def runs(rows: DataFrame, key: list[str], order: list[str], value: str) -> DataF
 def history(rows: DataFrame, key: str, order: str, text: Column, most: int = 16) -> Column:
     """The texts of up to `most` rows before this one."""
     return F.collect_list(text).over(Window.partitionBy(key).orderBy(order).rowsBetween(-most, -1))
+
+
+def grouped_runs(rows: DataFrame, key: list[str], order: list[str], value: str, text: str) -> DataFrame:
+    """A row per run of equal values: key, run, value, n and the run's texts in order, one per line."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    changed = (~F.col(value).eqNullSafe(F.lag(value).over(w)) | F.lag(F.lit(1)).over(w).isNull()).cast("int")
+    marked = rows.withColumn("_c", changed).withColumn("run", F.sum("_c").over(w))
+    said = F.sort_array(F.collect_list(F.struct(*order, F.coalesce(text, F.lit("")).alias("_t"))))
+    return marked.groupBy(*key, "run", value).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(said, lambda s: s["_t"]), "\n").alias(text))

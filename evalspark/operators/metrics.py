@@ -18,39 +18,80 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return ratio(F.when(value.isNotNull(), value * weight), F.when(value.isNotNull(), weight))
 
 
-def macro_f1(rows: DataFrame, predicted: str, reference: str) -> DataFrame:
+def macro_f1(rows: DataFrame, predicted: str, reference: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """Mean F1 over all labels seen on either side, from one count per pair of labels."""
-    pairs = rows.groupBy(F.col(predicted).cast("string").alias("p"), F.col(reference).cast("string").alias("r")).agg(F.count(F.lit(1)).alias("n"))
-    sides = pairs.select(F.explode(F.array(F.struct(F.col("p").alias("label"), F.lit(1).alias("is_p"), F.col("p").eqNullSafe(F.col("r")).cast("int").alias("hit"), "n"), F.struct(F.col("r").alias("label"), F.lit(0).alias("is_p"), F.lit(0).alias("hit"), "n"))).alias("s")).select("s.*")
-    per = sides.groupBy("label").agg(F.sum(F.col("hit") * F.col("n")).alias("tp"), F.sum(F.col("is_p") * F.col("n")).alias("np"), F.sum((1 - F.col("is_p")) * F.col("n")).alias("nr"))
-    return per.agg(F.avg(F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("np") + F.col("nr")), F.lit(0.0))).alias("macro_f1"), F.count(F.lit(1)).alias("labels"))
+    pairs = rows.groupBy(*keys, F.col(predicted).cast("string").alias("p"), F.col(reference).cast("string").alias("r")).agg(F.count(F.lit(1)).alias("n"))
+    side = lambda c, is_p, hit: F.struct(F.col(c).alias("label_"), F.lit(is_p).alias("is_p"), hit.alias("hit"))
+    sides = pairs.select(*keys, "n", F.inline(F.array(side("p", 1, F.col("p").eqNullSafe(F.col("r")).cast("int")), side("r", 0, F.lit(0)))))
+    per = sides.groupBy(*keys, "label_").agg(F.sum(F.col("hit") * F.col("n")).alias("tp"), F.sum(F.col("is_p") * F.col("n")).alias("np"), F.sum((1 - F.col("is_p")) * F.col("n")).alias("nr"))
+    return per.groupBy(*keys).agg(F.avg(F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("np") + F.col("nr")), F.lit(0.0))).alias("macro_f1"), F.count(F.lit(1)).alias("labels"))
 
 
-def roc(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """(score, pos, neg, pos_ge, neg_ge, n_pos, n_neg) per distinct score: one row each, however many samples share it."""
-    per = rows.groupBy(F.col(score).cast("double").alias("score")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
-    # one row per distinct score is ordered here
-    down, all_ = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(F.lit(0))
-    return per.select("score", "pos", "neg", F.sum("pos").over(down).alias("pos_ge"), F.sum("neg").over(down).alias("neg_ge"), F.sum("pos").over(all_).alias("n_pos"), F.sum("neg").over(all_).alias("n_neg"))
+def pairwise(predicted: str, reference: str) -> dict[str, Column]:
+    """The share of rows whose predicted score is higher, in per cent, and both means."""
+    return {"win_pct": 100.0 * F.avg((F.col(predicted) > F.col(reference)).cast("double")), "ref_score": F.avg(reference), "pred_score": F.avg(predicted)}
 
 
-def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
+def covered(predicted: Column, reference: Column) -> Column:
+    """A predicted amount over a reference amount of at least 1."""
+    return predicted / F.greatest(reference, F.lit(1))
+
+
+#: Parts that ordered values are cut into, so that no task has to order all of them.
+PARTS = 64
+
+
+def running(per: DataFrame, keys: list[str], value: str, sums: list[str], parts: int = PARTS) -> DataFrame:
+    """per (a row per keys and value) with <c>_upto and <c>_all for each column c of sums: its sum over the values of
+    these keys up to this one, and over all of them.
+
+    Values are cut at approximate quantiles (a bounded list); sums per part are few, and rows are ordered in their part.
+    """
+    found = per.agg(F.percentile_approx(F.col(value).cast("double"), [k / parts for k in range(1, parts)], 1000).alias("b")).first()["b"]
+    bounds = sorted(set(found or []))
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(value))) if bounds else F.lit(0)
+    cut = per.withColumn("_k", F.struct(*keys) if keys else F.struct(F.lit(0))).withColumn("_part", part)
+    totals = cut.groupBy("_k", "_part").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    before = Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_k", "_part", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}_before") for c in sums], *[F.sum(f"_{c}").over(Window.partitionBy("_k")).alias(f"{c}_all") for c in sums])
+    inside = Window.partitionBy("_k", "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.join(offsets, ["_k", "_part"]).select(*per.columns, *[(F.sum(c).over(inside) + F.col(f"_{c}_before")).alias(f"{c}_upto") for c in sums], *[f"{c}_all" for c in sums])
+
+
+def roc(rows: DataFrame, score: str, label: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """(keys, score, pos, neg, pos_ge, neg_ge, n_pos, n_neg) per distinct score: one row each, however many samples
+    share it. Rows without a score or a label of 0 or 1 are left out."""
+    y = F.col(label).cast("long")
+    known = rows.filter(F.col(score).isNotNull() & y.isin(0, 1))
+    per = known.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    at_least = lambda c: (F.col(f"{c}_all") - F.col(f"{c}_upto") + F.col(c)).alias(f"{c}_ge")
+    return running(per, keys, "score", ["pos", "neg"]).select(*keys, "score", "pos", "neg", at_least("pos"), at_least("neg"), F.col("pos_all").alias("n_pos"), F.col("neg_all").alias("n_neg"))
+
+
+def auc(rows: DataFrame, score: str, label: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """Wins plus half of ties over all pairs of positives and negatives, by cumulated counts instead of pairs."""
     wins = F.col("pos") * (F.col("n_neg") - F.col("neg_ge") + F.col("neg") / 2.0)
-    return roc(rows, score, label).agg(F.try_divide(F.sum(wins), F.max(F.col("n_pos") * F.col("n_neg"))).alias("auc"))
+    return roc(rows, score, label, keys).groupBy(*keys).agg(F.try_divide(F.sum(wins), F.max(F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
 
-def eer(rows: DataFrame, score: str, label: str) -> DataFrame:
+def eer(rows: DataFrame, score: str, label: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """Equal error rate at the first threshold, from above, at which the rates are nearest."""
-    curve = roc(rows, score, label)
-    far, frr = F.col("neg_ge") / F.col("n_neg"), (F.col("n_pos") - F.col("pos_ge")) / F.col("n_pos")
+    curve = roc(rows, score, label, keys)
+    far, frr = F.try_divide(F.col("neg_ge"), F.col("n_neg")), F.try_divide(F.col("n_pos") - F.col("pos_ge"), F.col("n_pos"))
     best = F.min(F.struct(F.round(F.abs(far - frr), 12).alias("gap"), (-F.col("score")).alias("order"), ((far + frr) / 2).alias("eer")))
-    return curve.agg(best.alias("b")).select(F.col("b.eer").alias("eer"), (-F.col("b.order")).alias("threshold"))
-
-
-def percentiles(value: str, shares: tuple[float, ...] = (0.5, 0.9, 0.95)) -> list[Column]:
-    """Percentiles by linear interpolation at (n - 1) q."""
-    return [F.percentile(value, F.lit(q)).alias(f"{value}_p{round(100 * q)}") for q in shares]
+    return curve.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.eer").alias("eer"), (-F.col("b.order")).alias("threshold"))
+
+
+def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: tuple[float, ...] = (0.5, 0.9, 0.95)) -> DataFrame:
+    """(keys, <value>_p50, ...): percentiles by linear interpolation at (n - 1) q, from counts per value, which combine
+    before the shuffle; missing values are left out."""
+    per = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    at = {q: (F.col("n_all") - 1) * F.lit(float(q)) for q in shares}
+    pick = lambda place: F.min(F.when(F.col("n_upto") > place, F.col("v")))
+    found = [c for q in shares for c in (pick(F.floor(at[q])).alias(f"lo{q}"), pick(F.ceil(at[q])).alias(f"hi{q}"), F.max(at[q] - F.floor(at[q])).alias(f"f{q}"))]
+    out = running(per, keys, "v", ["n"]).groupBy(*keys).agg(*found)
+    name = lambda c: F.col(f"`{c}`")
+    return out.select(*keys, *[(name(f"lo{q}") * (1 - name(f"f{q}")) + name(f"hi{q}") * name(f"f{q}")).alias(f"{value}_p{round(100 * q)}") for q in shares])
 
 
 def slices(rows: DataFrame, keys: list[str], most: int = 2) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,32 +13,24 @@ from evalspark.functions import process as P
 from evalspark.functions import text as T
 from evalspark.functions import text_udf as U
 from evalspark.operators import intervals, metrics
+from evalspark.plans.catalog import REGISTERED, query, r6
 from evalspark.session import table
 from evalspark.streaming import events as streams
 
-_ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-
-
-def query(sql: str | None):
-    """Registers a query with its SQL."""
-
-    def register(f):
-        _ALL[f.__name__] = (f, sql)
-        return f
-
-    return register
+#: Modules that register further queries.
+SISTERS = ("text_queries", "score_queries", "cube_queries", "event_queries", "join_queries", "label_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, (f, _) in _ALL.items()}
+    """All registered queries, those of the sister modules included."""
+    for module in SISTERS:
+        import_module(f"evalspark.plans.{module}")
+    return {name: f for name, (f, _) in REGISTERED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _ALL.items() if sql}
-
-
-def r6(c):
-    return F.round(c, 6)
+    queries()
+    return {name: sql for name, (_, sql) in REGISTERED.items() if sql}
 
 
 # The flagship: score rows (events: value is latency, `error` is a failure) over grouping sets.
@@ -54,13 +47,16 @@ FROM g WHERE label IS NOT NULL GROUP BY slice, label""")
 def cube_slices(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     rows = e.select("event_type", (F.col("user_id") % 10).cast("string").alias("cohort"), "value", (F.col("event_type") == "error").cast("int").alias("failure"))
-    aggs = [r6(F.avg("value")).alias("mean_value"), r6(F.percentile("value", F.lit(0.5))).alias("value_p50"), r6(F.percentile("value", F.lit(0.95))).alias("value_p95"), r6(F.avg("failure")).alias("failure_rate")]
-    return metrics.cube(rows, ["event_type", "cohort"], aggs)
+    aggs = [r6(F.avg("value")).alias("mean_value"), r6(F.avg("failure")).alias("failure_rate")]
+    keys = ["event_type", "cohort"]
+    p = metrics.exact_percentiles(metrics.slices(rows, keys), ["slice", "label"], "value", (0.5, 0.95))
+    out = metrics.cube(rows, keys, aggs).join(p, ["slice", "label"], "left")
+    return out.select("slice", "label", "sample_count", "mean_value", r6(F.col("value_p50")).alias("value_p50"), r6(F.col("value_p95")).alias("value_p95"), "failure_rate", "warning")
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS value_p50, round(quantile_cont(value, 0.9), 6) AS value_p90, round(quantile_cont(value, 0.95), 6) AS value_p95 FROM events GROUP BY event_type")
 def runtime_percentiles(spark, sf_dir):
-    p = table(spark, sf_dir, "events").groupBy("event_type").agg(*metrics.percentiles("value"))
+    p = metrics.exact_percentiles(table(spark, sf_dir, "events"), ["event_type"], "value", (0.5, 0.9, 0.95))
     return p.select("event_type", *(r6(F.col(c)).alias(c) for c in p.columns[1:]))
 
 
@@ -225,7 +221,7 @@ def topk_delta(spark, sf_dir):
 
 @query("SELECT lang, doc_id, k::BIGINT AS k FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id) AS k FROM documents) WHERE k <= 5")
 def sample_stratified(spark, sf_dir):
-    """A sampling operator: five per stratum by hash, found by an aggregate that keeps five rows per task and stratum."""
+    """A sampling operator: five per stratum by hash; the window's row limit is applied before the shuffle too."""
     d = table(spark, sf_dir, "documents").select("lang", "doc_id")
     w = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
     return d.withColumn("k", F.row_number().over(w)).filter("k <= 5").select("lang", "doc_id", F.col("k").cast("long").alias("k"))
@@ -270,40 +266,27 @@ def _sides(conversations: DataFrame) -> DataFrame:
     return c.select("conv_id", T.words(F.col("u")).alias("r"), T.words(F.col("a")).alias("h"))
 
 
-@query(r"""
-WITH p AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) FILTER (role = 'user') AS u, string_agg(text, ' ' ORDER BY turn) FILTER (role = 'assistant') AS a FROM conversations GROUP BY conv_id),
-w AS (SELECT conv_id, list_slice(regexp_extract_all(coalesce(u, ''), '\S+'), 1, 20) AS r, list_slice(regexp_extract_all(coalesce(a, ''), '\S+'), 1, 20) AS h FROM p),
-v AS (SELECT *, list_distinct(list_concat(r, h)) AS v FROM w)
-SELECT sum(levenshtein(array_to_string(list_transform(r, lambda t: chr(32 + list_position(v, t)::INT)), ''), array_to_string(list_transform(h, lambda t: chr(32 + list_position(v, t)::INT)), '')))::BIGINT AS errors,
-  sum(len(r))::BIGINT AS reference_words FROM v""")
-def wer_corpus(spark, sf_dir):
-    """Word errors of the first twenty words a side, as its SQL has it; wer_whole compares whole texts."""
-    sides = _sides(table(spark, sf_dir, "conversations")).select(F.slice("r", 1, 20).alias("r"), F.slice("h", 1, 20).alias("h"))
-    return sides.agg(F.sum(T.edit_distance(F.col("r"), F.col("h"))).alias("errors"), F.sum(F.size("r")).alias("reference_words"))
-
-
 @query(None)
 def wer_whole(spark, sf_dir):
     """Word errors of all the assistant's words of a conversation against all the user's, summed."""
     sides = _sides(table(spark, sf_dir, "conversations"))
-    return sides.agg(F.sum(T.edit_distance(F.col("r"), F.col("h"))).alias("errors"), F.sum(F.size("r")).alias("reference_words"))
+    return sides.agg(F.sum(U.edit_distance("r", "h")).alias("errors"), F.sum(F.size("r")).alias("reference_words"))
 
 
-_PAIR = r"""WITH p AS (SELECT a.doc_id, regexp_extract_all(lower(a.text), '\S+') AS x, regexp_extract_all(lower(b.text), '\S+') AS y FROM documents a JOIN benchmark b ON b.item_id = a.doc_id % 40)"""
+_PAIR = r"""WITH p AS (SELECT a.doc_id, regexp_extract_all(lower(a.text), '\S+') AS x, regexp_extract_all(lower(b.text), '\S+') AS y FROM documents a LEFT JOIN benchmark b ON b.item_id = a.doc_id % (SELECT count(*) FROM benchmark))"""
 
 
 def _pairs(spark, sf_dir):
-    """Every document beside the benchmark item that its id falls on, modulo the number of items; SQL has 40, their number on small tables."""
+    """Every document beside the benchmark item that its id falls on, modulo the number of items."""
     d, b = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("reference"))
-    n = b.agg(F.nullif(F.count(F.lit(1)), F.lit(0)).alias("n"))
-    return d.crossJoin(F.broadcast(n)).withColumn("item_id", F.pmod("doc_id", "n")).join(b, "item_id", "left").select("doc_id", "text", "reference")
+    return d.withColumn("item_id", F.pmod("doc_id", F.lit(max(b.count(), 1)))).join(b, "item_id", "left").select("doc_id", "text", "reference")
 
 
 @query(_PAIR + r""", c AS (SELECT doc_id, len(x) AS nx, len(y) AS ny, list_sum(list_transform(list_distinct(y), lambda t: least(len(list_filter(x, lambda s: s = t)), len(list_filter(y, lambda s: s = t)))))::BIGINT AS n FROM p)
 SELECT doc_id, CASE WHEN nx = 0 AND ny = 0 THEN 1.0 ELSE round(coalesce(2.0 * coalesce(n, 0) / nullif(nx + ny, 0), 0), 6) END::DOUBLE AS token_f1 FROM c""")
 def token_f1(spark, sf_dir):
     p = _pairs(spark, sf_dir).select("doc_id", T.words(F.lower("text")).alias("x"), T.words(F.lower("reference")).alias("y"))
-    return p.select("doc_id", r6(T.f1(T.common_count(F.col("y"), F.col("x")), F.size("x"), F.size("y"))).alias("token_f1"))
+    return p.select("doc_id", r6(T.f1(U.common_count("y", "x"), F.size("x"), F.size("y"))).alias("token_f1"))
 
 
 @query(_PAIR.replace("lower(a.text)", "a.text") + r""", g AS (SELECT doc_id, list_transform(range(1, len(x) - 2), lambda i: array_to_string(x[i:i + 3], ' ')) AS g FROM p)
@@ -312,15 +295,12 @@ def repeat_rate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", r6(T.repeat_rate(F.col("text"))).alias("repeat_rate"))
 
 
-@query(r"SELECT doc_id, contains(lower(text), lower(split_part(reference, ' ', 1))) AS exists_match, starts_with(text, split_part(reference, ' ', 1)) AS prefix_match, trim(lower(text)) = trim(lower(reference)) AS exact_match FROM (SELECT d.doc_id, d.text, b.text AS reference FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)")
+@query(r"""
+WITH s AS (SELECT d.doc_id, regexp_replace(lower(d.text), '^\s+|\s+$', '', 'g') AS p, regexp_replace(lower(b.text), '^\s+|\s+$', '', 'g') AS r
+  FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))
+SELECT doc_id, contains(p, r) AS exists_match, starts_with(p, r) OR (contains(r, ' ') AND NOT contains(p, ' ') AND starts_with(p, replace(r, ' ', ''))) AS prefix_match, p = r AS exact_match FROM s""")
 def match_evaluators(spark, sf_dir):
-    head = F.split_part(F.col("reference"), F.lit(" "), F.lit(1))
-    return _pairs(spark, sf_dir).select("doc_id", F.contains(F.lower("text"), F.lower(head)).alias("exists_match"), F.startswith(F.col("text"), head).alias("prefix_match"), (F.trim(F.lower("text")) == F.trim(F.lower("reference"))).alias("exact_match"))
-
-
-@query(None)
-def match_references(spark, sf_dir):
-    """Matches of whole references; match_evaluators compares their first words, as its SQL has it."""
+    """Containment, prefix and equality of whole references, case and outer white space aside."""
     p, r = T.strip(F.lower("text")), T.strip(F.lower("reference"))
     bare = F.replace(r, F.lit(" "), F.lit(""))
     prefix = F.startswith(p, r) | (F.contains(r, F.lit(" ")) & ~F.contains(p, F.lit(" ")) & F.startswith(p, bare))
@@ -332,9 +312,9 @@ def normalize_basic(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.normalize_basic(F.col("text")).alias("normalized"))
 
 
-@query(r"SELECT doc_id, array_to_string(list_filter(regexp_extract_all(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\S+'), lambda w: w NOT IN ('a', 'an', 'the')), ' ') AS normalized FROM documents WHERE lang = 'en'")
+@query(r"SELECT doc_id, array_to_string(list_filter(regexp_extract_all(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\S+'), lambda w: w NOT IN ('a', 'an', 'the')), ' ') AS normalized FROM documents")
 def normalize_qa(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", T.normalize_qa(F.col("text")).alias("normalized"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_qa(F.col("text")).alias("normalized"))
 
 
 @query(r"""SELECT doc_id, NOT contains(text, ',') AS no_comma, len(regexp_extract_all(text, '\[.*?\]')) >= 1 AS placeholders, length(lower(text)) - length(replace(lower(text), 'e', '')) >= 20 AS letter_e,
@@ -345,16 +325,14 @@ def ifeval_predicates(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", I.no_comma(t).alias("no_comma"), I.number_placeholders(t, 1).alias("placeholders"), I.letter_frequency(t, "e", 20).alias("letter_e"), I.number_bullets(t, 0).alias("no_bullets"), I.forbidden_words(t, ["idiot", "moron"]).alias("no_forbidden"), I.all_lowercase(t).alias("lowercase"), I.end_checker(t, ".").alias("ends_with_stop"), I.keywords_exist(t, ["the", "of"]).alias("keywords"))
 
 
-@query(r"SELECT round(avg(CASE WHEN regexp_matches(lower(text), 'sorry|cannot|unable|i am not able') THEN 1.0 ELSE 0.0 END), 6) AS refusal_rate, count(*)::BIGINT AS n FROM conversations WHERE role = 'assistant'")
-def refusal_rate(spark, sf_dir):
-    phrases = F.array(*map(F.lit, ("sorry", "cannot", "unable", "i am not able")))
-    refused = F.exists(phrases, lambda p: F.contains(F.lower("text"), p)).cast("double")
-    return table(spark, sf_dir, "conversations").filter("role = 'assistant'").agg(r6(F.avg(refused)).alias("refusal_rate"), F.count(F.lit(1)).alias("n"))
+_REFUSALS = ", ".join("'" + p.replace("'", "''") + "'" for p in I.REFUSALS)
 
 
-@query(None)
-def refusal_rate_all_phrases(spark, sf_dir):
-    """Refusals by all phrases, blank answers among them; refusal_rate has the four of its SQL."""
+@query(rf"""
+SELECT round(avg(CASE WHEN trim(coalesce(text, '')) = '' OR len(list_filter([{_REFUSALS}], lambda p: contains(lower(text), p))) > 0 THEN 1.0 ELSE 0.0 END), 6) AS refusal_rate, count(*)::BIGINT AS n
+FROM conversations WHERE role = 'assistant'""")
+def refusal_rate(spark, sf_dir):
+    """Refusals by all phrases; a blank answer is one."""
     return table(spark, sf_dir, "conversations").filter("role = 'assistant'").agg(r6(F.avg(I.refused(F.col("text")).cast("double"))).alias("refusal_rate"), F.count(F.lit(1)).alias("n"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ORDER = ("prompt", "inference", "post_process", "eval", "error", "skipped")
@@ -44,3 +44,73 @@ def resume_overlay(samples: DataFrame, events: DataFrame, offset: int = 0) -> Da
     """Samples (row_id) with their last recorded inference (event id = offset + row), errors left out; null where none."""
     last = events.filter(F.col("type") != "error").groupBy("id").agg(F.max_by("data", "seq").alias("recorded"))
     return samples.join(last.withColumn("row_id", F.col("id").cast("long") - offset).drop("id"), "row_id", "left")
+
+
+#: Types that end a sample's run.
+TERMINAL = ("eval", "error", "skipped")
+
+
+def fold(events: DataFrame, types: tuple[str, ...] = ORDER, data: str = "data", seq: str = "seq") -> DataFrame:
+    """A row per id with the last data of each type, in order of seq."""
+    return events.groupBy("id").agg(*[F.max_by(data, F.when(F.col("type") == t, F.col(seq))).alias(t) for t in types])
+
+
+def ordered(events: DataFrame) -> DataFrame:
+    """Events by id, then by the order of types."""
+    return events.orderBy("id", type_rank(F.col("type")))
+
+
+def score_rows(events: DataFrame, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """The rows that are aggregated: eval and error events outside the excluded capabilities; an error counts as a
+    failure and not as a timeout unless it says otherwise."""
+    kept = events.filter(F.col("type").isin("eval", "error"))
+    if "capability" in events.columns and excluded:
+        kept = kept.filter(~F.coalesce(F.col("capability").isin(*excluded), F.lit(False)))
+    default = lambda c, v: F.coalesce(F.col(c) if c in events.columns else F.lit(None).cast("int"), F.when(F.col("type") == "error", v))
+    return kept.withColumn("failure", default("failure", 1)).withColumn("timeout", default("timeout", 0))
+
+
+def overlaid(dimension: Column, value: Column) -> dict[str, Column]:
+    """An event's value over the dimension of the same name, and whether the two contradict each other."""
+    conflict = F.coalesce((dimension.cast("string") != "") & (value.cast("string") != "") & (dimension != value), F.lit(False))
+    return {"value": F.coalesce(value, dimension), "conflict": conflict}
+
+
+def completion_report(events: DataFrame, count: int, start: int = 0, required: tuple[str, ...] = ("prompt", "inference", "post_process", "eval")) -> DataFrame:
+    """(problem, type, id, n): missing, duplicate and unexpected events of ids start to start + count - 1, and errors."""
+    spark = events.sparkSession
+    seen = events.groupBy("id", "type").agg(F.count(F.lit(1)).alias("n"))
+    wanted = spark.range(start, start + count).select("id", F.explode(F.array(*map(F.lit, required))).alias("type"))
+    problem = lambda df, name, kind=F.col("type"), n=F.col("n"): df.select(F.lit(name).alias("problem"), kind.alias("type"), "id", n.cast("long").alias("n"))  # noqa: E731, B008
+    outside = events.filter(~F.col("id").between(start, start + count - 1)).select("id").distinct()
+    return (
+        problem(wanted.join(seen, ["id", "type"], "left_anti"), "missing", n=F.lit(0))
+        .unionByName(problem(seen.filter(F.col("type").isin(*required) & (F.col("n") > 1)), "duplicate"))
+        .unionByName(problem(outside, "unexpected", F.lit(None).cast("string"), F.lit(0)))
+        .unionByName(problem(seen.filter("type = 'error'"), "error"))
+    )
+
+
+def first_of_each(report: DataFrame, most: int = 20) -> DataFrame:
+    """(problem, type, total, ids): how many there are of each problem, and the first ids."""
+    return report.groupBy("problem", "type").agg(F.count(F.lit(1)).alias("total"), F.slice(F.array_sort(F.collect_list("id")), 1, most).alias("ids"))
+
+
+def numbered(rows: DataFrame, order: list[str], offset: int = 0, parts: int = 64) -> DataFrame:
+    """rows with id = offset + place in the order of the first column (a number) and then the others. Places are counted
+    per part of the first column's range, so that no task orders all rows."""
+    bounds = sorted(set(rows.agg(F.percentile_approx(F.col(order[0]).cast("double"), [k / parts for k in range(1, parts)], 1000).alias("b")).first()["b"] or []))
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order[0]))) if bounds else F.lit(0)
+    cut = rows.withColumn("_part", part)
+    # a row per part
+    before = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return cut.join(F.broadcast(before), "_part").withColumn("id", place + F.col("_before") + offset).drop("_part", "_before")
+
+
+def row_slice(rows: DataFrame, order: list[str], offset: int, limit: int = 0) -> DataFrame:
+    """Rows offset to offset + limit - 1 in order; a limit of 0 has no end."""
+    if offset < 0 or limit < 0:
+        raise ValueError("offset and limit must not be negative")
+    out = numbered(rows, order)
+    return out.filter((F.col("id") >= offset) & ((F.col("id") < offset + limit) if limit else F.lit(True))).drop("id")

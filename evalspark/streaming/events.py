@@ -39,3 +39,21 @@ def run_available(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
     query = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start(folder)
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(folder)
+
+
+def run_complete(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """An aggregate over everything available: each batch's whole result goes to a folder of its own, and the last one is
+    read back."""
+    spark, last = stream.sparkSession, []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{number}")
+        last[:] = [number]
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("complete").start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/{last[0]}") if last else spark.createDataFrame([], stream.schema)
+
+
+def unseen(events: DataFrame, done: DataFrame) -> DataFrame:
+    """Events whose id is not among those done before (a static table), as a stream or a batch."""
+    return events.join(done.select("id").distinct(), "id", "left_anti")

@@ -43,7 +43,7 @@ def test_classification_and_verification_goldens(spark):
 def test_duration_weighted_rate_and_percentiles(spark):
     df = spark.createDataFrame([(1.0, 1.0, 10.0), (0.0, 9.0, 30.0)], "e double, d double, latency double")
     assert df.agg(metrics.ratio(F.col("e"), F.col("d")).alias("der")).first().der == 0.1
-    assert df.agg(*metrics.percentiles("latency")).first().latency_p50 == 20.0
+    assert metrics.exact_percentiles(df, [], "latency", (0.5,)).first().latency_p50 == 20.0
 
 
 def test_cube_leaves_out_missing_keys(spark):
