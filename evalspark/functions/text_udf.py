@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 
 def lcs(a: Sequence[str], b: Sequence[str]) -> int:
@@ -109,3 +110,29 @@ def char_gram_counts(hypothesis: pa.Array, reference: pa.Array) -> pa.Array:
     """The same of n-grams of up to six characters, white space left out."""
     bare = lambda t: "".join((t or "").split())
     return pa.array([_gram_counts(bare(h), bare(r), 6) for h, r in zip(hypothesis.to_pylist(), reference.to_pylist(), strict=True)], _COUNT_TYPE)
+
+
+_BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
+def _words(text: str | None) -> list[str]:
+    """Words between ASCII white space, as the Columns of `text` split them."""
+    return [w for w in _BLANKS.split(text or "") if w]
+
+
+@F.arrow_udf(returnType=StructType([StructField(c, LongType()) for c in ("common", "n_a", "n_b")]))
+def common_words(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Words that two texts share, as multisets, and how many each has."""
+    rows = [(_words(x), _words(y)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
+    kind = pa.struct([(c, pa.int64()) for c in ("common", "n_a", "n_b")])
+    return pa.array([{"common": (Counter(x) & Counter(y)).total(), "n_a": len(x), "n_b": len(y)} for x, y in rows], kind)
+
+
+@F.arrow_udf(returnType=DoubleType())
+def repeated_share(text: pa.Array) -> pa.Array:
+    """1 minus the share of distinct runs of four words; 0 for fewer words."""
+
+    def share(w: list[str]) -> float:
+        return 1 - len(set(zip(w, w[1:], w[2:], w[3:], strict=False))) / (len(w) - 3) if len(w) > 3 else 0.0
+
+    return pa.array([share(_words(t)) for t in text.to_pylist()], pa.float64())

@@ -41,15 +41,27 @@ def covered(predicted: Column, reference: Column) -> Column:
 PARTS = 64
 
 
+def quantiles(rows: DataFrame, value: str, parts: int = PARTS) -> list[float]:
+    """Up to parts - 1 ascending values that cut the rows' values into about equal parts: a bounded list."""
+    found = rows.agg(F.percentile_approx(F.col(value).cast("double"), [k / parts for k in range(1, parts)], 1000).alias("b")).first()["b"]
+    return sorted(set(found or []))
+
+
+def part_of(value: Column, bounds: list[float], first: int = 0) -> Column:
+    """How many of the bounds are below a value, by halving."""
+    if not bounds:
+        return F.lit(first)
+    k = len(bounds) // 2
+    return F.when(value > bounds[k], part_of(value, bounds[k + 1 :], first + k + 1)).otherwise(part_of(value, bounds[:k], first))
+
+
 def running(per: DataFrame, keys: list[str], value: str, sums: list[str], parts: int = PARTS) -> DataFrame:
     """per (a row per keys and value) with <c>_upto and <c>_all for each column c of sums: its sum over the values of
     these keys up to this one, and over all of them.
 
     Values are cut at approximate quantiles (a bounded list); sums per part are few, and rows are ordered in their part.
     """
-    found = per.agg(F.percentile_approx(F.col(value).cast("double"), [k / parts for k in range(1, parts)], 1000).alias("b")).first()["b"]
-    bounds = sorted(set(found or []))
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(value))) if bounds else F.lit(0)
+    part = part_of(F.col(value), quantiles(per, value, parts))
     cut = per.withColumn("_k", F.struct(*keys) if keys else F.struct(F.lit(0))).withColumn("_part", part)
     totals = cut.groupBy("_k", "_part").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
     before = Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -82,16 +94,27 @@ def eer(rows: DataFrame, score: str, label: str, keys: list[str] = []) -> DataFr
     return curve.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.eer").alias("eer"), (-F.col("b.order")).alias("threshold"))
 
 
-def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: tuple[float, ...] = (0.5, 0.9, 0.95)) -> DataFrame:
-    """(keys, <value>_p50, ...): percentiles by linear interpolation at (n - 1) q, from counts per value, which combine
-    before the shuffle; missing values are left out."""
-    per = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    at = {q: (F.col("n_all") - 1) * F.lit(float(q)) for q in shares}
-    pick = lambda place: F.min(F.when(F.col("n_upto") > place, F.col("v")))
-    found = [c for q in shares for c in (pick(F.floor(at[q])).alias(f"lo{q}"), pick(F.ceil(at[q])).alias(f"hi{q}"), F.max(at[q] - F.floor(at[q])).alias(f"f{q}"))]
-    out = running(per, keys, "v", ["n"]).groupBy(*keys).agg(*found)
-    name = lambda c: F.col(f"`{c}`")
-    return out.select(*keys, *[(name(f"lo{q}") * (1 - name(f"f{q}")) + name(f"hi{q}") * name(f"f{q}")).alias(f"{value}_p{round(100 * q)}") for q in shares])
+def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: tuple[float, ...] = (0.5, 0.9, 0.95), parts: int = PARTS) -> DataFrame:
+    """(keys, <value>_p50, ...): percentiles by linear interpolation at (n - 1) q; missing values are left out.
+
+    Values are cut at approximate quantiles and counted per part, which tells in which parts the percentiles lie; only
+    the rows of those parts are shuffled and ranked.
+    """
+    v = rows.filter(F.col(value).isNotNull()).select((F.struct(*keys) if keys else F.struct(F.lit(0))).alias("_k"), F.col(value).cast("double").alias("v"))
+    cut = v.withColumn("_part", part_of(F.col("v"), quantiles(v, "v", parts)))
+    # a row per key and part
+    sizes = cut.groupBy("_k", "_part").agg(F.count(F.lit(1)).alias("m"))
+    order = Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumns({"before": F.coalesce(F.sum("m").over(order), F.lit(0)), "n": F.sum("m").over(Window.partitionBy("_k"))})
+    at = lambda q: (F.col("n") - 1) * F.lit(float(q))
+    ranks = [f(at(q)) for q in shares for f in (F.floor, F.ceil)]
+    inside = F.greatest(*[(r >= F.col("before")) & (r < F.col("before") + F.col("m")) for r in ranks], F.lit(False))
+    near = cut.join(sizes.filter(inside).drop("m"), ["_k", "_part"])
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("_k", "_part").orderBy("v")) - 1 + F.col("before"))
+    picked = [F.max(F.when(F.col("r") == r, F.col("v"))).alias(f"v{k}") for k, r in enumerate(ranks)]
+    out = ranked.groupBy("_k", "n").agg(*picked)
+    between = lambda k, q: F.col(f"v{2 * k}") * (1 - (at(q) - F.floor(at(q)))) + F.col(f"v{2 * k + 1}") * (at(q) - F.floor(at(q)))
+    return out.select(*[F.col("_k")[c].alias(c) for c in keys], *[between(k, q).alias(f"{value}_p{round(100 * q)}") for k, q in enumerate(shares)])
 
 
 def slices(rows: DataFrame, keys: list[str], most: int = 2) -> DataFrame:

@@ -285,14 +285,14 @@ def _pairs(spark, sf_dir):
 @query(_PAIR + r""", c AS (SELECT doc_id, len(x) AS nx, len(y) AS ny, list_sum(list_transform(list_distinct(y), lambda t: least(len(list_filter(x, lambda s: s = t)), len(list_filter(y, lambda s: s = t)))))::BIGINT AS n FROM p)
 SELECT doc_id, CASE WHEN nx = 0 AND ny = 0 THEN 1.0 ELSE round(coalesce(2.0 * coalesce(n, 0) / nullif(nx + ny, 0), 0), 6) END::DOUBLE AS token_f1 FROM c""")
 def token_f1(spark, sf_dir):
-    p = _pairs(spark, sf_dir).select("doc_id", T.words(F.lower("text")).alias("x"), T.words(F.lower("reference")).alias("y"))
-    return p.select("doc_id", r6(T.f1(U.common_count("y", "x"), F.size("x"), F.size("y"))).alias("token_f1"))
+    p = _pairs(spark, sf_dir).select("doc_id", U.common_words(F.lower("text"), F.lower("reference")).alias("c"))
+    return p.select("doc_id", r6(T.f1(F.col("c.common"), F.col("c.n_a"), F.col("c.n_b"))).alias("token_f1"))
 
 
 @query(_PAIR.replace("lower(a.text)", "a.text") + r""", g AS (SELECT doc_id, list_transform(range(1, len(x) - 2), lambda i: array_to_string(x[i:i + 3], ' ')) AS g FROM p)
 SELECT doc_id, round(CASE WHEN len(g) = 0 THEN 0 ELSE 1 - len(list_distinct(g)) / len(g) END, 6)::DOUBLE AS repeat_rate FROM g""")
 def repeat_rate(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", r6(T.repeat_rate(F.col("text"))).alias("repeat_rate"))
+    return table(spark, sf_dir, "documents").select("doc_id", r6(U.repeated_share("text")).alias("repeat_rate"))
 
 
 @query(r"""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evalspark.operators.metrics import part_of, quantiles
+
 ORDER = ("prompt", "inference", "post_process", "eval", "error", "skipped")
 
 
@@ -99,9 +101,7 @@ def first_of_each(report: DataFrame, most: int = 20) -> DataFrame:
 def numbered(rows: DataFrame, order: list[str], offset: int = 0, parts: int = 64) -> DataFrame:
     """rows with id = offset + place in the order of the first column (a number) and then the others. Places are counted
     per part of the first column's range, so that no task orders all rows."""
-    bounds = sorted(set(rows.agg(F.percentile_approx(F.col(order[0]).cast("double"), [k / parts for k in range(1, parts)], 1000).alias("b")).first()["b"] or []))
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order[0]))) if bounds else F.lit(0)
-    cut = rows.withColumn("_part", part)
+    cut = rows.withColumn("_part", part_of(F.col(order[0]), quantiles(rows, order[0], parts)))
     # a row per part
     before = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
