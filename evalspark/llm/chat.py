@@ -136,14 +136,17 @@ def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            said, path, rows = batch.column("said"), batch.column("path"), []
+            first, last = said.offsets.to_pylist(), path.offsets.to_pylist()
+            ids, roles, contents = (said.values.field(c).to_pylist() for c in ("id", "role", "text"))
+            steps = list(zip(*(path.values.field(c).to_pylist() for c in ("rank", "leaf", "id")), strict=True))
             for k, tree in enumerate(batch.column("tree").to_pylist()):
                 content: dict[int, tuple[str, str]] = {}
-                for t in batch.column("said")[k].as_py():
-                    value = (t["role"], t["text"])
-                    content[t["id"]] = min(content.get(t["id"], value), value)
-                for (rank, leaf), steps in groupby(batch.column("path")[k].as_py(), key=lambda p: (p["rank"], p["leaf"])):
-                    rows.append((tree, rank, leaf, render([content[p["id"]] for p in steps])))
+                for i in range(first[k], first[k + 1]):
+                    value = (roles[i], contents[i])
+                    content[ids[i]] = min(content.get(ids[i], value), value)
+                for (rank, leaf), of in groupby(steps[last[k] : last[k + 1]], key=lambda p: p[:2]):
+                    rows.append((tree, rank, leaf, render([content[i] for *_, i in of])))
             columns = zip(*rows, strict=True) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
 
