@@ -1,8 +1,8 @@
 """The slice cube: all metrics of score rows over many grouping sets, in long form, and its nested report.
 
-A row goes once to every grouping set of which it has all keys (null, the empty string and empty arrays and maps are
-missing), as (slice, label); no set is expanded that a row does not take part in. Sums combine before the shuffle;
-percentiles, rates of verification and F1 come from counts per value, score and label.
+Rows are aggregated once, at the finest combination of keys that occurs; each of those aggregates then goes to every
+grouping set of which it has all keys (null, the empty string and empty arrays and maps are missing), as (slice, label).
+Percentiles, rates of verification and F1 come from counts per value, score and label, aggregated the same way.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, NumericType, StringType, StructType
 
-from evalspark.operators import metrics
+from evalspark.operators import metrics, overlap
 
 # The fields that rows are sliced by, and the columns that are no metrics.
 CONDITIONS = ["condition__acoustic", "condition__spatial", "condition__speaker", "condition__device", "condition__interaction"]
@@ -78,13 +78,63 @@ def _key(rows: DataFrame, name: str) -> Column:
     return F.when(c != "", c) if isinstance(kind, StringType) else c.cast("string")
 
 
-def sliced(rows: DataFrame, sets: list[list[str]]) -> DataFrame:
-    """rows once per slice that they take part in: overall, formal/overall, and every set with all its keys."""
-    known = [s for s in sets if set(s) <= set(rows.columns)]
-    entry = lambda name, label: F.struct(F.lit(name).alias("slice"), label.alias("label"))
-    one = lambda s: F.when(~F.greatest(*[_key(rows, k).isNull() for k in s], F.lit(False)), entry("+".join(s), F.concat_ws("|", *[_key(rows, k) for k in s])))
-    every = [entry("overall", F.lit("")), *([F.when(F.col("use_bucket") == FORMAL, entry("formal/overall", F.lit("")))] if "use_bucket" in rows.columns else []), *map(one, known)]
-    return rows.withColumn("_s", F.explode(F.array_compact(F.array(*every)))).select("*", "_s.slice", "_s.label").drop("_s")
+class Cuboid:
+    """Rows grouped at the finest combination of keys that occurs; every grouping set rolls up from there.
+
+    `by` are the key columns, as text; `flat` is rows with them. expand() gives a table that was grouped by them its
+    slices: a row once per slice that it takes part in, as (slice, label) instead of the keys.
+    """
+
+    def __init__(self, rows: DataFrame, sets: list[list[str]]):
+        self.sets = [s for s in sets if set(s) <= set(rows.columns)]
+        self.formal = "use_bucket" in rows.columns
+        names = sorted({k for s in self.sets for k in s} | ({"use_bucket"} if self.formal else set()))
+        self.place = {k: f"_k{n}" for n, k in enumerate(names)}
+        self.by = list(self.place.values())
+        self.flat = rows.withColumns({c: _key(rows, k) for k, c in self.place.items()})
+
+    def expand(self, grouped: DataFrame) -> DataFrame:
+        entry = lambda name, label: F.struct(F.lit(name).alias("slice"), label.alias("label"))
+
+        def one(keys: list[str]) -> Column:
+            columns = [F.col(self.place[k]) for k in keys]
+            return F.when(~F.greatest(*[c.isNull() for c in columns], F.lit(False)), entry("+".join(keys), F.concat_ws("|", *columns)))
+
+        every = [entry("overall", F.lit(""))]
+        if self.formal:
+            every.append(F.when(F.col(self.place["use_bucket"]) == FORMAL, entry("formal/overall", F.lit(""))))
+        kept = [c for c in grouped.columns if c not in self.by]
+        return grouped.select(*kept, F.inline(F.array_compact(F.array(*every, *map(one, self.sets)))))
+
+    def counts(self, rows: DataFrame, *columns: str) -> DataFrame:
+        """(slice, label, columns, m) of some of flat's rows."""
+        base = rows.groupBy(*self.by, *columns).agg(F.count(F.lit(1)).alias("m"))
+        return self.expand(base).groupBy("slice", "label", *columns).agg(F.sum("m").alias("m"))
+
+
+class Merged:
+    """Aggregates in two steps: partial ones by cuboid, named here, and what merges them by slice."""
+
+    def __init__(self) -> None:
+        self.partial: dict[str, Column] = {}
+
+    def _keep(self, partial: Column, merge) -> Column:
+        name = f"_p{len(self.partial)}"
+        self.partial[name] = partial
+        return merge(name)
+
+    def total(self, c: Column) -> Column:
+        return self._keep(F.sum(c), F.sum)
+
+    def count(self, c: Column) -> Column:
+        return self._keep(F.count(c), F.sum)
+
+    def mean(self, c: Column) -> Column:
+        return F.try_divide(self.total(c.cast("double")), self.count(c))
+
+    def same(self, c: Column) -> Column:
+        """Whether all values that are there are one."""
+        return F.coalesce(self._keep(F.min(c), F.min) == self._keep(F.max(c), F.max), F.lit(False))
 
 
 def _long(out: DataFrame, values: dict[str, Column]) -> DataFrame:
@@ -93,52 +143,67 @@ def _long(out: DataFrame, values: dict[str, Column]) -> DataFrame:
     return out.select("slice", "label", F.inline(each)).filter("value is not null")
 
 
+#: Overlap scores from summed counts: (metric, prefix of the columns, the score of their sums).
+OVERLAPS = (("bleu", overlap.bleu), ("chrf", overlap.chrf))
+
+
 def mesh(rows: DataFrame, sets: list[list[str]] | None = None, names: list[str] | None = None, least_size: int = 5) -> DataFrame:
     """(slice, label, metric, value) of every slice: sample_count, small_sample (1 below least_size), and of each metric
     its mean and <metric>/sample_count.
 
     Over means stand: error rates `wer%` and `cer%` where rows have <wer|cer>_errors, <wer|cer>_n and language (summed;
-    gone where a slice mixes languages), `der` by duration where all its rows have durations, macro_f1 of
-    classification_pred and _ref, eer and auc of verification_score and _label, percentiles of latencies, means of
-    gauges and rates, and counts of failure_stage and failure_type.
+    gone where a slice mixes languages), `bleu` and `chrf` of summed counts where rows have them as a struct
+    <metric>_counts, `der` by duration where all its rows have durations, macro_f1 of classification_pred and _ref, eer
+    and auc of verification_score and _label, percentiles of latencies, means of gauges and rates,
+    annotation_confidence as confidence_mean, and counts of failure_stage and failure_type.
+
+    Rows are aggregated once at the finest key combination; only those aggregates meet the grouping sets.
     """
     has = set(rows.columns)
     names = detect_metrics(rows) if names is None else names
-    s = sliced(rows, default_sets() if sets is None else sets)
+    cuboid, merged = Cuboid(rows, default_sets() if sets is None else sets), Merged()
     keys, c = ["slice", "label"], lambda n: F.col(f"`{n}`")
-    aggs = {"sample_count": F.count(F.lit(1))}
+    aggs = {"sample_count": merged.count(F.lit(1))}
     for m in names:
-        aggs |= {m: F.avg(c(m)), f"{m}/sample_count": F.nullif(F.count(c(m)), F.lit(0))}
+        aggs |= {m: merged.mean(c(m)), f"{m}/sample_count": F.nullif(merged.count(c(m)), F.lit(0))}
     for m in ("wer", "cer"):
         if {f"{m}_errors", f"{m}_n", "language"} <= has:
-            alone = F.count_distinct(F.when(c(f"{m}_n").isNotNull(), F.lower("language"))) == 1
-            aggs |= {f"{m}%": F.when(alone, F.try_divide(100.0 * F.sum(f"{m}_errors"), F.sum(f"{m}_n"))), f"{m}%/sample_count": F.when(alone, F.count(f"{m}_n"))}
+            alone = merged.same(F.when(c(f"{m}_n").isNotNull(), F.lower("language")))
+            aggs |= {f"{m}%": F.when(alone, F.try_divide(100.0 * merged.total(c(f"{m}_errors")), merged.total(c(f"{m}_n")))), f"{m}%/sample_count": F.when(alone, merged.count(c(f"{m}_n")))}
+    for m, score in OVERLAPS:
+        if f"{m}_counts" in has:
+            fields = rows.schema[f"{m}_counts"].dataType.fieldNames()
+            aggs |= {m: score({f: merged.total(c(f"{m}_counts")[f]) for f in fields}), f"{m}/sample_count": F.nullif(merged.count(c(f"{m}_counts")), F.lit(0))}
     if {"der", "der_error_duration", "der_reference_duration"} <= has:
         enough = c("der").isNotNull() & c("der_error_duration").isNotNull() & (c("der_reference_duration") > 0)
-        complete = F.count(F.when(enough, 1)) == F.count("der")
-        weighed = F.try_divide(F.sum(F.when(enough, c("der_error_duration"))), F.sum(F.when(enough, c("der_reference_duration"))))
-        aggs |= {"der": F.when(complete, weighed).otherwise(F.avg("der")), "der/sufficient_statistics_count": F.when(~complete, F.count(F.when(enough, 1)))}
+        ready = merged.count(F.when(enough, 1))
+        complete = ready == merged.count(c("der"))
+        weighed = F.try_divide(merged.total(F.when(enough, c("der_error_duration"))), merged.total(F.when(enough, c("der_reference_duration"))))
+        aggs |= {"der": F.when(complete, weighed).otherwise(merged.mean(c("der"))), "der/sufficient_statistics_count": F.when(~complete, ready)}
+    if "annotation_confidence" in has:
+        aggs |= {"confidence_mean": merged.mean(c("annotation_confidence"))}
     for column, name in GAUGES.items():
         if column in has:
-            aggs |= {name: F.avg(c(column)), f"{name}/sample_count": F.nullif(F.count(c(column)), F.lit(0))}
-    wide = s.groupBy(*keys).agg(*[v.alias(f"a{k}") for k, v in enumerate(aggs.values())])
+            aggs |= {name: merged.mean(c(column)), f"{name}/sample_count": F.nullif(merged.count(c(column)), F.lit(0))}
+    base = cuboid.flat.groupBy(*cuboid.by).agg(*[v.alias(k) for k, v in merged.partial.items()])
+    wide = cuboid.expand(base).groupBy(*keys).agg(*[v.alias(f"a{k}") for k, v in enumerate(aggs.values())])
     out = _long(wide, {m: F.col(f"a{k}") for k, m in enumerate(aggs)} | {"small_sample": F.when(F.col("a0") < least_size, 1)})
     for column, name in LATENCIES.items():
         if column in has:
-            p = metrics.exact_percentiles(s, keys, column)
-            out = out.unionByName(_long(p, {f"{name}_p{q}": F.col(f"{column}_p{q}") for q in (50, 90, 95)}))
+            p = metrics.percentiles(metrics.histogram(cuboid.flat, cuboid.by, column), keys, name, expand=cuboid.expand)
+            out = out.unionByName(_long(p, {f"{name}_p{q}": F.col(f"{name}_p{q}") for q in (50, 90, 95)}))
     if {"classification_pred", "classification_ref"} <= has:
-        known = s.filter("classification_pred <> '' and classification_ref <> ''")
-        out = out.unionByName(_long(metrics.macro_f1(known, "classification_pred", "classification_ref", keys), {"macro_f1": F.col("macro_f1")}))
+        known = cuboid.counts(cuboid.flat.filter("classification_pred <> '' and classification_ref <> ''"), "classification_pred", "classification_ref")
+        out = out.unionByName(_long(metrics.macro_f1(known, "classification_pred", "classification_ref", keys, "m"), {"macro_f1": F.col("macro_f1")}))
     if {"verification_score", "verification_label"} <= has:
-        a, e = (f(s, "verification_score", "verification_label", keys) for f in (metrics.auc, metrics.eer))
+        scored = cuboid.counts(cuboid.flat.filter("verification_score is not null"), "verification_score", "verification_label")
+        both = metrics.verification(scored, "verification_score", "verification_label", keys, "m")
         # a slice of one class has neither
-        both = a.filter("auc is not null").join(e.select(*keys, "eer"), keys)
-        out = out.unionByName(_long(both, {"auc": F.col("auc"), "eer": F.col("eer")}))
+        out = out.unionByName(_long(both.filter("auc is not null"), {"auc": F.col("auc"), "eer": F.col("eer")}))
     for column in ("failure_stage", "failure_type"):
         if column in has:
-            n = s.filter(c(column) != "").groupBy(*keys, column).agg(F.count(F.lit(1)).cast("double").alias("value"))
-            out = out.unionByName(n.select(*keys, F.concat(F.lit(f"{column}/"), c(column), F.lit("/count")).alias("metric"), "value"))
+            n = cuboid.counts(cuboid.flat.filter(c(column) != ""), column)
+            out = out.unionByName(n.select(*keys, F.concat(F.lit(f"{column}/"), c(column), F.lit("/count")).alias("metric"), F.col("m").cast("double").alias("value")))
     return out
 
 

@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from itertools import pairwise, permutations
+from collections.abc import Callable
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
+from evalspark.functions.assignment import assignment
 from evalspark.functions.process import extract_json
 from evalspark.functions.text_udf import edits
 
 SEGMENT = "array<struct<start: double, end: double, speaker: string>>"
 _ALIASED = "array<struct<start: double, start_time: double, begin: double, end: double, end_time: double, duration: double, speaker: string, speaker_id: string, label: string>>"
-#: More speakers than this on a side are matched greedily, not by all permutations.
-MOST_SPEAKERS = 8
 
 
 def segments(text: Column, seconds: Column | None = None) -> Column:
@@ -48,18 +48,26 @@ def merged(value: Column, gap: float = 1e-3) -> Column:
     return F.when(F.size(ordered) < 2, ordered).otherwise(F.aggregate(F.slice(ordered, 2, F.greatest(F.size(ordered) - 1, F.lit(0))), F.slice(ordered, 1, 1), step))
 
 
-def best_mapping(predicted: list[str], reference: list[str], gain: dict[tuple[str, str], float]) -> dict[str, str]:
-    """Predicted speakers to reference speakers, by the greatest summed gain; the first such permutation counts."""
+Gain = dict[tuple[str, str], float]
+
+
+def best_mapping(predicted: list[str], reference: list[str], gain: Gain) -> dict[str, str]:
+    """Predicted speakers to reference speakers, by the greatest summed gain, exactly for any number of them; of several
+    such mappings the first in order counts. Speakers beyond the reference's are mapped to none ("")."""
     if not predicted or not reference:
         return {}
-    if max(len(predicted), len(reference)) > MOST_SPEAKERS:
-        return {p: max(reference, key=lambda r: gain.get((p, r), 0.0)) for p in predicted}
     padded = reference + [""] * max(0, len(predicted) - len(reference))
-    best = max(permutations(padded, len(predicted)), key=lambda m: sum(gain.get(pair, 0.0) for pair in zip(predicted, m, strict=True)))
-    return dict(zip(predicted, best, strict=True))
+    best = assignment([[-gain.get((p, r), 0.0) for r in padded] for p in predicted])
+    return {p: padded[k] for p, k in zip(predicted, best, strict=True)}
+
+
+def greedy_mapping(predicted: list[str], reference: list[str], gain: Gain) -> dict[str, str]:
+    """Each predicted speaker to the reference speaker of the greatest gain, several to one if so: the cheap choice that
+    some scorers make for many speakers."""
+    return {p: max(reference, key=lambda r: gain.get((p, r), 0.0)) for p in predicted} if reference else {}
 
 
-def error_durations(reference: list[dict], predicted: list[dict]) -> tuple[float, float]:
+def error_durations(reference: list[dict], predicted: list[dict], mapped: Callable[[list[str], list[str], Gain], dict[str, str]] = best_mapping) -> tuple[float, float]:
     """Seconds in which the sets of active speakers differ, and seconds with a reference speaker."""
     marks = sorted({s[k] for s in reference + predicted for k in ("start", "end")})
     active = lambda side, t: tuple(sorted(s["speaker"] for s in side if s["start"] <= t < s["end"]))
@@ -68,7 +76,7 @@ def error_durations(reference: list[dict], predicted: list[dict]) -> tuple[float
     for length, r, p in spans:
         if len(r) == len(p) == 1:
             gain[p[0], r[0]] += length
-    mapping = best_mapping(sorted({s["speaker"] for s in predicted}), sorted({s["speaker"] for s in reference}), gain)
+    mapping = mapped(sorted({s["speaker"] for s in predicted}), sorted({s["speaker"] for s in reference}), gain)
     wrong = sum(length for length, r, p in spans if tuple(sorted(mapping.get(x, x) for x in p)) != r)
     return wrong, sum(length for length, r, _ in spans if r)
 
@@ -104,8 +112,7 @@ def attribution(reference: list[dict], predicted: list[dict]) -> tuple[float, fl
         return float(bool(got)) if not want else edits(want, got) / len(want) if got else 1.0
 
     table = {(p, r): cost(p, r) for p in preds for r in set(refs)}
-    options = permutations(refs) if size <= MOST_SPEAKERS else [tuple(refs)]
-    best = min(options, key=lambda m: sum(table[pair] for pair in zip(preds, m, strict=True)))
+    best = [refs[k] for k in assignment([[table[p, r] for r in refs] for p in preds])]
     mapping, of = dict(zip(preds, best, strict=True)), {u["id"]: u["speaker"] for u in reference}
     compared = [mapping.get(u["speaker"]) == of[u["id"]] for u in predicted if u["id"] in of]
     return sum(table[pair] for pair in zip(preds, best, strict=True)) / size, sum(compared) / len(compared) if compared else 0.0

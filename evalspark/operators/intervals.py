@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.operators.ordering import gap_merge, runs, with_runs  # noqa: F401
+
 
 def overlap_join(a: DataFrame, b: DataFrame, width: float, least: float = 0.0) -> DataFrame:
     """Pairs of intervals (id, start, end) that overlap by more than `least`, with the clipped interval.
@@ -23,31 +25,15 @@ def overlap_join(a: DataFrame, b: DataFrame, width: float, least: float = 0.0) -
     return joined.select("a_id", "b_id", start.alias("start"), end.alias("end"))
 
 
-def gap_merge(rows: DataFrame, key: list[str], start: str, end: str, gap: float) -> DataFrame:
-    """Intervals of one key merged where the next begins up to `gap` after the latest end so far."""
-    w = Window.partitionBy(*key).orderBy(start, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.withColumn("_new", F.when(before.isNull() | (F.col(start) > before + gap), 1).otherwise(0))
-    island = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("_island", island).groupBy(*key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("_island")
-
-
-def runs(rows: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
-    """Runs of equal values in order: key, value, run number from 1 and length."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    changed = (~F.col(value).eqNullSafe(F.lag(value).over(w)) | F.lag(F.lit(1)).over(w).isNull()).cast("int")
-    return rows.withColumn("_c", changed).withColumn("run", F.sum("_c").over(w)).groupBy(*key, "run", value).agg(F.count(F.lit(1)).alias("length"))
-
-
 def history(rows: DataFrame, key: str, order: str, text: Column, most: int = 16) -> Column:
     """The texts of up to `most` rows before this one."""
     return F.collect_list(text).over(Window.partitionBy(key).orderBy(order).rowsBetween(-most, -1))
 
 
 def grouped_runs(rows: DataFrame, key: list[str], order: list[str], value: str, text: str) -> DataFrame:
-    """A row per run of equal values: key, run, value, n and the run's texts in order, one per line."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    changed = (~F.col(value).eqNullSafe(F.lag(value).over(w)) | F.lag(F.lit(1)).over(w).isNull()).cast("int")
-    marked = rows.withColumn("_c", changed).withColumn("run", F.sum("_c").over(w))
+    """A row per run of equal values: key, run, value, n and the run's texts in order, one per line.
+
+    A run is one row in the end, so its texts must fit a task; finding runs has no such bound.
+    """
     said = F.sort_array(F.collect_list(F.struct(*order, F.coalesce(text, F.lit("")).alias("_t"))))
-    return marked.groupBy(*key, "run", value).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(said, lambda s: s["_t"]), "\n").alias(text))
+    return with_runs(rows, key, order, value).groupBy(*key, "run", value).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(said, lambda s: s["_t"]), "\n").alias(text))

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.operators.ordering import exact_sample
+
 _RULE = re.compile(r"(\w+)\s*(>=|<=|==|>|<)\s*(\d+)")
 
 
@@ -126,12 +128,12 @@ def route_keys(task: Column, capability: Column, answer_type: Column, language:
 
 def routed(rows: DataFrame, keys: Column, routes: DataFrame, default: str) -> DataFrame:
     """rows with the route of the first of their keys that routes (key, route; a closed table) has, else the default."""
-    tagged = rows.withColumn("_keys", keys).withColumn("_row", F.monotonically_increasing_id())
+    tagged = rows.withColumn("_keys", keys)
     # routes are configuration: some dozens of rows, collected as literals
     table = {r["key"]: r["route"] for r in routes.collect()}
     known = F.create_map(*[F.lit(x) for kv in table.items() for x in kv]) if table else F.create_map().cast("map<string,string>")
     hit = F.get(F.filter(F.transform("_keys", lambda k: known[k]), lambda r: r.isNotNull()), F.lit(0))
-    return tagged.withColumn("route", F.coalesce(hit, F.lit(default))).drop("_keys", "_row")
+    return tagged.withColumn("route", F.coalesce(hit, F.lit(default))).drop("_keys")
 
 
 def merged_scores(scores: DataFrame) -> DataFrame:
@@ -149,7 +151,7 @@ def audit_sample(rows: DataFrame, sample_id: str, rate: float, seed: int = 42) -
     n = rows.count()
     if rate >= 1 or not n:
         return rows
-    return rows.orderBy(F.md5(F.concat_ws(":", F.col(sample_id).cast("string"), F.lit(seed)).cast("binary")), sample_id).limit(max(1, int(n * rate)))
+    return exact_sample(rows, sample_id, max(1, int(n * rate)), seed)
 
 
 def profile(rows: DataFrame, fields: list[str], most: int = 10, by: str | None = None) -> DataFrame:

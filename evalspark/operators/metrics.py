@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,9 +18,14 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return ratio(F.when(value.isNotNull(), value * weight), F.when(value.isNotNull(), weight))
 
 
-def macro_f1(rows: DataFrame, predicted: str, reference: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
+def _rows(weight: str | None) -> Column:
+    """How many rows there are, each standing for `weight` of them if that is given."""
+    return F.sum(weight) if weight else F.count(F.lit(1))
+
+
+def macro_f1(rows: DataFrame, predicted: str, reference: str, keys: list[str] = [], weight: str | None = None) -> DataFrame:  # noqa: B006
     """Mean F1 over all labels seen on either side, from one count per pair of labels."""
-    pairs = rows.groupBy(*keys, F.col(predicted).cast("string").alias("p"), F.col(reference).cast("string").alias("r")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = rows.groupBy(*keys, F.col(predicted).cast("string").alias("p"), F.col(reference).cast("string").alias("r")).agg(_rows(weight).alias("n"))
     side = lambda c, is_p, hit: F.struct(F.col(c).alias("label_"), F.lit(is_p).alias("is_p"), hit.alias("hit"))
     sides = pairs.select(*keys, "n", F.inline(F.array(side("p", 1, F.col("p").eqNullSafe(F.col("r")).cast("int")), side("r", 0, F.lit(0)))))
     per = sides.groupBy(*keys, "label_").agg(F.sum(F.col("hit") * F.col("n")).alias("tp"), F.sum(F.col("is_p") * F.col("n")).alias("np"), F.sum((1 - F.col("is_p")) * F.col("n")).alias("nr"))
@@ -37,95 +42,110 @@ def covered(predicted: Column, reference: Column) -> Column:
     return predicted / F.greatest(reference, F.lit(1))
 
 
-#: Parts that ordered values are cut into, so that no task has to order all of them.
-PARTS = 64
+#: Buckets per unit of log(1 + |value|) that ordered values fall into first, and parts that such a bucket is cut into
+#: between its least and its greatest value.
+LOG_BUCKETS, LINEAR_BUCKETS = 4096, 65_536
 
 
-def quantiles(rows: DataFrame, value: str, parts: int = PARTS) -> list[float]:
-    """Up to parts - 1 ascending values that cut the rows' values into about equal parts: a bounded list."""
-    found = rows.agg(F.percentile_approx(F.col(value).cast("double"), [k / parts for k in range(1, parts)], 1000).alias("b")).first()["b"]
-    return sorted(set(found or []))
+def log_bucket(value: Column) -> Column:
+    """A bucket that never falls as the value grows; not-a-number is the greatest value."""
+    return F.when(F.isnan(value), F.lit(2**62)).otherwise(F.floor(F.signum(value) * F.log1p(F.abs(value)) * LOG_BUCKETS)).cast("long")
 
 
-def part_of(value: Column, bounds: list[float], first: int = 0) -> Column:
-    """How many of the bounds are below a value, by halving."""
-    if not bounds:
-        return F.lit(first)
-    k = len(bounds) // 2
-    return F.when(value > bounds[k], part_of(value, bounds[k + 1 :], first + k + 1)).otherwise(part_of(value, bounds[:k], first))
+def linear_bucket(value: Column, low: Column, high: Column) -> Column:
+    """A part of the range from low to high that never falls as the value grows; a range without a finite width is one."""
+    share = F.try_divide(value - low, high - low)
+    return F.when((share >= 0) & (share <= 1), F.floor(share * LINEAR_BUCKETS)).otherwise(F.when(F.isnan(value) & ~F.isnan(low), LINEAR_BUCKETS + 1).otherwise(0)).cast("int")
 
 
-def running(per: DataFrame, keys: list[str], value: str, sums: list[str], parts: int = PARTS) -> DataFrame:
+def running(per: DataFrame, keys: list[str], value: str, sums: list[str]) -> DataFrame:
     """per (a row per keys and value) with <c>_upto and <c>_all for each column c of sums: its sum over the values of
     these keys up to this one, and over all of them.
 
-    Values are cut at approximate quantiles (a bounded list); sums per part are few, and rows are ordered in their part.
+    Values are ordered within buckets, and buckets by their sums: no task orders all values of a key, and no job runs
+    while the plan is made.
     """
-    part = part_of(F.col(value), quantiles(per, value, parts))
-    cut = per.withColumn("_k", F.struct(*keys) if keys else F.struct(F.lit(0))).withColumn("_part", part)
-    totals = cut.groupBy("_k", "_part").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
-    before = Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_k", "_part", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}_before") for c in sums], *[F.sum(f"_{c}").over(Window.partitionBy("_k")).alias(f"{c}_all") for c in sums])
-    inside = Window.partitionBy("_k", "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return cut.join(offsets, ["_k", "_part"]).select(*per.columns, *[(F.sum(c).over(inside) + F.col(f"_{c}_before")).alias(f"{c}_upto") for c in sums], *[f"{c}_all" for c in sums])
+    cut = per.withColumn("_k", F.struct(*keys) if keys else F.struct(F.lit(0))).withColumn("_b", log_bucket(F.col(value)))
+    totals = cut.groupBy("_k", "_b").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    # a row per key and bucket
+    before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_k", "_b", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}_before") for c in sums], *[F.sum(f"_{c}").over(Window.partitionBy("_k")).alias(f"{c}_all") for c in sums])
+    inside = Window.partitionBy("_k", "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.join(offsets, ["_k", "_b"]).select(*per.columns, *[(F.sum(c).over(inside) + F.col(f"_{c}_before")).alias(f"{c}_upto") for c in sums], *[f"{c}_all" for c in sums])
 
 
-def roc(rows: DataFrame, score: str, label: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
+def roc(rows: DataFrame, score: str, label: str, keys: list[str] = [], weight: str | None = None) -> DataFrame:  # noqa: B006
     """(keys, score, pos, neg, pos_ge, neg_ge, n_pos, n_neg) per distinct score: one row each, however many samples
     share it. Rows without a score or a label of 0 or 1 are left out."""
-    y = F.col(label).cast("long")
+    y, m = F.col(label).cast("long"), F.col(weight) if weight else F.lit(1)
     known = rows.filter(F.col(score).isNotNull() & y.isin(0, 1))
-    per = known.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    per = known.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(F.sum(y * m).alias("pos"), F.sum((1 - y) * m).alias("neg"))
     at_least = lambda c: (F.col(f"{c}_all") - F.col(f"{c}_upto") + F.col(c)).alias(f"{c}_ge")
     return running(per, keys, "score", ["pos", "neg"]).select(*keys, "score", "pos", "neg", at_least("pos"), at_least("neg"), F.col("pos_all").alias("n_pos"), F.col("neg_all").alias("n_neg"))
 
 
-def auc(rows: DataFrame, score: str, label: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
-    """Wins plus half of ties over all pairs of positives and negatives, by cumulated counts instead of pairs."""
+def verification(rows: DataFrame, score: str, label: str, keys: list[str] = [], weight: str | None = None) -> DataFrame:  # noqa: B006
+    """(keys, auc, eer, threshold) from one curve: wins plus half of ties over all pairs of positives and negatives, by
+    cumulated counts instead of pairs; and the equal error rate at the first threshold, from above, at which the rates
+    are nearest."""
     wins = F.col("pos") * (F.col("n_neg") - F.col("neg_ge") + F.col("neg") / 2.0)
-    return roc(rows, score, label, keys).groupBy(*keys).agg(F.try_divide(F.sum(wins), F.max(F.col("n_pos") * F.col("n_neg"))).alias("auc"))
+    far, frr = F.try_divide(F.col("neg_ge"), F.col("n_neg")), F.try_divide(F.col("n_pos") - F.col("pos_ge"), F.col("n_pos"))
+    best = F.min(F.struct(F.round(F.abs(far - frr), 12).alias("gap"), (-F.col("score")).alias("order"), ((far + frr) / 2).alias("eer")))
+    found = roc(rows, score, label, keys, weight).groupBy(*keys).agg(F.try_divide(F.sum(wins), F.max(F.col("n_pos") * F.col("n_neg"))).alias("auc"), best.alias("b"))
+    return found.select(*keys, "auc", F.col("b.eer").alias("eer"), (-F.col("b.order")).alias("threshold"))
+
+
+def auc(rows: DataFrame, score: str, label: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """(keys, auc)."""
+    return verification(rows, score, label, keys).select(*keys, "auc")
 
 
 def eer(rows: DataFrame, score: str, label: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
-    """Equal error rate at the first threshold, from above, at which the rates are nearest."""
-    curve = roc(rows, score, label, keys)
-    far, frr = F.try_divide(F.col("neg_ge"), F.col("n_neg")), F.try_divide(F.col("n_pos") - F.col("pos_ge"), F.col("n_pos"))
-    best = F.min(F.struct(F.round(F.abs(far - frr), 12).alias("gap"), (-F.col("score")).alias("order"), ((far + frr) / 2).alias("eer")))
-    return curve.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.eer").alias("eer"), (-F.col("b.order")).alias("threshold"))
+    """(keys, eer, threshold)."""
+    return verification(rows, score, label, keys).select(*keys, "eer", "threshold")
 
 
-def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: tuple[float, ...] = (0.5, 0.9, 0.95), parts: int = PARTS) -> DataFrame:
-    """(keys, <value>_p50, ...): percentiles by linear interpolation at (n - 1) q; missing values are left out.
+def histogram(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, v, m): how often each value occurs; missing values are left out."""
+    return rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("m"))
 
-    Values are cut at approximate quantiles and counted per part, which tells in which parts the percentiles lie; only
-    the rows of those parts are shuffled and ranked.
+
+def percentiles(counts: DataFrame, keys: list[str], name: str, shares: tuple[float, ...] = (0.5, 0.9, 0.95), expand: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(keys, <name>_p50, ...) of a histogram (v, m and further columns): by linear interpolation at (n - 1) q.
+
+    `expand` gives rows of the histogram their keys, once per key that they count for. It first sees sums by bucket of
+    value, which tell in which buckets the ranks fall, then only those buckets' values; these are cut once more between
+    the least and the greatest of their bucket. Windows run over buckets, parts of a bucket, and the distinct values of a
+    part; equal values are one row, however many there are.
     """
-    v = rows.filter(F.col(value).isNotNull()).select((F.struct(*keys) if keys else F.struct(F.lit(0))).alias("_k"), F.col(value).cast("double").alias("v"))
-    cut = v.withColumn("_part", part_of(F.col("v"), quantiles(v, "v", parts)))
-    # a row per key and part
-    sizes = cut.groupBy("_k", "_part").agg(F.count(F.lit(1)).alias("m"))
-    order = Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumns({"before": F.coalesce(F.sum("m").over(order), F.lit(0)), "n": F.sum("m").over(Window.partitionBy("_k"))})
+    by = [c for c in counts.columns if c not in ("v", "m")]
+    cut = counts.withColumn("_b", log_bucket(F.col("v")))
+    key = F.struct(*keys) if keys else F.struct(F.lit(0))
+    coarse = expand(cut.groupBy(*by, "_b").agg(F.sum("m").alias("m"), F.min("v").alias("low"), F.max("v").alias("high")))
+    sizes = coarse.groupBy(key.alias("_k"), "_b").agg(F.sum("m").alias("m"), F.min("low").alias("low"), F.max("high").alias("high"))
+    before = lambda part, order: F.coalesce(F.sum("m").over(Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumns({"before": before(["_k"], "_b"), "n": F.sum("m").over(Window.partitionBy("_k"))})
     at = lambda q: (F.col("n") - 1) * F.lit(float(q))
     ranks = [f(at(q)) for q in shares for f in (F.floor, F.ceil)]
     inside = F.greatest(*[(r >= F.col("before")) & (r < F.col("before") + F.col("m")) for r in ranks], F.lit(False))
-    near = cut.join(sizes.filter(inside).drop("m"), ["_k", "_part"])
-    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("_k", "_part").orderBy("v")) - 1 + F.col("before"))
-    picked = [F.max(F.when(F.col("r") == r, F.col("v"))).alias(f"v{k}") for k, r in enumerate(ranks)]
+    needed = sizes.filter(inside).drop("m")
+    near = expand(cut.join(needed.select("_b").distinct(), "_b", "left_semi")).withColumn("_k", key)
+    part = linear_bucket(F.col("v"), F.col("low"), F.col("high"))
+    values = near.join(needed, ["_k", "_b"]).groupBy("_k", "_b", part.alias("_c"), "v", "before", "n").agg(F.sum("m").alias("m"))
+    # a row per part of a bucket
+    parts = values.groupBy("_k", "_b", "_c").agg(F.sum("m").alias("m"))
+    parts = parts.select("_k", "_b", "_c", before(["_k", "_b"], "_c").alias("ahead"))
+    ranked = values.join(parts, ["_k", "_b", "_c"]).withColumn("before", F.col("before") + F.col("ahead") + before(["_k", "_b", "_c"], "v"))
+    picked = [F.max(F.when((r >= F.col("before")) & (r < F.col("before") + F.col("m")), F.col("v"))).alias(f"v{k}") for k, r in enumerate(ranks)]
     out = ranked.groupBy("_k", "n").agg(*picked)
-    between = lambda k, q: F.col(f"v{2 * k}") * (1 - (at(q) - F.floor(at(q)))) + F.col(f"v{2 * k + 1}") * (at(q) - F.floor(at(q)))
-    return out.select(*[F.col("_k")[c].alias(c) for c in keys], *[between(k, q).alias(f"{value}_p{round(100 * q)}") for k, q in enumerate(shares)])
-
+    # the nearer rank alone where the share is whole: an infinite neighbour times 0 is no number
+    def between(k: int, q: float) -> Column:
+        low, high, share = F.col(f"v{2 * k}"), F.col(f"v{2 * k + 1}"), at(q) - F.floor(at(q))
+        return F.when((share == 0) | (low == high), low).otherwise(low * (1 - share) + high * share)
 
-def slices(rows: DataFrame, keys: list[str], most: int = 2) -> DataFrame:
-    """Each row once per grouping set of up to `most` keys that it has all of: columns slice and label added."""
-    sets = [c for n in range(1, most + 1) for c in combinations(keys, n)]
-    one = lambda c: F.when(~F.greatest(*[F.col(k).isNull() for k in c], F.lit(False)), F.struct(F.lit("+".join(c)).alias("slice"), F.concat_ws("+", *c).alias("label")))
-    overall = F.struct(F.lit("overall").alias("slice"), F.lit("all").alias("label"))
-    return rows.withColumn("_s", F.explode(F.array_compact(F.array(overall, *map(one, sets))))).select("*", "_s.slice", "_s.label").drop("_s")
+    return out.select(*[F.col("_k")[c].alias(c) for c in keys], *[between(k, q).alias(f"{name}_p{round(100 * q)}") for k, q in enumerate(shares)])
 
 
-def cube(rows: DataFrame, keys: list[str], aggregates: list[Column], most: int = 2, least_size: int = 5) -> DataFrame:
-    """Aggregates per slice and label, with sample_count and a warning for small samples; partial sums before the shuffle."""
-    out = slices(rows, keys, most).groupBy("slice", "label").agg(F.count(F.lit(1)).alias("sample_count"), *aggregates)
-    return out.withColumn("warning", F.when(F.col("sample_count") < least_size, "small_sample"))
+def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: tuple[float, ...] = (0.5, 0.9, 0.95)) -> DataFrame:
+    """(keys, <value>_p50, ...) of rows; missing values are left out."""
+    return percentiles(histogram(rows, keys, value), keys, value, shares)

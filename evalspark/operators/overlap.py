@@ -17,10 +17,10 @@ def summed(counts: str) -> list[Column]:
     return [F.sum(f"{counts}.{s}{n}").alias(f"{s}{n}") for n in CHAR_ORDERS for s in "mhr"]
 
 
-def bleu(hypothesis_length: Column | None = None) -> Column:
-    """BLEU of the columns of `summed` (or the fields of one row's counts): the geometric mean of four clipped
+def bleu(sums: dict[str, Column] | None = None) -> Column:
+    """BLEU of the columns of `summed`, or of other columns by those names: the geometric mean of four clipped
     precisions, an order without a match counting as half of the one before it, times the brevity penalty."""
-    c = F.col
+    c = sums.__getitem__ if sums else F.col
     precisions, misses = [], F.lit(0)
     for n in ORDERS:
         misses = misses + F.when((c(f"m{n}") == 0) & (c(f"h{n}") > 0), 1).otherwise(0)
@@ -31,9 +31,11 @@ def bleu(hypothesis_length: Column | None = None) -> Column:
     return F.when(none, 0.0).otherwise(penalty * F.exp(reduce(add, precisions) / 4.0))
 
 
-def chrf(beta: float = 2.0) -> Column:
-    """chrF of the columns of `summed`: F-beta of mean precision and recall over the orders that both sides have."""
-    c, both = F.col, lambda n: (F.col(f"h{n}") > 0) & (F.col(f"r{n}") > 0)
+def chrf(sums: dict[str, Column] | None = None, beta: float = 2.0) -> Column:
+    """chrF of the columns of `summed`, or of other columns by those names: F-beta of mean precision and recall over the
+    orders that both sides have."""
+    c = sums.__getitem__ if sums else F.col
+    both = lambda n: (c(f"h{n}") > 0) & (c(f"r{n}") > 0)
     mean = lambda s: F.try_divide(reduce(add, [F.when(both(n), c(f"m{n}") / c(f"{s}{n}")).otherwise(0.0) for n in CHAR_ORDERS]), reduce(add, [both(n).cast("double") for n in CHAR_ORDERS]))
     p, r = F.coalesce(mean("h"), F.lit(0.0)), F.coalesce(mean("r"), F.lit(0.0))
     return F.coalesce(F.try_divide(100.0 * (1 + beta**2) * p * r, beta**2 * p + r), F.lit(0.0))

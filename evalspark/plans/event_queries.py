@@ -67,9 +67,10 @@ def merged_log(spark, sf_dir):
     return log.ordered(log.merge_shards([e.filter("seq % 2 = 0"), e.filter("seq % 2 = 1")])[0]).select("seq", "id", "type", log.type_rank(F.col("type")).alias("rank"))
 
 
-@query(_LOG + ", s AS (SELECT 100 + unnest(range(0, 900)) AS row_id) SELECT row_id, arg_max(data, seq) AS recorded FROM s LEFT JOIN l ON l.id = row_id + 7 AND l.type <> 'error' GROUP BY row_id")
+@query(_LOG + ", s AS (SELECT o_orderkey AS row_id FROM orders) SELECT row_id, arg_max(data, seq) AS recorded FROM s LEFT JOIN l ON l.id = row_id + 7 AND l.type <> 'error' GROUP BY row_id")
 def resume_overlay(spark, sf_dir):
-    samples = spark.range(100, 1000).select(F.col("id").alias("row_id"))
+    """All orders as samples, the log's ids as those of an earlier run."""
+    samples = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"))
     return log.resume_overlay(samples, _log(spark, sf_dir), 7).select("row_id", "recorded")
 
 

@@ -60,7 +60,7 @@ def done_annotations(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "lang").join(done, "doc_id", "left").select("doc_id", "lang", F.coalesce("n", F.lit(0).cast("long")).alias("annotations"))
 
 
-@query(r"SELECT page_id, regexp_replace(left(html, 200), '[\x00-\x1F\x7F]', '', 'g') AS cell, CASE WHEN length(html) > 500 THEN left(html, 486) || '...[truncated]' ELSE html END AS clipped FROM pages")
+@query(r"SELECT page_id, regexp_replace(html, '[\x00-\x1F\x7F]', '', 'g') AS cell, CASE WHEN length(html) > 32767 THEN left(html, 32753) || '...[truncated]' ELSE html END AS clipped FROM pages")
 def sample_view(spark, sf_dir):
     """Cells of the per-sample view: without control characters, and no longer than a cell."""
-    return table(spark, sf_dir, "pages").select("page_id", J.control_free(F.left("html", F.lit(200))).alias("cell"), J.clipped_cell(F.col("html"), 500).alias("clipped"))
+    return table(spark, sf_dir, "pages").select("page_id", J.control_free(F.col("html")).alias("cell"), J.clipped_cell(F.col("html")).alias("clipped"))

@@ -12,7 +12,7 @@ from evalspark.functions import instructions as I
 from evalspark.functions import process as P
 from evalspark.functions import text as T
 from evalspark.functions import text_udf as U
-from evalspark.operators import intervals, metrics
+from evalspark.operators import cube, intervals, metrics
 from evalspark.plans.catalog import REGISTERED, query, r6
 from evalspark.session import table
 from evalspark.streaming import events as streams
@@ -47,11 +47,13 @@ FROM g WHERE label IS NOT NULL GROUP BY slice, label""")
 def cube_slices(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     rows = e.select("event_type", (F.col("user_id") % 10).cast("string").alias("cohort"), "value", (F.col("event_type") == "error").cast("int").alias("failure"))
-    aggs = [r6(F.avg("value")).alias("mean_value"), r6(F.avg("failure")).alias("failure_rate")]
-    keys = ["event_type", "cohort"]
-    p = metrics.exact_percentiles(metrics.slices(rows, keys), ["slice", "label"], "value", (0.5, 0.95))
-    out = metrics.cube(rows, keys, aggs).join(p, ["slice", "label"], "left")
-    return out.select("slice", "label", "sample_count", "mean_value", r6(F.col("value_p50")).alias("value_p50"), r6(F.col("value_p95")).alias("value_p95"), "failure_rate", "warning")
+    cuboid = cube.Cuboid(rows, [["event_type"], ["cohort"], ["event_type", "cohort"]])
+    base = cuboid.flat.groupBy(*cuboid.by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"), F.count("value").alias("m"), F.sum("failure").alias("f"))
+    out = cuboid.expand(base).groupBy("slice", "label").agg(F.sum("n").alias("sample_count"), r6(F.sum("v") / F.sum("m")).alias("mean_value"), r6(F.sum("f") / F.sum("n")).alias("failure_rate"))
+    p = metrics.percentiles(metrics.histogram(cuboid.flat, cuboid.by, "value"), ["slice", "label"], "value", (0.5, 0.95), cuboid.expand)
+    label = F.when(F.col("slice") == "overall", "all").otherwise(F.replace("label", F.lit("|"), F.lit("+"))).alias("label")
+    warning = F.when(F.col("sample_count") < 5, "small_sample").alias("warning")
+    return out.join(p, ["slice", "label"], "left").select("slice", label, "sample_count", "mean_value", r6(F.col("value_p50")).alias("value_p50"), r6(F.col("value_p95")).alias("value_p95"), "failure_rate", warning)
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS value_p50, round(quantile_cont(value, 0.9), 6) AS value_p90, round(quantile_cont(value, 0.95), 6) AS value_p95 FROM events GROUP BY event_type")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evalspark.functions import evaluation as E
 from evalspark.functions import structured as S
+from evalspark.functions import text as T
 from evalspark.operators import diarization as D
 from evalspark.operators import joins as J
 from evalspark.operators import labelling as L
@@ -100,6 +102,37 @@ def target_speaker(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", (said == want).cast("int").alias("target_speaker_acc"), (said != want).cast("int").alias("mis_execution"))
 
 
+def _turns(spark, sf_dir):
+    """Conversations as segments in time: a turn lasts a second a word, after those before it; its hypothesis begins late
+    by up to two seconds and has other speakers (of the next turn, for one in five turns)."""
+    c = table(spark, sf_dir, "conversations").withColumn("n", F.size(T.words(F.col("text"))).cast("double"))
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    ends = c.withColumn("end", F.sum("n").over(w)).withColumn("next", F.lead("role", 1, "other").over(w)).withColumn("place", F.row_number().over(w))
+    late = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3)).cast("double")
+    heard = F.when(F.pmod(F.xxhash64("turn", "conv_id"), F.lit(5)) == 0, F.col("next")).otherwise(F.col("role"))
+    seg = lambda start, who: F.struct(start.alias("start"), F.col("end").alias("end"), who.alias("speaker"))
+    said = lambda who: F.struct(F.col("place").cast("string").alias("id"), who.alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
+    name = F.concat(F.lit("spk-"), F.reverse(F.coalesce(heard, F.lit(""))))
+    role = F.coalesce("role", F.lit(""))
+    rows = ends.filter("n > 0")
+    each = lambda c: F.array_sort(F.collect_list(c))
+    return rows.groupBy("conv_id").agg(each(seg(F.col("end") - F.col("n"), role)).alias("r"), each(seg(F.least(F.col("end") - F.col("n") + late, F.col("end") - 0.5), name)).alias("p"), each(said(role)).alias("ru"), each(said(name)).alias("pu"))
+
+
+@query(None)
+def der_pairs(spark, sf_dir):
+    """Diarization error of hypotheses that differ from their references: seconds of error and of speech."""
+    s = _turns(spark, sf_dir).select("conv_id", D.der_durations("r", "p").alias("d"))
+    return s.select("conv_id", r6(F.col("d.error")).alias("error"), r6(F.col("d.reference")).alias("reference"))
+
+
+@query(None)
+def cpwer_pairs(spark, sf_dir):
+    """Word error by speaker and attribution of the same hypotheses."""
+    s = _turns(spark, sf_dir).select("conv_id", D.attribution_scores("ru", "pu").alias("s"))
+    return s.select("conv_id", r6(F.col("s.cpwer")).alias("cpwer"), r6(F.col("s.accuracy")).alias("accuracy"))
+
+
 @query(r"""
 WITH s AS (SELECT event_id, event_id % 3 AS m, value, user_id FROM events)
 SELECT event_id, CASE WHEN m = 0 THEN value WHEN m = 1 THEN value / 2 END AS latency_ms, CASE WHEN m = 1 THEN round(value / 100, 6) END AS rtf, NULL::DOUBLE AS memory_peak_mb, (m = 2)::INT AS failure, (m = 0)::INT AS timeout FROM s""")
@@ -128,6 +161,37 @@ def output_shapes(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", E.output_error(p, parser).alias("error"))
 
 
+def _turns(spark, sf_dir):
+    """Conversations as segments in time: a turn lasts a second a word, after those before it; its hypothesis begins late
+    by up to two seconds and has other speakers (of the next turn, for one in five turns)."""
+    c = table(spark, sf_dir, "conversations").withColumn("n", F.size(T.words(F.col("text"))).cast("double"))
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    ends = c.withColumn("end", F.sum("n").over(w)).withColumn("next", F.lead("role", 1, "other").over(w)).withColumn("place", F.row_number().over(w))
+    late = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3)).cast("double")
+    heard = F.when(F.pmod(F.xxhash64("turn", "conv_id"), F.lit(5)) == 0, F.col("next")).otherwise(F.col("role"))
+    seg = lambda start, who: F.struct(start.alias("start"), F.col("end").alias("end"), who.alias("speaker"))
+    said = lambda who: F.struct(F.col("place").cast("string").alias("id"), who.alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
+    name = F.concat(F.lit("spk-"), F.reverse(F.coalesce(heard, F.lit(""))))
+    role = F.coalesce("role", F.lit(""))
+    rows = ends.filter("n > 0")
+    each = lambda c: F.array_sort(F.collect_list(c))
+    return rows.groupBy("conv_id").agg(each(seg(F.col("end") - F.col("n"), role)).alias("r"), each(seg(F.least(F.col("end") - F.col("n") + late, F.col("end") - 0.5), name)).alias("p"), each(said(role)).alias("ru"), each(said(name)).alias("pu"))
+
+
+@query(None)
+def der_pairs(spark, sf_dir):
+    """Diarization error of hypotheses that differ from their references: seconds of error and of speech."""
+    s = _turns(spark, sf_dir).select("conv_id", D.der_durations("r", "p").alias("d"))
+    return s.select("conv_id", r6(F.col("d.error")).alias("error"), r6(F.col("d.reference")).alias("reference"))
+
+
+@query(None)
+def cpwer_pairs(spark, sf_dir):
+    """Word error by speaker and attribution of the same hypotheses."""
+    s = _turns(spark, sf_dir).select("conv_id", D.attribution_scores("ru", "pu").alias("s"))
+    return s.select("conv_id", r6(F.col("s.cpwer")).alias("cpwer"), r6(F.col("s.accuracy")).alias("accuracy"))
+
+
 @query(r"""
 WITH s AS (SELECT event_id, event_id % 3 AS m, value, user_id FROM events)
 SELECT event_id, (m < 2)::INT AS count_valid, (m < 2 AND user_id % 5 = 2)::INT AS count_acc, round(CASE m WHEN 0 THEN value / 100 WHEN 1 THEN 1 ELSE 0 END, 6)::DOUBLE AS score, (user_id % 2)::INT AS label,
@@ -193,6 +257,37 @@ def der_of_itself(spark, sf_dir):
     return s.select("user_id", F.size("r").cast("long").alias("segments"), D.der_durations("r", "p")["error"].alias("error"))
 
 
+def _turns(spark, sf_dir):
+    """Conversations as segments in time: a turn lasts a second a word, after those before it; its hypothesis begins late
+    by up to two seconds and has other speakers (of the next turn, for one in five turns)."""
+    c = table(spark, sf_dir, "conversations").withColumn("n", F.size(T.words(F.col("text"))).cast("double"))
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    ends = c.withColumn("end", F.sum("n").over(w)).withColumn("next", F.lead("role", 1, "other").over(w)).withColumn("place", F.row_number().over(w))
+    late = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3)).cast("double")
+    heard = F.when(F.pmod(F.xxhash64("turn", "conv_id"), F.lit(5)) == 0, F.col("next")).otherwise(F.col("role"))
+    seg = lambda start, who: F.struct(start.alias("start"), F.col("end").alias("end"), who.alias("speaker"))
+    said = lambda who: F.struct(F.col("place").cast("string").alias("id"), who.alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
+    name = F.concat(F.lit("spk-"), F.reverse(F.coalesce(heard, F.lit(""))))
+    role = F.coalesce("role", F.lit(""))
+    rows = ends.filter("n > 0")
+    each = lambda c: F.array_sort(F.collect_list(c))
+    return rows.groupBy("conv_id").agg(each(seg(F.col("end") - F.col("n"), role)).alias("r"), each(seg(F.least(F.col("end") - F.col("n") + late, F.col("end") - 0.5), name)).alias("p"), each(said(role)).alias("ru"), each(said(name)).alias("pu"))
+
+
+@query(None)
+def der_pairs(spark, sf_dir):
+    """Diarization error of hypotheses that differ from their references: seconds of error and of speech."""
+    s = _turns(spark, sf_dir).select("conv_id", D.der_durations("r", "p").alias("d"))
+    return s.select("conv_id", r6(F.col("d.error")).alias("error"), r6(F.col("d.reference")).alias("reference"))
+
+
+@query(None)
+def cpwer_pairs(spark, sf_dir):
+    """Word error by speaker and attribution of the same hypotheses."""
+    s = _turns(spark, sf_dir).select("conv_id", D.attribution_scores("ru", "pu").alias("s"))
+    return s.select("conv_id", r6(F.col("s.cpwer")).alias("cpwer"), r6(F.col("s.accuracy")).alias("accuracy"))
+
+
 @query(r"""
 WITH s AS (SELECT event_id, event_id % 3 AS m, (event_id % 50)::DOUBLE AS a FROM events)
 SELECT event_id, (CASE m WHEN 2 THEN 1 ELSE 2 END)::INT AS n, a AS first_start, CASE m WHEN 0 THEN a + 1.5 ELSE a + 3 END AS last_end FROM s""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evalspark.operators.metrics import part_of, quantiles
+from evalspark.operators.ordering import numbered
 
 ORDER = ("prompt", "inference", "post_process", "eval", "error", "skipped")
 
@@ -93,19 +93,18 @@ def completion_report(events: DataFrame, count: int, start: int = 0, required: t
     )
 
 
-def first_of_each(report: DataFrame, most: int = 20) -> DataFrame:
-    """(problem, type, total, ids): how many there are of each problem, and the first ids."""
-    return report.groupBy("problem", "type").agg(F.count(F.lit(1)).alias("total"), F.slice(F.array_sort(F.collect_list("id")), 1, most).alias("ids"))
+#: Parts in which a problem's ids are ranked.
+PARTS = 64
 
 
-def numbered(rows: DataFrame, order: list[str], offset: int = 0, parts: int = 64) -> DataFrame:
-    """rows with id = offset + place in the order of the first column (a number) and then the others. Places are counted
-    per part of the first column's range, so that no task orders all rows."""
-    cut = rows.withColumn("_part", part_of(F.col(order[0]), quantiles(rows, order[0], parts)))
-    # a row per part
-    before = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return cut.join(F.broadcast(before), "_part").withColumn("id", place + F.col("_before") + offset).drop("_part", "_before")
+def first_of_each(report: DataFrame, most: int = 20) -> DataFrame:
+    """(problem, type, total, ids): how many there are of each problem, and the first ids."""
+    # ids are thinned out in parts before they meet: at most `most` of each part are collected
+    part = F.pmod(F.xxhash64("id"), F.lit(PARTS))
+    kept = report.withColumn("_rank", F.row_number().over(Window.partitionBy("problem", "type", part).orderBy("id"))).filter(F.col("_rank") <= most)
+    first = kept.groupBy("problem", F.coalesce("type", F.lit("")).alias("_type")).agg(F.slice(F.array_sort(F.collect_list("id")), 1, most).alias("ids"))
+    total = report.groupBy("problem", "type").agg(F.count(F.lit(1)).alias("total")).withColumn("_type", F.coalesce("type", F.lit("")))
+    return total.join(first, ["problem", "_type"]).select("problem", "type", "total", "ids")
 
 
 def row_slice(rows: DataFrame, order: list[str], offset: int, limit: int = 0) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from evalspark.functions import instructions as I
 from evalspark.functions import process as P
 from evalspark.functions import text as T
-from evalspark.operators import intervals, metrics
+from evalspark.operators import cube, intervals, metrics
 from evalspark.plans import queries as plans
 from evalspark.sources import events
 from evalspark.streaming import events as streams
@@ -48,8 +48,10 @@ def test_duration_weighted_rate_and_percentiles(spark):
 
 def test_cube_leaves_out_missing_keys(spark):
     df = spark.createDataFrame([("x", "u", 1.0), ("x", None, 3.0)], "a string, b string, v double")
-    got = {(r.slice, r.label): (r.sample_count, r.m, r.warning) for r in metrics.cube(df, ["a", "b"], [F.avg("v").alias("m")]).collect()}
-    assert got == {("overall", "all"): (2, 2.0, "small_sample"), ("a", "x"): (2, 2.0, "small_sample"), ("b", "u"): (1, 1.0, "small_sample"), ("a+b", "x+u"): (1, 1.0, "small_sample")}
+    cells = cube.mesh(df, [["a"], ["b"], ["a", "b"]], ["v"]).filter("metric in ('sample_count', 'v', 'small_sample')")
+    got = {(r.slice, r.label, r.metric): r.value for r in cells.collect()}
+    sizes = {("overall", ""): (2, 2.0), ("a", "x"): (2, 2.0), ("b", "u"): (1, 1.0), ("a+b", "x|u"): (1, 1.0)}
+    assert got == {(*k, m): v for k, (n, v1) in sizes.items() for m, v in (("sample_count", n), ("v", v1), ("small_sample", 1))}
 
 
 def test_text_scores(spark):
