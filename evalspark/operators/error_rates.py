@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions import text_udf as U
+from evalspark.functions.spoken_chinese import spoken_numerals
+from evalspark.functions.spoken_english import spoken_numbers
 from evalspark.functions.text import CJK, let, squeeze, strip, words
 
 # Fillers and placeholders of references, contractions and titles of English.
@@ -30,17 +32,25 @@ CONTRACTIONS = (
 SPLITS = (("([{-~\\[-` -&(-+:-@/])", " $1 "), ("([^0-9])([.,])", "$1 $2 "), ("([.,])([^0-9])", " $1 $2"), ("([0-9])(-)", "$1 $2 "))
 
 
-def normalize_english(text: Column) -> Column:
+def normalize_english(text: Column, spellings: dict[str, str] | None = None) -> Column:
     """Lower case, bracketed parts and fillers dropped, contractions and titles written out, diacritics and symbols
-    dropped but for those of numbers. Spelled-out numbers and spellings stay as they are."""
+    dropped but for those of numbers, spelled-out numbers as figures, words spelled as `spellings` has them (a table of
+    British by American spellings, say, which the library doesn't hold)."""
     t = F.lower(text)
     for pattern, by in (("[<\\[][^>\\]]*[>\\]]", ""), ("\\([^)]+?\\)", ""), ("（[a-z A-Z]+?）", ""), ("\\b(hmm|mm|mhm|mmm|uh|um)\\b", ""), ("\\s+'", "'"), *CONTRACTIONS, ("(\\d),(\\d)", "$1$2"), ("\\.([^0-9]|$)", " $1")):
         t = F.regexp_replace(t, pattern, by)
     t = F.regexp_replace(U.unmarked(t), "(?![.%$¢€£])[\\p{M}\\p{S}\\p{P}]", " ")
+    t = spoken_numbers(spellings)(t)
     t = F.regexp_replace(F.regexp_replace(t, "[.$¢€£]([^0-9])", " $1"), "([^0-9])%", "$1 ")
     return F.regexp_replace(t, "\\s+", " ")
 
 
+def normalized(text: Column, language: str = "en", spellings: dict[str, str] | None = None) -> Column:
+    """What a language's rates compare: English normalisation, and for Chinese figures as they are said."""
+    t = normalize_english(text, spellings)
+    return spoken_numerals(t) if language in ("zh", "yue") else t
+
+
 def translation_tokens(text: Column, chinese: bool = False) -> Column:
     """Tokens of the standard tokeniser of machine translation; CJK characters on their own if asked for."""
     t = F.replace(F.regexp_replace(F.regexp_replace(text, "<skipped>|-\\n", ""), "\\n", " "), F.lit("&quot;"), F.lit('"'))
@@ -58,6 +68,22 @@ def bare_tokens(text: Column, language: str) -> Column:
     return F.filter(F.split(t, ""), lambda c: strip(c) != "") if language in ("zh", "ja", "yue", "th", "ko") else words(F.lower(t))
 
 
+def practice_tokens(text: Column, language: str = "en", spellings: dict[str, str] | None = None) -> Column:
+    """Tokens of a normalised text; Chinese characters on their own."""
+    return translation_tokens(F.lower(normalized(text, language, spellings)), language in ("zh", "yue"))
+
+
+def practice(rows: DataFrame, reference: str, hypothesis: str, language: str = "en", spellings: dict[str, str] | None = None) -> DataFrame:
+    """rows with skipped (why the reference can't be scored, or null), and of the others errors and n, by the language's
+    normalisation and tokens: all that its rates are made of."""
+    tokens = lambda c: practice_tokens(F.col(c), language, spellings)
+    why = rows.withColumn("skipped", skip_reason(F.col(reference), language))
+    # of a skipped reference nothing is compared
+    r, h = (F.when(F.col("skipped").isNull(), tokens(c)) for c in (reference, hypothesis))
+    scored = why.withColumn("_e", parts(r, F.coalesce(h, F.array().cast("array<string>"))))
+    return scored.withColumns({c: F.when(F.col("skipped").isNull(), F.col(f"_e.{c}")) for c in ("errors", "n")}).drop("_e")
+
+
 def skip_reason(reference: Column, language: str = "en") -> Column:
     """Why a reference can't be scored: placeholder_ref, filler_only, or null if it can."""
     bare = strip(F.regexp_replace(F.lower(reference), "[\\p{P}!-/:-@\\[-`{-~]", ""))
@@ -69,7 +95,7 @@ def skip_reason(reference: Column, language: str = "en") -> Column:
     else:
         placeholder = every(F.regexp_extract_all(bare, F.lit("[a-z0-9]+"), 0), odd)
         filler = every(F.regexp_extract_all(F.lower(reference), F.lit("[a-z]+"), 0), lambda w: w.isin(*FILLER_WORDS))
-    empty = F.size(translation_tokens(normalize_english(reference))) == 0
+    empty = F.size(practice_tokens(reference, language)) == 0
     return F.when(placeholder, "placeholder_ref").when(empty | filler, "filler_only")
 
 
@@ -85,7 +111,7 @@ def rate(errors: Column, n: Column) -> Column:
 
 def rate_by_slice(rows: DataFrame, keys: list[str], errors: str, n: str, language: str) -> DataFrame:
     """(keys, rate, sample_count) per slice; null for a slice of several languages, whose tokens don't compare."""
-    alone = F.count_distinct(F.lower(F.col(language))) == 1
+    alone = F.coalesce(F.min(F.lower(language)) == F.max(F.lower(language)), F.lit(False))
     return rows.groupBy(*keys).agg(F.when(alone, rate(F.col(errors), F.col(n))).alias("rate"), F.when(alone, F.count(F.lit(1))).alias("sample_count"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evalspark.functions import evaluation as E
@@ -9,6 +10,8 @@ from evalspark.functions import instructions as I
 from evalspark.functions import process as P
 from evalspark.functions import text as T
 from evalspark.functions import text_udf as U
+from evalspark.functions.spoken_chinese import numerals_to_figures, spoken_numerals
+from evalspark.functions.spoken_english import UNITS
 from evalspark.operators import error_rates as R
 from evalspark.operators import overlap as O
 from evalspark.plans.catalog import query, r6, r6_all
@@ -66,6 +69,33 @@ def practice_wer_filter(spark, sf_dir):
     return kept.agg(r6(R.rate(F.col("e.errors"), F.col("e.n"))).alias("wer"), F.count(F.lit(1)).alias("n"))
 
 
+@query(None)
+def practice_wer_normalized(spark, sf_dir):
+    """Conversations' user texts against the next turn's, normalised with numbers, unscorable references left out:
+    why, how many rows, and their rate."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    pairs = table(spark, sf_dir, "conversations").withColumn("heard", F.lead("text").over(w)).filter("role = 'user'")
+    scored = R.practice(pairs, "text", "heard")
+    return scored.groupBy("skipped").agg(F.count(F.lit(1)).alias("n"), F.sum("errors").alias("errors"), F.sum("n").alias("tokens"), r6(R.rate(F.col("errors"), F.col("n"))).alias("wer"))
+
+
+@query(None)
+def normalize_english(spark, sf_dir):
+    """Whole conversation texts with their keys spelled out: an order number as it is said, figures again."""
+    c = table(spark, sf_dir, "conversations")
+    said = F.concat_ws(" ", "text", F.lit("- turn twenty"), F.element_at(F.array(*map(F.lit, UNITS[:9])), (F.col("turn") % 9 + 1).cast("int")), F.lit("of two hundred and five, that's fifty per cent"))
+    return c.select("conv_id", "turn", "role", R.normalize_english(said).alias("normal"))
+
+
+@query(None)
+def normalize_chinese(spark, sf_dir):
+    """Orders in Chinese sentences, their figures as they are said, and read again."""
+    o = table(spark, sf_dir, "orders")
+    text = F.concat(F.date_format("o_orderdate", "yyyy年M月d日"), F.lit("下单"), F.col("o_orderkey").cast("string"), F.lit("个，共"), F.format_string("%.2f", F.col("o_totalprice").cast("double")), F.lit("元，占"), (F.col("o_orderkey") % 100).cast("string"), F.lit("%。"))
+    said = o.select("o_orderkey", spoken_numerals(text).alias("said"))
+    return said.select("o_orderkey", "said", numerals_to_figures("said").alias("figures"))
+
+
 @query("SELECT p_brand, round(100.0 * sum(levenshtein(p_name, lower(p_type))) / sum(length(p_name)), 6) AS cer FROM part GROUP BY p_brand")
 def cer_corpus(spark, sf_dir):
     chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
