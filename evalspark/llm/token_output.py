@@ -40,15 +40,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     ordered = narrow.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, upto, end = encoder(tokenizer), 0, np.array([end_id], dtype="<u4")
+        enc, upto = encoder(tokenizer), 0
         for batch in batches:
             for k in range(0, len(batch), 256):
                 part = batch.slice(k, 256)
-                lists = [np.concatenate((enc.ids(t), end)) for t in part.column("text").to_pylist()]
-                sizes = np.array([len(x) for x in lists], dtype=np.int64)
-                bounds = np.concatenate(([0], np.cumsum(sizes)))
-                ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.concatenate(lists).view("<i4")))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(upto + bounds[:-1]), pa.array(sizes.astype(np.int32)), ids], schema=_SCHEMA)
+                ends, ids = enc.lists(part.column("text"))
+                # one end id behind each text's ids
+                bounds = ends + np.arange(len(ends))
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.insert(ids, ends[1:], end_id).view("<i4")))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(upto + bounds[:-1]), pa.array(np.diff(bounds).astype(np.int32)), lists], schema=_SCHEMA)
                 upto += int(bounds[-1])
 
     encoded = ordered.mapInArrow(encode, "doc_id long, local_start long, n_tokens int, ids array<int>")
