@@ -172,10 +172,16 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, with_ids: bool =
                 c.clear()
             return out
 
+        def texts(batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
+            for k in range(0, len(batch), 256):
+                part = batch.slice(k, 256)
+                ends, ids = enc.lists(part.column("text"))
+                for name, a, b in zip(part.column("doc_id").to_pylist(), ends[:-1], ends[1:], strict=True):
+                    yield name, np.concatenate((ids[a:b], end))
+
         waiting = 0
         for batch in batches:
-            for name, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.concatenate((enc.ids(t.as_py()), end))
+            for name, ids in texts(batch):
                 full = len(ids) - len(ids) % whole
                 for a in range(0, full, whole):
                     put(whole, [_Piece(name, a, ids[a : a + whole].copy(), len(ids))])
