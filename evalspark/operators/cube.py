@@ -7,6 +7,8 @@ Percentiles, rates of verification and F1 come from counts per value, score and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, NumericType, StringType, StructType
@@ -81,8 +83,9 @@ def _key(rows: DataFrame, name: str) -> Column:
 class Cuboid:
     """Rows grouped at the finest combination of keys that occurs; every grouping set rolls up from there.
 
-    `by` are the key columns, as text; `flat` is rows with them. expand() gives a table that was grouped by them its
-    slices: a row once per slice that it takes part in, as (slice, label) instead of the keys.
+    `by` are the key columns, as text; `flat` is rows with them, and keyed() gives them to other rows of those columns.
+    expand() gives a table that was grouped by them its slices: a row once per slice that it takes part in, as (slice,
+    label) instead of the keys.
     """
 
     def __init__(self, rows: DataFrame, sets: list[list[str]]):
@@ -91,7 +94,10 @@ class Cuboid:
         names = sorted({k for s in self.sets for k in s} | ({"use_bucket"} if self.formal else set()))
         self.place = {k: f"_k{n}" for n, k in enumerate(names)}
         self.by = list(self.place.values())
-        self.flat = rows.withColumns({c: _key(rows, k) for k, c in self.place.items()})
+        self.flat = self.keyed(rows)
+
+    def keyed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumns({c: _key(rows, k) for k, c in self.place.items()})
 
     def expand(self, grouped: DataFrame) -> DataFrame:
         entry = lambda name, label: F.struct(F.lit(name).alias("slice"), label.alias("label"))
@@ -107,9 +113,13 @@ class Cuboid:
         return grouped.select(*kept, F.inline(F.array_compact(F.array(*every, *map(one, self.sets)))))
 
     def counts(self, rows: DataFrame, *columns: str) -> DataFrame:
-        """(slice, label, columns, m) of some of flat's rows."""
-        base = rows.groupBy(*self.by, *columns).agg(F.count(F.lit(1)).alias("m"))
-        return self.expand(base).groupBy("slice", "label", *columns).agg(F.sum("m").alias("m"))
+        """(keys, columns, m) of keyed rows."""
+        return rows.groupBy(*self.by, *columns).agg(F.count(F.lit(1)).alias("m"))
+
+    def rolled(self, counts: DataFrame) -> DataFrame:
+        """(slice, label, columns, m) of such counts."""
+        slices = self.expand(counts)
+        return slices.groupBy(*[c for c in slices.columns if c != "m"]).agg(F.sum("m").alias("m"))
 
 
 class Merged:
@@ -117,10 +127,11 @@ class Merged:
 
     def __init__(self) -> None:
         self.partial: dict[str, Column] = {}
+        self.merges: dict[str, Column] = {}
 
-    def _keep(self, partial: Column, merge) -> Column:
+    def _keep(self, partial: Column, merge: Callable[[str], Column]) -> Column:
         name = f"_p{len(self.partial)}"
-        self.partial[name] = partial
+        self.partial[name], self.merges[name] = partial, merge(name)
         return merge(name)
 
     def total(self, c: Column) -> Column:
@@ -147,6 +158,78 @@ def _long(out: DataFrame, values: dict[str, Column]) -> DataFrame:
 OVERLAPS = (("bleu", overlap.bleu), ("chrf", overlap.chrf))
 
 
+class Mesh:
+    """All metrics of score rows of one schema over grouping sets, in two steps: statistics(rows) are small tables at the
+    finest key combination, and cells(tables) are the slices' metrics. Tables of several batches of rows, one behind the
+    other, are the tables of all their rows."""
+
+    def __init__(self, rows: DataFrame, sets: list[list[str]] | None = None, names: list[str] | None = None, least_size: int = 5):
+        self.has, self.least_size = set(rows.columns), least_size
+        self.cuboid, self.merged = Cuboid(rows, default_sets() if sets is None else sets), Merged()
+        self.aggs = self._aggregates(rows, detect_metrics(rows) if names is None else names)
+        self.latencies = [c for c in LATENCIES if c in self.has]
+        self.failures = [c for c in ("failure_stage", "failure_type") if c in self.has]
+
+    def _aggregates(self, rows: DataFrame, names: list[str]) -> dict[str, Column]:
+        merged, has, c = self.merged, self.has, lambda n: F.col(f"`{n}`")
+        aggs = {"sample_count": merged.count(F.lit(1))}
+        for m in names:
+            aggs |= {m: merged.mean(c(m)), f"{m}/sample_count": F.nullif(merged.count(c(m)), F.lit(0))}
+        for m in ("wer", "cer"):
+            if {f"{m}_errors", f"{m}_n", "language"} <= has:
+                alone = merged.same(F.when(c(f"{m}_n").isNotNull(), F.lower("language")))
+                aggs |= {f"{m}%": F.when(alone, F.try_divide(100.0 * merged.total(c(f"{m}_errors")), merged.total(c(f"{m}_n")))), f"{m}%/sample_count": F.when(alone, merged.count(c(f"{m}_n")))}
+        for m, score in OVERLAPS:
+            if f"{m}_counts" in has:
+                counts = c(f"{m}_counts")
+                n = F.nullif(merged.count(counts), F.lit(0))
+                value = score({f: merged.total(counts[f]) for f in rows.schema[f"{m}_counts"].dataType.fieldNames()})
+                aggs |= {m: F.when(n > 0, value), f"{m}/sample_count": n}
+        if {"der", "der_error_duration", "der_reference_duration"} <= has:
+            enough = c("der").isNotNull() & c("der_error_duration").isNotNull() & (c("der_reference_duration") > 0)
+            ready = merged.count(F.when(enough, 1))
+            complete = ready == merged.count(c("der"))
+            weighed = F.try_divide(merged.total(F.when(enough, c("der_error_duration"))), merged.total(F.when(enough, c("der_reference_duration"))))
+            aggs |= {"der": F.when(complete, weighed).otherwise(merged.mean(c("der"))), "der/sufficient_statistics_count": F.when(~complete, ready)}
+        if "annotation_confidence" in has:
+            aggs |= {"confidence_mean": merged.mean(c("annotation_confidence"))}
+        for column, name in GAUGES.items():
+            if column in has:
+                aggs |= {name: merged.mean(c(column)), f"{name}/sample_count": F.nullif(merged.count(c(column)), F.lit(0))}
+        return aggs
+
+    def statistics(self, rows: DataFrame) -> dict[str, DataFrame]:
+        cuboid, flat = self.cuboid, self.cuboid.keyed(rows)
+        out = {"sums": flat.groupBy(*cuboid.by).agg(*[v.alias(k) for k, v in self.merged.partial.items()])}
+        out |= {c: metrics.histogram(flat, cuboid.by, c) for c in self.latencies}
+        if {"classification_pred", "classification_ref"} <= self.has:
+            out["classification"] = cuboid.counts(flat.filter("classification_pred <> '' and classification_ref <> ''"), "classification_pred", "classification_ref")
+        if {"verification_score", "verification_label"} <= self.has:
+            out["verification"] = cuboid.counts(flat.filter("verification_score is not null"), "verification_score", "verification_label")
+        return out | {c: cuboid.counts(flat.filter(F.col(c) != ""), c) for c in self.failures}
+
+    def cells(self, tables: dict[str, DataFrame]) -> DataFrame:
+        """(slice, label, metric, value)."""
+        keys, cuboid = ["slice", "label"], self.cuboid
+        wide = cuboid.expand(tables["sums"]).groupBy(*keys).agg(*[v.alias(f"a{k}") for k, v in enumerate(self.aggs.values())])
+        out = _long(wide, {m: F.col(f"a{k}") for k, m in enumerate(self.aggs)} | {"small_sample": F.when(F.col("a0") < self.least_size, 1)})
+        for column in self.latencies:
+            name = LATENCIES[column]
+            p = metrics.percentiles(tables[column], keys, name, expand=cuboid.expand)
+            out = out.unionByName(_long(p, {f"{name}_p{q}": F.col(f"{name}_p{q}") for q in (50, 90, 95)}))
+        if "classification" in tables:
+            f1 = metrics.macro_f1(cuboid.rolled(tables["classification"]), "classification_pred", "classification_ref", keys, "m")
+            out = out.unionByName(_long(f1, {"macro_f1": F.col("macro_f1")}))
+        if "verification" in tables:
+            both = metrics.verification(cuboid.rolled(tables["verification"]), "verification_score", "verification_label", keys, "m")
+            # a slice of one class has neither
+            out = out.unionByName(_long(both.filter("auc is not null"), {"auc": F.col("auc"), "eer": F.col("eer")}))
+        for column in self.failures:
+            n = cuboid.rolled(tables[column])
+            out = out.unionByName(n.select(*keys, F.concat(F.lit(f"{column}/"), F.col(column), F.lit("/count")).alias("metric"), F.col("m").cast("double").alias("value")))
+        return out
+
+
 def mesh(rows: DataFrame, sets: list[list[str]] | None = None, names: list[str] | None = None, least_size: int = 5) -> DataFrame:
     """(slice, label, metric, value) of every slice: sample_count, small_sample (1 below least_size), and of each metric
     its mean and <metric>/sample_count.
@@ -159,52 +242,8 @@ def mesh(rows: DataFrame, sets: list[list[str]] | None = None, names: list[str]
 
     Rows are aggregated once at the finest key combination; only those aggregates meet the grouping sets.
     """
-    has = set(rows.columns)
-    names = detect_metrics(rows) if names is None else names
-    cuboid, merged = Cuboid(rows, default_sets() if sets is None else sets), Merged()
-    keys, c = ["slice", "label"], lambda n: F.col(f"`{n}`")
-    aggs = {"sample_count": merged.count(F.lit(1))}
-    for m in names:
-        aggs |= {m: merged.mean(c(m)), f"{m}/sample_count": F.nullif(merged.count(c(m)), F.lit(0))}
-    for m in ("wer", "cer"):
-        if {f"{m}_errors", f"{m}_n", "language"} <= has:
-            alone = merged.same(F.when(c(f"{m}_n").isNotNull(), F.lower("language")))
-            aggs |= {f"{m}%": F.when(alone, F.try_divide(100.0 * merged.total(c(f"{m}_errors")), merged.total(c(f"{m}_n")))), f"{m}%/sample_count": F.when(alone, merged.count(c(f"{m}_n")))}
-    for m, score in OVERLAPS:
-        if f"{m}_counts" in has:
-            fields = rows.schema[f"{m}_counts"].dataType.fieldNames()
-            aggs |= {m: score({f: merged.total(c(f"{m}_counts")[f]) for f in fields}), f"{m}/sample_count": F.nullif(merged.count(c(f"{m}_counts")), F.lit(0))}
-    if {"der", "der_error_duration", "der_reference_duration"} <= has:
-        enough = c("der").isNotNull() & c("der_error_duration").isNotNull() & (c("der_reference_duration") > 0)
-        ready = merged.count(F.when(enough, 1))
-        complete = ready == merged.count(c("der"))
-        weighed = F.try_divide(merged.total(F.when(enough, c("der_error_duration"))), merged.total(F.when(enough, c("der_reference_duration"))))
-        aggs |= {"der": F.when(complete, weighed).otherwise(merged.mean(c("der"))), "der/sufficient_statistics_count": F.when(~complete, ready)}
-    if "annotation_confidence" in has:
-        aggs |= {"confidence_mean": merged.mean(c("annotation_confidence"))}
-    for column, name in GAUGES.items():
-        if column in has:
-            aggs |= {name: merged.mean(c(column)), f"{name}/sample_count": F.nullif(merged.count(c(column)), F.lit(0))}
-    base = cuboid.flat.groupBy(*cuboid.by).agg(*[v.alias(k) for k, v in merged.partial.items()])
-    wide = cuboid.expand(base).groupBy(*keys).agg(*[v.alias(f"a{k}") for k, v in enumerate(aggs.values())])
-    out = _long(wide, {m: F.col(f"a{k}") for k, m in enumerate(aggs)} | {"small_sample": F.when(F.col("a0") < least_size, 1)})
-    for column, name in LATENCIES.items():
-        if column in has:
-            p = metrics.percentiles(metrics.histogram(cuboid.flat, cuboid.by, column), keys, name, expand=cuboid.expand)
-            out = out.unionByName(_long(p, {f"{name}_p{q}": F.col(f"{name}_p{q}") for q in (50, 90, 95)}))
-    if {"classification_pred", "classification_ref"} <= has:
-        known = cuboid.counts(cuboid.flat.filter("classification_pred <> '' and classification_ref <> ''"), "classification_pred", "classification_ref")
-        out = out.unionByName(_long(metrics.macro_f1(known, "classification_pred", "classification_ref", keys, "m"), {"macro_f1": F.col("macro_f1")}))
-    if {"verification_score", "verification_label"} <= has:
-        scored = cuboid.counts(cuboid.flat.filter("verification_score is not null"), "verification_score", "verification_label")
-        both = metrics.verification(scored, "verification_score", "verification_label", keys, "m")
-        # a slice of one class has neither
-        out = out.unionByName(_long(both.filter("auc is not null"), {"auc": F.col("auc"), "eer": F.col("eer")}))
-    for column in ("failure_stage", "failure_type"):
-        if column in has:
-            n = cuboid.counts(cuboid.flat.filter(c(column) != ""), column)
-            out = out.unionByName(n.select(*keys, F.concat(F.lit(f"{column}/"), c(column), F.lit("/count")).alias("metric"), F.col("m").cast("double").alias("value")))
-    return out
+    plan = Mesh(rows, sets, names, least_size)
+    return plan.cells(plan.statistics(rows))
 
 
 def coverage(rows: DataFrame, fields: list[str], sources: dict[str, str] | None = None) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from evalspark.functions.text_udf import char_gram_counts, word_gram_counts
 from evalspark.operators import cube
+from evalspark.operators.error_rates import translation_tokens
 from evalspark.plans.catalog import query, r6_all
-from evalspark.session import table
+from evalspark.session import scratch, table
+from evalspark.streaming import statistics as streams
 
 #: Score rows made of events: dimensions, metrics and support fields; a seventh has no capability, a fifth no scenario.
 _ROWS = r"""
@@ -38,7 +42,11 @@ _SETS = [["capability"], ["language"], ["scenario__primary", "capability"], ["ta
 
 
 def score_rows(spark, sf_dir):
-    e, u = table(spark, sf_dir, "events"), F.col("user_id")
+    return _scored(table(spark, sf_dir, "events"))
+
+
+def _scored(e):
+    u = F.col("user_id")
     name = lambda p, c: F.concat(F.lit(p), c)
     return e.select(
         F.col("event_type").alias("task"), F.when(u % 7 > 0, name("c", u % 3)).alias("capability"), F.when(u % 5 > 0, name("s", u % 4)).otherwise("").alias("scenario__primary"),
@@ -54,6 +62,28 @@ def mesh_cube(spark, sf_dir):
     return r6_all(cube.mesh(score_rows(spark, sf_dir), _SETS), "value")
 
 
+@query(_ROWS + " SELECT slice, label, m.metric AS metric, round(m.value, 6) AS value FROM cells WHERE m.value IS NOT NULL")
+def stream_cube(spark, sf_dir):
+    """The same cells from a table that each of four micro-batches merges into."""
+    source, folder = scratch(spark, "cube-source"), scratch(spark, "cube-table")
+    events = table(spark, sf_dir, "events")
+    events.repartition(4).write.parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    plan = cube.Mesh(score_rows(spark, sf_dir), _SETS)
+    streams.maintain(plan, _scored(stream), folder, scratch(spark, "cube-checkpoint"))
+    return r6_all(plan.cells(streams.maintained(spark, plan, folder)), "value")
+
+
+@query(None)
+def overlap_cube(spark, sf_dir):
+    """BLEU and chrF of slices, from summed n-gram counts: user turns against the turns after them, by role of those."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    c = table(spark, sf_dir, "conversations").withColumns({"heard": F.lead("text").over(w), "language": F.lead("role").over(w)}).filter("heard is not null")
+    low = lambda x: translation_tokens(F.lower(x))
+    rows = c.select(F.col("role").alias("task"), F.col("language").alias("capability"), word_gram_counts(low("heard"), low("text")).alias("bleu_counts"), char_gram_counts("heard", "text").alias("chrf_counts"))
+    return r6_all(cube.mesh(rows, [["task"], ["task", "capability"]], []), "value")
+
+
 @query(_ROWS + r""" SELECT CASE slice WHEN 'capability' THEN 'by_capability/' || label WHEN 'scenario__primary+capability' THEN 'by_scenario/' || split_part(label, '|', 1) || '/by_capability/' || split_part(label, '|', 2) ELSE slice END AS path,
   replace(m.metric, '/', '__') AS metric, round(m.value, 6) AS value FROM cells WHERE m.value IS NOT NULL AND slice IN ('overall', 'formal/overall', 'capability', 'scenario__primary+capability')""")
 def nested_report(spark, sf_dir):

@@ -10,6 +10,7 @@ from evalspark.session import scratch, table
 from evalspark.sources import events as log
 from evalspark.sources import manifests
 from evalspark.streaming import events as streams
+from evalspark.streaming import fold
 
 _LOG = r"""
 WITH l AS (SELECT event_id AS seq, event_id // 3 AS id, CASE event_type WHEN 'click' THEN 'prompt' WHEN 'view' THEN 'inference' WHEN 'purchase' THEN 'post_process' WHEN 'signup' THEN 'eval' ELSE 'error' END AS type,
@@ -155,6 +156,19 @@ def stream_resume(spark, sf_dir):
     return streams.run_available(streams.unseen(stream, done), scratch(spark, "stream"), scratch(spark, "stream-cp")).select(F.col("id").alias("event_id"))
 
 
+@query(_LOG + " SELECT id, " + ", ".join(f"arg_max(data, seq) FILTER (type = '{t}') AS {t}" for t in _TYPES) + " FROM l GROUP BY id")
+def stream_fold(spark, sf_dir):
+    """The log folded by a stream with state and timers; ids that it still waits for come from the log."""
+    for k, v in fold.STORE.items():
+        spark.conf.set(k, v)
+    logged = _log(spark, sf_dir).join(table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "ts"), "seq")
+    source = scratch(spark, "fold-source")
+    logged.repartition(3).write.parquet(source)
+    stream = spark.readStream.schema(logged.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    rows = streams.run_available(fold.fold_stream(stream, late="400 days"), scratch(spark, "fold"), scratch(spark, "fold-cp"))
+    return fold.folded_view(rows, logged)
+
+
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'a' || user_id END AS value, event_id % 2 = 1 AS conflict FROM events")
 def dimension_overlay(spark, sf_dir):
     value = F.when(F.col("event_id") % 2 == 1, F.concat(F.lit("a"), "user_id"))
