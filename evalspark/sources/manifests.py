@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
+from pathlib import Path
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +34,8 @@ def with_prefix(rows: DataFrame, column: str, prefix: str, listing: DataFrame) -
 
 
 def write_prepared(rows: DataFrame, path: str) -> dict:
-    """Writes rows as a manifest with the digest of its content beside it; _SUCCESS comes last, by the committer. The
-    digest does not depend on the order of rows."""
+    """Writes rows as a manifest and returns the digest of its content, which does not depend on the order of rows;
+    `prepare` keeps the digest on disk."""
     rows.write.json(f"{path}/manifest")
     return content_digest(rows)
 
@@ -70,3 +76,74 @@ def textgrid(text: Column) -> Column:
     rows = F.regexp_extract_all(text, F.lit(r'(?s)xmin = [0-9.]+\s+xmax = [0-9.]+\s+text = "[^"]*"'), 0)
     one = lambda r: F.struct(F.regexp_extract(r, r"xmin = ([0-9.]+)", 1).cast("double").alias("start"), F.regexp_extract(r, r"xmax = ([0-9.]+)", 1).cast("double").alias("end"), F.regexp_extract(r, r'text = "([^"]*)"', 1).alias("words"))
     return F.filter(F.transform(rows, one), lambda s: F.trim(s["words"]) != "")
+
+
+def write_assets(assets: DataFrame, folder: str) -> None:
+    """Writes (asset, content) as files folder/<asset>, each by the task that has its row: for assets that Spark derives; a
+    dataset's own are there already. The folder must be mounted on all executors, as the one in spark.checkpoint.dir is;
+    ValueError for a store that is no mounted folder."""
+    root = folder.removeprefix("file://")
+    if "://" in root:
+        raise ValueError(f"not a mounted folder: {folder}")
+
+    def write(rows) -> None:
+        Path(root).mkdir(parents=True, exist_ok=True)
+        for row in rows:
+            part = Path(root) / f".{row.asset}.{uuid.uuid4().hex}"
+            part.write_bytes(bytes(row.content))
+            # a task that runs again puts the same file in its place
+            part.replace(Path(root) / row.asset)
+
+    assets.foreachPartition(write)
+
+
+def inventory(spark: SparkSession, folder: str) -> DataFrame:
+    """(asset, size_bytes, sha256) of the files below a folder; hidden and empty files don't count. Contents are hashed
+    where they are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    relative = F.regexp_replace("path", "^.*?" + re.escape(folder.removeprefix("file://").rstrip("/")) + "/", "")
+    return files.select(relative.alias("asset"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def prepare(rows: DataFrame, path: str, asset: str, folder: str) -> None:
+    """Writes a prepared dataset: path/manifest (rows as JSON lines), path/inventory (the assets that they name, with sizes
+    and digests), path/digest (of both), and, last, the marker path/complete. A row without an asset, or one that isn't
+    in the folder, is an error."""
+    spark = rows.sparkSession
+    lacking = rows.join(inventory(spark, folder).select(F.col("asset").alias(asset)), asset, "left_anti").limit(3).select(asset).collect()
+    if lacking:
+        raise ValueError(f"missing assets: {[r[0] for r in lacking]}")
+    rows.write.json(f"{path}/manifest")
+    inventory(spark, folder).join(rows.select(F.col(asset).alias("asset")).distinct(), "asset", "left_semi").write.json(f"{path}/inventory")
+    digests = {n: content_digest(spark.read.schema(s).json(f"{path}/{n}")) for n, s in (("manifest", rows.schema), ("inventory", _INVENTORY))}
+    line = json.dumps({"folder": folder} | digests, sort_keys=True)
+    spark.range(1).select(F.lit(line).alias("value")).write.text(f"{path}/digest")
+    spark.range(1).select(F.lit("complete").alias("value")).write.text(f"{path}/complete")
+
+
+_INVENTORY = "asset string, size_bytes long, sha256 string"
+
+
+def read_with_assets(spark: SparkSession, path: str, schema: str, asset: str, verify: bool = True) -> DataFrame:
+    """A prepared dataset's rows beside their assets' sizes and digests. ValueError without the marker, and where the
+    manifest or the inventory differs from its digest on disk, or (if verify) an asset is missing, changed, or extra."""
+    try:
+        marker = spark.read.text(f"{path}/complete").count()
+    except AnalysisException:
+        marker = 0
+    if not marker:
+        raise ValueError(f"no complete prepared dataset: {path}")
+    digest = json.loads(spark.read.text(f"{path}/digest").first()["value"])
+    rows, listed = spark.read.schema(schema).json(f"{path}/manifest"), spark.read.schema(_INVENTORY).json(f"{path}/inventory")
+    for name, df in (("manifest", rows), ("inventory", listed)):
+        if content_digest(df) != digest[name]:
+            raise ValueError(f"{name} differs from its digest")
+    if verify:
+        found = inventory(spark, digest["folder"]).select("asset", F.struct("size_bytes", "sha256").alias("now"))
+        both = listed.select("asset", F.struct("size_bytes", "sha256").alias("then")).join(found, "asset", "full")
+        wrong = both.filter(~F.col("now").eqNullSafe(F.col("then")))
+        fault = F.when(F.col("now").isNull(), "missing").when(F.col("then").isNull(), "extra").otherwise("changed")
+        faults = [f"{r.fault} {r.asset}" for r in wrong.select("asset", fault.alias("fault")).orderBy("asset").limit(5).collect()]
+        if faults:
+            raise ValueError(f"assets differ from the inventory: {', '.join(faults)}")
+    return rows.join(listed.withColumnRenamed("asset", asset), asset)
