@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, NumericType, StringType, StructType
 
 from evalspark.operators import metrics, overlap
+from evalspark.sources import events as log
+from evalspark.sources.manifests import result_files
 
 # The fields that rows are sliced by, and the columns that are no metrics.
 CONDITIONS = ["condition__acoustic", "condition__spatial", "condition__speaker", "condition__device", "condition__interaction"]
@@ -288,3 +290,22 @@ def summary_errors(report: dict, expected: int, required: tuple[str, ...] = ())
     errors = [] if overall.get("sample_count") == expected else [f"sample_count is {overall.get('sample_count')}, not {expected}"]
     errors += [f"missing {k}" for k in required if k not in overall]
     return errors + ([f"failure_rate is {overall['failure_rate']}"] if overall.get("failure_rate") else [])
+
+
+def difference(before: DataFrame, after: DataFrame, least: float = 0.0) -> DataFrame:
+    """(slice, label, metric, before, after, delta) of the cells that two cubes don't share, or share with values that
+    differ by more than `least`; a cell that one cube lacks is null there."""
+    keys = ["slice", "label", "metric"]
+    both = before.withColumnRenamed("value", "before").join(after.withColumnRenamed("value", "after"), keys, "full")
+    delta = F.col("after") - F.col("before")
+    return both.select(*keys, "before", "after", delta.alias("delta")).filter(delta.isNull() | (F.abs(delta) > least))
+
+
+def suite_report(spark: SparkSession, folder: str, schema: str, sets: list[list[str]] | None = None, excluded: tuple[str, ...] = (), glob: str = "*.jsonl") -> DataFrame:
+    """(path, metric, value) of all runs below a folder, as one job: their event logs are found, the rows that
+    count are taken (eval and error events outside the excluded capabilities), cut into cells, and put in a tree.
+
+    schema: the fields of an event's data that score rows have."""
+    lines = result_files(spark, folder, glob).select(F.from_json("value", f"type string, id string, data struct<{schema}>").alias("e"))
+    rows = log.score_rows(lines.select("e.type", "e.id", "e.data.*"), excluded)
+    return nested_report(mesh(rows.drop("type", "id"), sets))

@@ -37,3 +37,21 @@ def grouped_runs(rows: DataFrame, key: list[str], order: list[str], value: str,
     """
     said = F.sort_array(F.collect_list(F.struct(*order, F.coalesce(text, F.lit("")).alias("_t"))))
     return with_runs(rows, key, order, value).groupBy(*key, "run", value).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(said, lambda s: s["_t"]), "\n").alias(text))
+
+
+def meetings(rows: DataFrame) -> DataFrame:
+    """Consecutive rows of a file that share an audio as one row: file, line (of the first), audio, segments (start, end,
+    speaker; each once, in order) and utterances (id from 0, source_sample_id, start, end, speaker, text).
+
+    rows: file, line, audio, sample_id, start, end, speaker, text; those without a text are no part of a meeting and
+    don't part one. A segment needs both times and a speaker. A meeting is one row in the end, so it must fit a task.
+    """
+    stem = F.regexp_replace(F.regexp_replace("audio", "^.*/", ""), "[.][^.]*$", "")
+    runs_ = with_runs(rows.filter("text is not null"), ["file"], ["line"], "audio")
+    said = F.sort_array(F.collect_list(F.struct("line", "sample_id", "start", "end", "speaker", "text")))
+    met = runs_.groupBy("file", "run", "audio").agg(F.min("line").alias("line"), said.alias("said")).withColumn("_stem", F.coalesce(F.nullif(stem, F.lit("")), F.lit("meeting")))
+    timed = F.filter("said", lambda u: u["start"].isNotNull() & u["end"].isNotNull() & (F.coalesce(u["speaker"], F.lit("")) != ""))
+    segments = F.array_distinct(F.transform(timed, lambda u: F.struct(u["start"].alias("start"), u["end"].alias("end"), u["speaker"].alias("speaker"))))
+    name = lambda u, k: F.coalesce(F.nullif(u["sample_id"], F.lit("")), F.concat("_stem", F.lit("_"), F.lpad(k.cast("string"), 5, "0"))).alias("source_sample_id")
+    utterances = F.transform("said", lambda u, k: F.struct(k.cast("string").alias("id"), name(u, k), u["start"].alias("start"), u["end"].alias("end"), u["speaker"].alias("speaker"), u["text"].alias("text")))
+    return met.select("file", "line", "audio", segments.alias("segments"), utterances.alias("utterances"))

@@ -74,6 +74,38 @@ def stream_cube(spark, sf_dir):
     return r6_all(plan.cells(streams.maintained(spark, plan, folder)), "value")
 
 
+#: A run's log as data: the columns of the score rows, whose failures the events of type error stand for.
+_DATA = "task string, capability string, scenario__primary string, language string, use_bucket string, acc int, latency_ms double, wer_errors long, wer_n long, classification_pred string, classification_ref string, failure_stage string, metric_names string, failure int"
+
+
+@query(_ROWS.replace("(event_type = 'error')::INT AS failure", "(event_type = 'error')::INT AS failure, (event_type = 'error')::INT * 0 AS timeout") + r""" SELECT CASE slice WHEN 'capability' THEN 'by_capability/' || label WHEN 'scenario__primary+capability' THEN 'by_scenario/' || split_part(label, '|', 1) || '/by_capability/' || split_part(label, '|', 2) ELSE slice END AS path,
+  replace(m.metric, '/', '__') AS metric, round(m.value, 6) AS value FROM cells WHERE m.value IS NOT NULL AND slice IN ('overall', 'formal/overall', 'capability', 'scenario__primary+capability')""")
+def suite_report(spark, sf_dir):
+    """Runs in several folders, found, scored, cut and put in a tree; prompts and answers in the logs don't count."""
+    at, rows = scratch(spark, "suite"), score_rows(spark, sf_dir)
+    kind = F.when(F.col("failure") == 1, "error").otherwise("eval")
+    data = F.struct(*[c for c in rows.columns if c != "failure"], F.when(F.col("failure") == 0, 0).alias("failure"))
+    line = lambda kind, data: F.to_json(F.struct(kind.alias("type"), F.lit("1").alias("id"), data.alias("data"))).alias("value")
+    for run in ("click", "other"):
+        mine = rows.filter((F.col("task") == "click") == (run == "click"))
+        # Spark's own names end in .txt here
+        mine.select(F.explode(F.array(line(F.lit("prompt"), F.struct("task")), line(kind, data)))).write.text(f"{at}/{run}")
+    found = cube.suite_report(spark, at, _DATA, _SETS, glob="*.txt")
+    # a log's events say nothing of timeouts, and an error isn't one
+    return r6_all(found.filter("metric not like 'timeout%'"), "value")
+
+
+@query(_ROWS + r""", worse AS (SELECT slice, label, acc + (latency_ms > 50)::INT AS acc FROM sliced),
+a AS (SELECT slice, label, avg(acc) AS v FROM sliced GROUP BY ALL), b AS (SELECT slice, label, avg(acc) AS v FROM worse GROUP BY ALL)
+SELECT slice, label, 'acc' AS metric, round(a.v, 6) AS before, round(b.v, 6) AS after, round(b.v - a.v, 6) AS delta FROM a JOIN b USING (slice, label) WHERE abs(a.v - b.v) > 0.001""")
+def rescore_diff(spark, sf_dir):
+    """Rows scored again by another rule, their cells beside those of the first scores."""
+    rows = score_rows(spark, sf_dir)
+    again = rows.withColumn("acc", F.col("acc") + (F.col("latency_ms") > 50).cast("int"))
+    cells = lambda df: cube.mesh(df, _SETS).filter("metric = 'acc'")
+    return r6_all(cube.difference(cells(rows), cells(again), 0.001), "before", "after", "delta")
+
+
 @query(None)
 def overlap_cube(spark, sf_dir):
     """BLEU and chrF of slices, from summed n-gram counts: user turns against the turns after them, by role of those."""

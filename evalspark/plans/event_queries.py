@@ -176,3 +176,21 @@ def dimension_overlay(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", o["value"].alias("value"), o["conflict"].alias("conflict"))
 
 
+
+
+@query(r"""
+WITH s AS (SELECT conv_id, turn, coalesce(role, '') AS role, text, CASE WHEN turn % 4 = 3 THEN NULL ELSE turn // 2 END AS start, 'a/' || conv_id % 2 || '_' || turn // 3 || '.wav' AS audio, CASE WHEN turn % 2 = 0 THEN conv_id || '-' || turn END AS sid
+  FROM conversations WHERE text IS NOT NULL),
+g AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn, role, text, sid) AS run FROM (SELECT *, (audio IS DISTINCT FROM lag(audio) OVER (PARTITION BY conv_id ORDER BY turn, role, text, sid))::INT AS n FROM s)),
+u AS (SELECT *, row_number() OVER (PARTITION BY conv_id, run ORDER BY turn, role, text, sid) - 1 AS k FROM g)
+SELECT conv_id, min(turn)::BIGINT AS line, audio, count(*)::INT AS n, count(DISTINCT CASE WHEN start IS NOT NULL AND role <> '' THEN role || start END)::INT AS n_segments,
+  string_agg(k || ':' || coalesce(sid, regexp_extract(audio, '/([^.]*)', 1) || '_' || lpad(k::VARCHAR, 5, '0')) || ':' || role || ':' || md5(text), ' ' ORDER BY k) AS utterances FROM u GROUP BY conv_id, run, audio""")
+def meetings(spark, sf_dir):
+    """Conversations as manifests of utterances, grouped by consecutive audio: segments and utterances."""
+    t, c = F.col("turn"), table(spark, sf_dir, "conversations")
+    start = F.when(t % 4 < 3, F.floor(t / 2).cast("double"))
+    audio = F.concat(F.lit("a/"), (F.col("conv_id") % 2).cast("string"), F.lit("_"), F.floor(t / 3).cast("string"), F.lit(".wav"))
+    rows = c.select(F.col("conv_id").alias("file"), F.col("turn").cast("long").alias("line"), audio.alias("audio"), F.when(t % 2 == 0, F.concat_ws("-", "conv_id", "turn")).alias("sample_id"), start.alias("start"), (start + 1).alias("end"), F.coalesce("role", F.lit("")).alias("speaker"), "text")
+    m = intervals.meetings(rows)
+    said = F.array_join(F.transform("utterances", lambda u: F.concat_ws(":", u["id"], u["source_sample_id"], u["speaker"], F.md5(u["text"].cast("binary")))), " ")
+    return m.select(F.col("file").alias("conv_id"), "line", "audio", F.size("utterances").alias("n"), F.size("segments").alias("n_segments"), said.alias("utterances"))

@@ -161,133 +161,6 @@ def output_shapes(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", E.output_error(p, parser).alias("error"))
 
 
-def _turns(spark, sf_dir):
-    """Conversations as segments in time: a turn lasts a second a word, after those before it; its hypothesis begins late
-    by up to two seconds and has other speakers (of the next turn, for one in five turns)."""
-    c = table(spark, sf_dir, "conversations").withColumn("n", F.size(T.words(F.col("text"))).cast("double"))
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    ends = c.withColumn("end", F.sum("n").over(w)).withColumn("next", F.lead("role", 1, "other").over(w)).withColumn("place", F.row_number().over(w))
-    late = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3)).cast("double")
-    heard = F.when(F.pmod(F.xxhash64("turn", "conv_id"), F.lit(5)) == 0, F.col("next")).otherwise(F.col("role"))
-    seg = lambda start, who: F.struct(start.alias("start"), F.col("end").alias("end"), who.alias("speaker"))
-    said = lambda who: F.struct(F.col("place").cast("string").alias("id"), who.alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
-    name = F.concat(F.lit("spk-"), F.reverse(F.coalesce(heard, F.lit(""))))
-    role = F.coalesce("role", F.lit(""))
-    rows = ends.filter("n > 0")
-    each = lambda c: F.array_sort(F.collect_list(c))
-    return rows.groupBy("conv_id").agg(each(seg(F.col("end") - F.col("n"), role)).alias("r"), each(seg(F.least(F.col("end") - F.col("n") + late, F.col("end") - 0.5), name)).alias("p"), each(said(role)).alias("ru"), each(said(name)).alias("pu"))
-
-
-@query(None)
-def der_pairs(spark, sf_dir):
-    """Diarization error of hypotheses that differ from their references: seconds of error and of speech."""
-    s = _turns(spark, sf_dir).select("conv_id", D.der_durations("r", "p").alias("d"))
-    return s.select("conv_id", r6(F.col("d.error")).alias("error"), r6(F.col("d.reference")).alias("reference"))
-
-
-@query(None)
-def cpwer_pairs(spark, sf_dir):
-    """Word error by speaker and attribution of the same hypotheses."""
-    s = _turns(spark, sf_dir).select("conv_id", D.attribution_scores("ru", "pu").alias("s"))
-    return s.select("conv_id", r6(F.col("s.cpwer")).alias("cpwer"), r6(F.col("s.accuracy")).alias("accuracy"))
-
-
-@query(r"""
-WITH s AS (SELECT event_id, event_id % 3 AS m, value, user_id FROM events)
-SELECT event_id, (m < 2)::INT AS count_valid, (m < 2 AND user_id % 5 = 2)::INT AS count_acc, round(CASE m WHEN 0 THEN value / 100 WHEN 1 THEN 1 ELSE 0 END, 6)::DOUBLE AS score, (user_id % 2)::INT AS label,
-  CASE m WHEN 0 THEN (value / 100 >= 0.5) = (user_id % 2 = 1) WHEN 1 THEN user_id % 2 = 1 ELSE user_id % 2 = 0 END::INT AS acc FROM s""")
-def speaker_checks(spark, sf_dir):
-    m = F.col("event_id") % 3
-    n = E.speaker_count(F.when(m == 0, "2").when(m == 1, '{"speaker_count": 2}').otherwise("two"), (F.col("user_id") % 5).cast("string"))
-    v = E.verification(F.when(m == 0, F.format_string("%.10f", F.col("value") / 100)).when(m == 1, '{"same_speaker": true}').otherwise("no"), (F.col("user_id") % 2).cast("string"))
-    return _events(spark, sf_dir).select("event_id", n["valid"].alias("count_valid"), n["acc"].alias("count_acc"), r6(v["score"]).alias("score"), v["label"].alias("label"), v["acc"].alias("acc"))
-
-
-@query(r"""
-SELECT event_id, CASE WHEN value / 100 <= 0.5 THEN round(100 * (1 - value / 100), 6) ELSE 0 END::DOUBLE AS repeat_score, CASE WHEN user_id % 3 > 0 THEN round(value / 1000 / (user_id % 3), 6) END AS rtf,
-  CASE WHEN (user_id % 2) + (event_id % 2) + (event_id % 3 = 0)::INT >= 2 THEN 'yes' ELSE 'no' END AS majority,
-  CASE event_id % 5 WHEN 0 THEN 'zh' WHEN 1 THEN 'en' WHEN 2 THEN 'mix' WHEN 3 THEN 'zh' ELSE 'fr' END AS language FROM events""")
-def scalar_scores(spark, sf_dir):
-    vote = lambda c: F.when(c, "Yes").otherwise("no")
-    votes = F.array(vote(F.col("user_id") % 2 == 1), vote(F.col("event_id") % 2 == 1), vote(F.col("event_id") % 3 == 0))
-    language = F.element_at(F.array(*map(F.lit, ("zh-CN", "English", "zh-en", "Cantonese", "fr"))), (F.col("event_id") % 5 + 1).cast("int"))
-    return _events(spark, sf_dir).select("event_id", r6(E.error_rate_score(F.col("value") / 100)).alias("repeat_score"), r6(E.rtf(F.col("value"), (F.col("user_id") % 3).cast("double"))).alias("rtf"), E.majority(votes).alias("majority"), E.language_key(language).alias("language"))
-
-
-@query(r"""
-WITH s AS (SELECT user_id, event_id, value, CASE event_id % 3 WHEN 0 THEN 'A0' WHEN 1 THEN 'A1' ELSE 'B' END AS track FROM events),
-p AS (SELECT user_id, max(value) FILTER (track = 'A0') AS a, max(value) FILTER (track = 'A1') AS b FROM s GROUP BY user_id)
-SELECT user_id % 4 AS cell, count(*)::BIGINT AS n, count(a - b)::BIGINT AS paired, round(avg((a = b)::INT), 6) AS exact, round(avg((abs(a - b) <= 20)::INT), 6) AS close, round(avg(a - b), 6) AS mean_delta FROM p GROUP BY ALL""")
-def track_agreement(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    track = F.element_at(F.array(*map(F.lit, ("A0", "A1", "B"))), (F.col("event_id") % 3 + 1).cast("int"))
-    wide = J.pivoted(e.withColumn("track", track), ["user_id"], "track", "value", ("A0", "A1", "B")).withColumn("cell", F.col("user_id") % 4)
-    return r6_all(J.agreement(wide, ["cell"], "A0", "A1"), "exact", "close", "mean_delta")
-
-
-@query(r"""
-SELECT event_type AS model, sum(user_id)::BIGINT AS prompt_tokens, sum(event_id)::BIGINT AS completion_tokens, CASE WHEN event_type IN ('click', 'view') THEN round(sum(user_id * CASE event_type WHEN 'click' THEN 0.15 ELSE 2.5 END + event_id * CASE event_type WHEN 'click' THEN 0.6 ELSE 10 END) / 1e6, 6) END::DOUBLE AS cost FROM events GROUP BY 1""")
-def judge_cost(spark, sf_dir):
-    usage = table(spark, sf_dir, "events").select(F.col("event_type").alias("model"), F.col("user_id").alias("prompt_tokens"), F.col("event_id").alias("completion_tokens"))
-    return r6_all(L.costs(usage, {"click": (0.15, 0.6), "view": (2.5, 10.0)}), "cost")
-
-
-@query(r"""
-SELECT event_type, round(100 * avg((value > user_id)::INT), 6) AS win_pct, round(avg(user_id), 6) AS ref_score, round(avg(value), 6) AS pred_score FROM events GROUP BY 1""")
-def pairwise_wins(spark, sf_dir):
-    wins = metrics.pairwise("value", "user_id")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(*[r6(c).alias(n) for n, c in wins.items()])
-
-
-@query(r"""SELECT conv_id, round(count(*) FILTER (role = 'assistant') / greatest(count(*) FILTER (role = 'user'), 1), 6) AS turns, round(sum(len(regexp_extract_all(text, '\S+'))) FILTER (role = 'assistant') / greatest(sum(len(regexp_extract_all(text, '\S+'))) FILTER (role = 'user'), 1), 6) AS words FROM conversations GROUP BY conv_id""")
-def coverage_ratio(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", "role", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\\s+"), lambda w: w != "")).alias("n"))
-    side = lambda r, v: F.sum(F.when(F.col("role") == r, v))
-    return c.groupBy("conv_id").agg(r6(metrics.covered(F.coalesce(side("assistant", 1), F.lit(0)), side("user", 1))).alias("turns"), r6(metrics.covered(side("assistant", F.col("n")), side("user", F.col("n")))).alias("words"))
-
-
-@query(r"""
-WITH s AS (SELECT user_id, list({'start': event_id % 50, 'end': event_id % 50 + 2}) AS l, count(*) AS n FROM events GROUP BY user_id)
-SELECT user_id, n::BIGINT AS segments, 0.0::DOUBLE AS error FROM s""")
-def der_of_itself(spark, sf_dir):
-    """Diarization error of a user's segments against the same ones under another speaker's name: none."""
-    start = (F.col("event_id") % 50).cast("double")
-    seg = lambda who: F.array_sort(F.collect_list(F.struct(start.alias("start"), (start + 2.0).alias("end"), F.lit(who).alias("speaker"))))
-    s = table(spark, sf_dir, "events").groupBy("user_id").agg(seg("a").alias("r"), seg("b").alias("p"))
-    return s.select("user_id", F.size("r").cast("long").alias("segments"), D.der_durations("r", "p")["error"].alias("error"))
-
-
-def _turns(spark, sf_dir):
-    """Conversations as segments in time: a turn lasts a second a word, after those before it; its hypothesis begins late
-    by up to two seconds and has other speakers (of the next turn, for one in five turns)."""
-    c = table(spark, sf_dir, "conversations").withColumn("n", F.size(T.words(F.col("text"))).cast("double"))
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    ends = c.withColumn("end", F.sum("n").over(w)).withColumn("next", F.lead("role", 1, "other").over(w)).withColumn("place", F.row_number().over(w))
-    late = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3)).cast("double")
-    heard = F.when(F.pmod(F.xxhash64("turn", "conv_id"), F.lit(5)) == 0, F.col("next")).otherwise(F.col("role"))
-    seg = lambda start, who: F.struct(start.alias("start"), F.col("end").alias("end"), who.alias("speaker"))
-    said = lambda who: F.struct(F.col("place").cast("string").alias("id"), who.alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
-    name = F.concat(F.lit("spk-"), F.reverse(F.coalesce(heard, F.lit(""))))
-    role = F.coalesce("role", F.lit(""))
-    rows = ends.filter("n > 0")
-    each = lambda c: F.array_sort(F.collect_list(c))
-    return rows.groupBy("conv_id").agg(each(seg(F.col("end") - F.col("n"), role)).alias("r"), each(seg(F.least(F.col("end") - F.col("n") + late, F.col("end") - 0.5), name)).alias("p"), each(said(role)).alias("ru"), each(said(name)).alias("pu"))
-
-
-@query(None)
-def der_pairs(spark, sf_dir):
-    """Diarization error of hypotheses that differ from their references: seconds of error and of speech."""
-    s = _turns(spark, sf_dir).select("conv_id", D.der_durations("r", "p").alias("d"))
-    return s.select("conv_id", r6(F.col("d.error")).alias("error"), r6(F.col("d.reference")).alias("reference"))
-
-
-@query(None)
-def cpwer_pairs(spark, sf_dir):
-    """Word error by speaker and attribution of the same hypotheses."""
-    s = _turns(spark, sf_dir).select("conv_id", D.attribution_scores("ru", "pu").alias("s"))
-    return s.select("conv_id", r6(F.col("s.cpwer")).alias("cpwer"), r6(F.col("s.accuracy")).alias("accuracy"))
-
-
 @query(r"""
 WITH s AS (SELECT event_id, event_id % 3 AS m, (event_id % 50)::DOUBLE AS a FROM events)
 SELECT event_id, (CASE m WHEN 2 THEN 1 ELSE 2 END)::INT AS n, a AS first_start, CASE m WHEN 0 THEN a + 1.5 ELSE a + 3 END AS last_end FROM s""")

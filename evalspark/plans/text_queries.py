@@ -278,3 +278,32 @@ def answer_extractors(spark, sf_dir):
 @query(r"SELECT p_partkey, array_to_string(list_filter(regexp_extract_all(replace(upper(p_name || '-' || p_type), '-', ' '), '\S+'), lambda w: w NOT IN ('RED', 'PROMO')), ' ') AS cleaned FROM part")
 def transcript_cleaning(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", R.clean_transcript(F.concat_ws("-", "p_name", "p_type"), ("RED", "PROMO")).alias("cleaned"))
+
+
+_PIECES = r"""
+WITH s AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, replace(t, chr(10), ' *** ') AS p, replace(t, '. ', '******') AS two, regexp_replace(t, ' ([A-Za-z0-9_]+)\.', ' <<\1>>', 'g') AS titled, replace(t, chr(10), chr(10) || chr(10)) AS airy FROM s),
+b AS (SELECT *, string_split_regex(p, '\s?\*\*\*\s?') AS parts, list_filter(list_transform(string_split(two, '******'), lambda x: trim(x)), lambda x: x <> '') AS halves, string_split(airy, chr(10) || chr(10)) AS paras FROM w)"""
+
+
+@query(_PIECES + r"""
+SELECT doc_id, len(list_filter(parts, lambda x: trim(x) <> '')) = 3 AND len(list_filter(parts[2:-2], lambda x: trim(x) = '')) = 0 AS paragraphs, regexp_matches(titled, '<<[^\n]*\S[^\n]*>>') AS title,
+  len(halves) = 2 AND halves[1] <> halves[2] AS two_responses, len(regexp_extract_all(t, '[\p{L}\p{M}\p{Nd}\p{Pc}]+')) >= 100 AS many_words, contains(lower(t), 'he.') AS postscript,
+  length(trim('"' || t)) > 1 AND right(trim('"' || t), 1) = '"' AS quotation,
+  len(list_filter(paras, lambda x: regexp_matches(x, '\S'))) = 4 AND lower(regexp_extract(regexp_replace(paras[2], '^\s+', ''), '^''*"*([^\s.,?!''"]*)', 1)) = 'the' AND regexp_matches(paras[2], '\S') AS nth_word FROM b""")
+def ifeval_rest(spark, sf_dir):
+    """The predicates that need marks in texts, over whole documents with such marks made of their own punctuation."""
+    t = F.coalesce("text", F.lit(""))
+    marked = lambda old, new: F.replace(t, F.lit(old), F.lit(new))
+    checks = {
+        "paragraphs": I.number_paragraphs(marked("\n", " *** "), 3), "title": I.title(F.regexp_replace(t, r" ([A-Za-z0-9_]+)\.", " <<$1>>")), "two_responses": I.two_responses(marked(". ", "******")), "many_words": I.number_words(t, 100),
+        "postscript": I.postscript(t, "he."), "quotation": I.quotation(F.concat(F.lit('"'), t)), "nth_word": I.paragraph_first_word(marked("\n", "\n\n"), 4, 2, "the"),
+    }
+    return table(spark, sf_dir, "documents").select("doc_id", *[F.coalesce(c, F.lit(False)).alias(n) for n, c in checks.items()])
+
+
+@query(r"SELECT event_id, json_valid(left(props, (event_id % 12)::INT + 1)) AS cut, json_valid(props) AS whole FROM events")
+def ifeval_json(spark, sf_dir):
+    """JSON in fences, whole and broken off."""
+    fenced = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
+    return table(spark, sf_dir, "events").select("event_id", I.json_format(F.left("props", (F.col("event_id") % 12 + 1).cast("int"))).alias("cut"), I.json_format(fenced).alias("whole"))

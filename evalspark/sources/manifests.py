@@ -21,9 +21,9 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, aliases:
     return rows.select("*", *[F.col(old).alias(new) for old, new in (aliases or {}).items()])
 
 
-def result_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The text lines of all *.jsonl files below a folder, each with its file."""
-    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(folder).select("value", F.col("_metadata.file_path").alias("file"))
+def result_files(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataFrame:
+    """The text lines of all files of that name below a folder, each with its file."""
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(folder).select("value", F.col("_metadata.file_path").alias("file"))
 
 
 def with_prefix(rows: DataFrame, column: str, prefix: str, listing: DataFrame) -> DataFrame:
