@@ -234,11 +234,6 @@ def error_rate_score(rate: Column) -> Column:
     return F.when(rate <= 0.5, 100.0 * (1.0 - rate)).otherwise(0.0)
 
 
-def majority(votes: Column) -> Column:
-    """yes if more than half of an array of votes say so, in any case; ties are no."""
-    return F.when(F.size(F.filter(votes, lambda v: F.lower(v) == "yes")) * 2 > F.size(votes), "yes").otherwise("no")
-
-
 def vocal_state(text: Column) -> Column:
     """The state named after `the speaker is in the state of`; null where none is."""
     return nz(F.regexp_extract(text, "(?i)the speaker is in the state of\\s+([a-zA-Z]+)", 1))
@@ -247,10 +242,3 @@ def vocal_state(text: Column) -> Column:
 def audio_path(text: Column) -> Column:
     """An audio path: the `audio` of a JSON text, else the first thing in the text that looks like one."""
     return F.coalesce(nz(F.get_json_object(text, "$.audio")), nz(F.regexp_extract(text, "([^\\s\"'<>]+\\.(?:wav|flac|mp3|ogg))", 1)))
-
-
-def language_key(language: Column) -> Column:
-    """zh, en, mix or the language itself, from codes and names in any case."""
-    t = F.lower(F.trim(language))
-    zh = t.rlike("^(zh|cmn|yue|chinese|mandarin|cantonese)")
-    return F.when(t.rlike("mix|code.?switch") | (t.contains("zh") & t.contains("en")), "mix").when(zh, "zh").when(t.rlike("^en"), "en").otherwise(t)

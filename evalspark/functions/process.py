@@ -129,12 +129,3 @@ def asr_extract(text: Column, lang: str = "en") -> Column:
 def tool_calls(text: Column) -> Column:
     """The JSON texts inside `<tool_call>` tags, in order."""
     return F.regexp_extract_all(text, F.lit("(?s)<tool_call>\\s*(.*?)\\s*</tool_call>"), 1)
-
-
-def coerce_bool(text: Column) -> Column:
-    """Words for true and false in English and Chinese; else the first such word in the text."""
-    yes, no = "true|yes|1|accept|allowed|是|允许|同意", "false|no|0|reject|denied|否|不允许|拒绝"
-    t = F.lower(F.trim(text))
-    whole = F.when(t.rlike(f"^(?:{yes})$"), True).when(t.rlike(f"^(?:{no})$"), False)
-    first = F.regexp_extract(t, f"\\b({yes}|{no})\\b", 1)
-    return F.coalesce(whole, F.when(first.rlike(f"^(?:{yes})$"), True).when(first.rlike(f"^(?:{no})$"), False))

@@ -1,4 +1,4 @@
-"""Text functions as Columns: normalisation, token counts, edit distance, overlap scores. No Python runs per row."""
+"""Text functions as Columns: normalisation, tokens, judge parsers. No Python runs per row."""
 
 from __future__ import annotations
 
@@ -56,89 +56,12 @@ def tokens(text: Column) -> Column:
     return F.when(text.rlike(CJK), chars).otherwise(words(text))
 
 
-#: Code points but the 2,048 surrogates, so many tokens have a character each.
-ALPHABET = 0x10FFFF - 2048
-
-
-def edit_distance(reference: Column, hypothesis: Column, alphabet: int = ALPHABET) -> Column:
-    """Levenshtein distance of two arrays of tokens.
-
-    Each distinct token of a pair becomes one character, so the built-in string distance does the work; a pair of
-    more than `alphabet` distinct tokens is folded row by row over the tokens themselves.
-    """
-
-    def encoded(s: Column) -> Column:
-        point = lambda n: F.when(n < 0xD800, n).otherwise(n + 2048)
-        code = lambda t: F.decode(F.unhex(F.lpad(F.hex(point(F.array_position(s["v"], t))), 8, "0")), "UTF-32")
-        one = lambda a: F.array_join(F.transform(a, code), "")
-        return F.when(F.size(s["v"]) <= alphabet, F.levenshtein(one(s["r"]), one(s["h"]))).otherwise(_edit_rows(s["r"], s["h"]))
-
-    return let(F.struct(reference.alias("r"), hypothesis.alias("h"), F.array_distinct(F.concat(reference, hypothesis)).alias("v")), encoded)
-
-
-def _edit_rows(r: Column, h: Column) -> Column:
-    """Levenshtein distance by one fold per token of r."""
-
-    def row(previous: Column, token: Column) -> Column:
-        def step(now: Column, j: Column) -> Column:
-            swapped = F.element_at(previous, j) + F.when(F.element_at(h, j) == token, 0).otherwise(1)
-            return F.concat(now, F.array(F.least(swapped, F.element_at(now, -1) + 1, F.element_at(previous, j + 1) + 1)))
-
-        first = F.array(F.element_at(previous, 1) + 1)
-        return F.when(F.size(h) == 0, first).otherwise(F.aggregate(F.sequence(F.lit(1), F.size(h)), first, step))
-
-    return F.element_at(F.aggregate(r, F.sequence(F.lit(0), F.size(h)), row), -1)
-
-
-def common_count(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-
-    def counted(s: Column) -> Column:
-        times = lambda x, v: F.size(F.filter(x, lambda y: y == v))
-        return F.aggregate(F.array_distinct(s["a"]), F.lit(0), lambda n, v: n + F.least(times(s["a"], v), times(s["b"], v)))
-
-    return let(F.struct(a.alias("a"), b.alias("b")), counted)
-
-
 def f1(common: Column, n_predicted: Column, n_reference: Column) -> Column:
     """F1 of counts; both empty is 1."""
     score = F.coalesce(F.try_divide(2.0 * common, (n_predicted + n_reference).cast("double")), F.lit(0.0))
     return F.when((n_predicted == 0) & (n_reference == 0), F.lit(1.0)).otherwise(score)
 
 
-def ngrams(toks: Column, n: int) -> Column:
-    """All n-grams of an array of tokens, joined by blanks."""
-    starts = F.sequence(F.lit(1), F.size(toks) - n + 1)
-    return F.when(F.size(toks) < n, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(toks, i, n), " ")))
-
-
-def repeat_rate(text: Column, n: int = 4) -> Column:
-    """1 minus the share of distinct n-grams."""
-
-    def rate(g: Column) -> Column:
-        return F.when(F.size(g) == 0, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(g)) / F.size(g))
-
-    return let(let(words(text), lambda w: ngrams(w, n)), rate)
-
-
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays, by one fold per token of a."""
-
-    def folded(s: Column) -> Column:
-        zero = F.transform(F.concat(F.array(F.lit("")), s["b"]), lambda x: F.lit(0))
-
-        def row(previous: Column, token: Column) -> Column:
-            def step(now: Column, j: Column) -> Column:
-                best = F.when(F.element_at(s["b"], j) == token, F.element_at(previous, j) + 1).otherwise(F.greatest(F.element_at(now, -1), F.element_at(previous, j + 1)))
-                return F.concat(now, F.array(best))
-
-            return F.when(F.size(s["b"]) == 0, previous).otherwise(F.aggregate(F.sequence(F.lit(1), F.size(s["b"])), F.array(F.lit(0)), step))
-
-        return F.element_at(F.aggregate(s["a"], zero, row), -1)
-
-    return let(F.struct(a.alias("a"), b.alias("b")), folded)
-
-
 def caption(text: Column) -> Column:
     """The first sentence, of up to 64 words."""
     sentence = F.element_at(F.split(F.trim(text), "(?<=[.!?])\\s+", 2), 1)

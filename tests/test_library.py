@@ -6,9 +6,11 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from evalspark.functions import evaluation as E
 from evalspark.functions import instructions as I
 from evalspark.functions import process as P
 from evalspark.functions import text as T
+from evalspark.functions import text_udf as U
 from evalspark.operators import cube, intervals, metrics
 from evalspark.plans import queries as plans
 from evalspark.sources import events
@@ -24,13 +26,13 @@ def value(spark, column):
 def test_word_error_rate_golden(spark):
     rows = [("the quick brown fox jumps over the lazy dog", "the quick brown fox jumps over the lazy cat"), ("yes", "no")]
     df = spark.createDataFrame(rows, "r string, h string").select(T.words(F.col("r")).alias("r"), T.words(F.col("h")).alias("h"))
-    got = df.agg((100 * F.sum(T.edit_distance(F.col("r"), F.col("h"))) / F.sum(F.size("r"))).alias("wer")).first().wer
+    got = df.agg((100 * F.sum(U.edit_distance("r", "h")) / F.sum(F.size("r"))).alias("wer")).first().wer
     assert got == 20.0
 
 
 def test_edit_distance_of_insertions_and_empties(spark):
     w = lambda s: T.words(F.lit(s))
-    assert [value(spark, T.edit_distance(w(a), w(b))) for a, b in (("a b c", "a c"), ("", "x y"), ("", ""), ("naïve", "naive"))] == [1, 2, 0, 1]
+    assert [value(spark, U.edit_distance(w(a), w(b))) for a, b in (("a b c", "a c"), ("", "x y"), ("", ""), ("naïve", "naive"))] == [1, 2, 0, 1]
 
 
 def test_classification_and_verification_goldens(spark):
@@ -56,10 +58,10 @@ def test_cube_leaves_out_missing_keys(spark):
 
 def test_text_scores(spark):
     w = lambda s: T.words(F.lit(s))
-    assert value(spark, T.repeat_rate(F.lit("a b c d a b c d"))) == pytest.approx(0.2)
-    assert value(spark, T.common_count(w("a a b"), w("a b b"))) == 2
-    assert value(spark, T.lcs_length(w("a b c d"), w("b x d"))) == 2
-    assert value(spark, T.lcs_length(w(""), w("b"))) == 0
+    assert value(spark, U.repeated_share(F.lit("a b c d a b c d"))) == pytest.approx(0.2)
+    assert value(spark, U.common_count(w("a a b"), w("a b b"))) == 2
+    assert value(spark, U.lcs_length(w("a b c d"), w("b x d"))) == 2
+    assert value(spark, U.lcs_length(w(""), w("b"))) == 0
     assert value(spark, T.normalize_qa(F.lit("The  Cat, sat on a mat!"))) == "cat sat on mat"
     assert value(spark, T.caption(F.lit("A short caption. A second sentence."))) == "A short caption."
     assert [value(spark, T.rating(F.lit(t))) for t in ("4", "Score: [[5]]", "none")] == [4.0, 5.0, None]
@@ -72,7 +74,7 @@ def test_post_processors(spark):
     assert value(spark, P.extract_json(F.lit("no json at all {"))) is None
     assert [value(spark, P.first_option(F.lit(t))) for t in ("The answer is (B).", "C", "D) because", "答案是A", "nothing here")] == ["B", "C", "D", "A", None]
     assert value(spark, F.size(P.tool_calls(F.lit('<tool_call>{"a":1}</tool_call> <tool_call>{"b":2}</tool_call>')))) == 2
-    assert [value(spark, P.coerce_bool(F.lit(t))) for t in ("false", "允许", "yes, go", "?")] == [False, True, True, None]
+    assert [value(spark, E.truth(F.lit(t))) for t in ("false", "允许", "yes", "?")] == [False, True, True, None]
     assert value(spark, P.asr_extract(F.lit("<|en|> hello  world ."))) == "hello world."
 
 
