@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
 from collections import Counter
 from collections.abc import Sequence
@@ -136,3 +137,41 @@ def repeated_share(text: pa.Array) -> pa.Array:
         return 1 - len(set(zip(w, w[1:], w[2:], w[3:], strict=False))) / (len(w) - 3) if len(w) > 3 else 0.0
 
     return pa.array([share(_words(t)) for t in text.to_pylist()], pa.float64())
+
+
+_CJK = re.compile("[\u4e00-\u9fff]")
+
+
+def _normal(text: str | None) -> str:
+    """NFKC, lower case, punctuation to blanks, squeezed."""
+    t = unicodedata.normalize("NFKC", text or "").lower()
+    bare = "".join(" " if unicodedata.category(c)[0] == "P" or c in string.punctuation else c for c in t)
+    return " ".join(bare.split())
+
+
+def _tokens(text: str) -> list[str]:
+    """Characters where any is CJK, words otherwise."""
+    return [c for c in text if not c.isspace()] if _CJK.search(text) else text.split()
+
+
+def best_scores(predicted: str | None, references: Sequence[str | None]) -> dict[str, float]:
+    """The best token F1, exact match and LCS F1 of a text against any of its references; without one, those of the empty
+    text."""
+    p = _normal(predicted)
+    a, best = _tokens(p), {"text_f1": 0.0, "exact_match": 0.0, "rouge_l": 0.0}
+    for r in map(_normal, references or [""]):
+        b = _tokens(r)
+        share = lambda n: 1.0 if not a and not b else 2 * n / (len(a) + len(b))  # noqa: B023, E731
+        scores = {"text_f1": share((Counter(a) & Counter(b)).total()), "exact_match": float(p == r), "rouge_l": share(lcs(a, b))}
+        best = {k: max(v, scores[k]) for k, v in best.items()}
+    return best
+
+
+_BEST = ("text_f1", "exact_match", "rouge_l")
+
+
+@F.arrow_udf(returnType=StructType([StructField(c, DoubleType()) for c in _BEST]))
+def best_of(predicted: pa.Array, references: pa.Array) -> pa.Array:
+    """best_scores of a column of texts and one of arrays of references."""
+    kind = pa.struct([(c, pa.float64()) for c in _BEST])
+    return pa.array([best_scores(p, r) for p, r in zip(predicted.to_pylist(), references.to_pylist(), strict=True)], kind)

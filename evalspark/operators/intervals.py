@@ -55,3 +55,20 @@ def meetings(rows: DataFrame) -> DataFrame:
     name = lambda u, k: F.coalesce(F.nullif(u["sample_id"], F.lit("")), F.concat("_stem", F.lit("_"), F.lpad(k.cast("string"), 5, "0"))).alias("source_sample_id")
     utterances = F.transform("said", lambda u, k: F.struct(k.cast("string").alias("id"), name(u, k), u["start"].alias("start"), u["end"].alias("end"), u["speaker"].alias("speaker"), u["text"].alias("text")))
     return met.select("file", "line", "audio", segments.alias("segments"), utterances.alias("utterances"))
+
+
+def speech_windows(segments: DataFrame, key: list[str], width: float = 30.0, step: float = 20.0, least_speakers: int = 2, least_speech: float = 4.0) -> DataFrame:
+    """(key, window_start, speakers, speech) of windows from 0 on, every `step`, that end within the key's last segment, in
+    which enough speakers speak long enough: the summed lengths of segments (start, end, speaker) clipped to the window.
+
+    A segment goes to the windows that it touches; a window's sums combine before the shuffle.
+    """
+    start, end = F.col("start"), F.col("end")
+    first = F.greatest(F.ceil((start - width) / step), F.lit(0))
+    touched = segments.withColumn("_w", F.explode(F.when(end > 0, F.sequence(first, F.greatest(first, F.floor(end / step))))))
+    at = F.col("_w") * step
+    clipped = touched.withColumn("_s", F.least(end, at + width) - F.greatest(start, at)).filter("_s > 0")
+    per = clipped.groupBy(*key, "_w", "speaker").agg(F.sum("_s").alias("_s")).groupBy(*key, "_w").agg(F.count(F.lit(1)).alias("speakers"), F.sum("_s").alias("speech"))
+    last = segments.groupBy(*key).agg(F.max("end").alias("_last"))
+    kept = per.join(last, key).filter((at + width <= F.col("_last") + 1e-6) & (F.col("speakers") >= least_speakers) & (F.col("speech") >= least_speech))
+    return kept.select(*key, at.cast("double").alias("window_start"), "speakers", "speech")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalspark.operators import ordering, schemas
+from evalspark.functions.text_udf import best_of
+from evalspark.operators import adapter, intervals, ordering, schemas
 from evalspark.plans.catalog import query
 from evalspark.session import scratch, table
-from evalspark.sources import manifests
+from evalspark.sources import events, manifests
 
 TAXONOMY = {
     "tasks": ["asr", "qa"], "capabilities": {"asr": ["transcription"], "qa": ["answering"]}, "scenarios": ["en", "de", "fr"], "splits": ["test", "validation"], "split_aliases": {"dev": "validation"},
@@ -126,3 +127,85 @@ def prepared_assets(spark, sf_dir):
     manifests.prepare(pages.select("page_id", "url", "asset"), at, "asset", f"{at}/files")
     read = manifests.read_with_assets(spark, at, "page_id long, url string, asset string", "asset")
     return read.select("page_id", "url", "sha256", "size_bytes")
+
+
+V2_TASKS = {"spoken_agentic_interaction": ["tool_call"]}
+
+
+@query(r"""
+WITH r AS (
+  SELECT event_id AS i, CASE event_id % 6 WHEN 0 THEN 'x' WHEN 1 THEN 'speaker' WHEN 2 THEN 'agent' WHEN 3 THEN 'speech_output' WHEN 4 THEN 'runtime' ELSE event_type END AS t, CASE event_id % 6 WHEN 0 THEN 'asr' WHEN 2 THEN 'qa' WHEN 5 THEN 'odd' ELSE 'paralinguistic' END AS c,
+    CASE user_id % 4 WHEN 0 THEN 'clean' WHEN 1 THEN 'overlap_speech' WHEN 2 THEN 'hum' END AS acoustic, CASE WHEN event_id % 5 = 0 THEN 'near_field' WHEN event_id % 5 = 1 THEN 'roof' END AS spatial,
+    CASE event_id % 7 WHEN 0 THEN 'phone' WHEN 1 THEN 'home' WHEN 2 THEN 'space' END AS s, event_id % 3 = 0 AS formal, event_id % 2 = 0 AS full_ FROM events),
+m AS (SELECT *, CASE WHEN t = 'runtime' AND c <> 'asr' THEN CASE c WHEN 'x' THEN 'y' END WHEN c = 'asr' THEN 'speech_recognition_transcription' WHEN c IN ('qa', 'paralinguistic') THEN 'audio_speech_understanding' END AS task,
+  CASE WHEN s = 'home' THEN 'home' ELSE 'unknown' END AS p, coalesce(CASE WHEN full_ THEN 'car' END, CASE WHEN s = 'phone' THEN 'phone' END, 'unknown') AS device,
+  coalesce(CASE WHEN full_ THEN 'wind' END, CASE acoustic WHEN 'clean' THEN 'clean' WHEN 'overlap_speech' THEN 'speech' END, 'unknown') AS noise FROM r)
+SELECT i AS event_id, task, CASE WHEN task IS NOT NULL THEN CASE c WHEN 'paralinguistic' THEN 'paralinguistic_recognition' ELSE c END END AS capability, p AS primary_, device, noise,
+  CASE WHEN formal THEN CASE WHEN p = 'unknown' OR NOT full_ OR spatial IS DISTINCT FROM 'near_field' OR acoustic IS DISTINCT FROM 'overlap_speech' THEN 'coverage_debt' ELSE 'formal_subscores' END ELSE 'diagnostic_evidence' END AS use_bucket,
+  CASE WHEN acoustic = 'clean' OR acoustic = 'overlap_speech' THEN 'human' WHEN NOT full_ THEN 'unknown' END AS noise_source,
+  array_to_string(list_filter([CASE WHEN spatial = 'roof' THEN 'legacy spatial value retained only in legacy: roof' END, CASE WHEN acoustic = 'hum' THEN 'ambiguous legacy acoustic value retained: hum' END,
+    CASE WHEN s = 'phone' THEN 'legacy scenario=phone migrated to metadata.device_type; scenario left unknown' WHEN s IS DISTINCT FROM 'home' THEN 'scenario has no supported evidence and remains unknown' END,
+    CASE WHEN formal AND (p = 'unknown' OR NOT full_ OR spatial IS DISTINCT FROM 'near_field' OR acoustic IS DISTINCT FROM 'overlap_speech') THEN 'formal_subscores downgraded to coverage_debt because V2 attributes are unknown' END], lambda x: x IS NOT NULL), '; ') AS warnings,
+  CASE WHEN task IS NULL THEN CASE WHEN t = 'runtime' THEN 'legacy runtime Task is a measurement family and has no canonical V2 Task' ELSE 'cannot map legacy task/capability without evidence: ' || t || '/' || c END END AS error FROM m""")
+def v1_to_v2(spark, sf_dir):
+    """Records of the first schema, made of events, as records of the second."""
+    e, i, u = table(spark, sf_dir, "events"), F.col("event_id"), F.col("user_id")
+    pick = lambda k, *values: F.element_at(F.array(*[F.lit(v) if not hasattr(v, "alias") else v for v in values]), (k + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    full = i % 2 == 0
+    record = F.struct(
+        pick(i % 6, "x", "speaker", "agent", "speech_output", "runtime", F.col("event_type")).alias("task"), pick(i % 6, "asr", "paralinguistic", "qa", "paralinguistic", "paralinguistic", "odd").alias("capability"),
+        F.struct(pick(u % 4, "clean", "overlap_speech", "hum", none).alias("acoustic"), pick(i % 5, "near_field", "roof", none, none, none).alias("spatial"), F.lit("single_speaker").alias("speaker")).alias("condition"),
+        pick(i % 7, "phone", "home", "space", none, none, none, none).alias("scenario"), F.when(i % 3 == 0, "formal_subscores").alias("use_bucket"),
+        F.when(full, F.struct(F.lit("car").alias("device_type"), F.lit("wind").alias("noise_type"), F.lit("high").alias("snr_bucket"))).alias("metadata"), F.struct(F.create_map(F.lit("condition.acoustic"), F.lit("Human")).alias("sources")).alias("label_meta"),
+    )
+    out = adapter.v1_to_v2(e.select("event_id", F.parse_json(F.to_json(record)).alias("record")), "record", V2_TASKS)
+    return out.select("event_id", "task", "capability", F.col("primary").alias("primary_"), F.col("metadata")["device_type"].alias("device"), F.col("metadata")["noise_type"].alias("noise"), "use_bucket", F.col("provenance")["noise_type"]["source"].alias("noise_source"), F.array_join("warnings", "; ").alias("warnings"), "error")
+
+
+@query("SELECT o_orderkey, o_totalprice AS price FROM (SELECT *, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS k, count(*) OVER () AS n FROM orders) WHERE k % (n // 40) = 0 AND k // (n // 40) < 40")
+def stride_sample(spark, sf_dir):
+    """A sampling operator: 40 rows at even distances in order of price."""
+    return ordering.stride_sample(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("price")), ["price", "o_orderkey"], 40)
+
+
+@query(r"""
+WITH s AS (SELECT user_id % 20 AS meeting, 'e' || (user_id % 3) AS speaker, epoch(ts) % 600 AS a, epoch(ts) % 600 + 1 + event_id % 4 AS b FROM events),
+w AS (SELECT meeting, unnest(generate_series(0, greatest(floor(((SELECT max(b) FROM s x WHERE x.meeting = m.meeting) + 0.000001 - 30) / 20), -1)::INT)) * 20.0::DOUBLE AS t FROM (SELECT DISTINCT meeting FROM s) m),
+c AS (SELECT w.meeting, w.t, speaker, sum(least(b, t + 30) - greatest(a, t)) AS speech FROM w JOIN s ON s.meeting = w.meeting AND s.a < w.t + 30 AND s.b > w.t GROUP BY ALL)
+SELECT meeting::BIGINT AS meeting, t AS window_start, count(*)::BIGINT AS speakers, round(sum(speech), 3) AS speech FROM c GROUP BY meeting, t HAVING count(*) >= 2 AND sum(speech) >= 4""")
+def speech_windows(spark, sf_dir):
+    """Windows of meetings with at least two speakers and four seconds of speech, each segment clipped to the window."""
+    e = table(spark, sf_dir, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 % 600
+    s = e.select((F.col("user_id") % 20).alias("meeting"), F.concat(F.lit("e"), F.col("user_id") % 3).alias("speaker"), at.alias("start"), (at + 1 + F.col("event_id") % 4).alias("end"))
+    w = intervals.speech_windows(s, ["meeting"])
+    return w.select("meeting", "window_start", "speakers", F.round("speech", 3).alias("speech"))
+
+
+@query(r"""
+WITH l AS (SELECT event_id // 3 AS id, CASE event_type WHEN 'signup' THEN 'eval' WHEN 'error' THEN 'error' WHEN 'click' THEN 'skipped' ELSE 'inference' END AS type FROM events),
+per AS (SELECT id, bool_or(type = 'error') AS failed, bool_or(type = 'skipped') AND NOT bool_or(type = 'error') AS skipped FROM l GROUP BY id)
+SELECT count(*)::BIGINT AS n, count(*) FILTER (failed)::BIGINT AS failed, count(*) FILTER (skipped)::BIGINT AS skipped_count, round(count(*) FILTER (failed) / count(*), 6) AS failure_rate, round(100.0 * count(*) FILTER (failed) / count(*), 6) AS "fail_rate(%d)", round(count(*) FILTER (skipped) / count(*), 6) AS skip_rate FROM per""")
+def run_summary(spark, sf_dir):
+    """A run's rates over all its samples, whatever became of them."""
+    t = F.col("event_type")
+    kind = F.when(t == "signup", "eval").when(t == "error", "error").when(t == "click", "skipped").otherwise("inference")
+    log = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 3).alias("id"), kind.alias("type"))
+    out = events.run_summary(log.select("id").distinct(), log)
+    return out.select("n", "failed", "skipped_count", *[F.round(c, 6).alias(c) for c in ("failure_rate", "fail_rate(%d)", "skip_rate")])
+
+
+@query(r"""
+WITH c AS (SELECT conv_id, role, string_agg(text, ' ' ORDER BY turn, text) AS t FROM conversations WHERE text IS NOT NULL GROUP BY ALL),
+w AS (SELECT conv_id, role, regexp_extract_all(regexp_replace(lower(t), '[\p{P}!-/:-@\[-`{-~]', ' ', 'g'), '\S+') AS w FROM c),
+p AS (SELECT a.conv_id, a.w AS x, b.w AS y, b.role FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.role = 'user' AND b.role <> 'user'),
+n AS (SELECT conv_id, role, len(x) AS nx, len(y) AS ny, x = y AS em, coalesce(list_sum(list_transform(list_distinct(x), lambda t: least(len(list_filter(x, lambda u: u = t)), len(list_filter(y, lambda u: u = t))))), 0) AS k FROM p)
+SELECT conv_id, round(max(CASE WHEN nx = 0 AND ny = 0 THEN 1.0 WHEN nx = 0 OR ny = 0 THEN 0 ELSE 2.0 * k / (nx + ny) END), 6)::DOUBLE AS text_f1, max(em::INT) AS exact_match FROM n GROUP BY conv_id""")
+def best_text_f1(spark, sf_dir):
+    """The user's words against each other role's, the best of these references."""
+    c = table(spark, sf_dir, "conversations").filter("text is not null").groupBy("conv_id", "role").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), " ").alias("t"))
+    refs = F.collect_list(F.when(F.col("role") != "user", F.col("t")))
+    both = c.groupBy("conv_id").agg(F.max(F.when(F.col("role") == "user", F.col("t"))).alias("p"), refs.alias("refs")).filter("p is not null and size(refs) > 0")
+    s = both.select("conv_id", best_of("p", "refs").alias("s"))
+    return s.select("conv_id", F.round("s.text_f1", 6).alias("text_f1"), F.col("s.exact_match").cast("int").alias("exact_match"))

@@ -113,3 +113,13 @@ def row_slice(rows: DataFrame, order: list[str], offset: int, limit: int = 0) ->
         raise ValueError("offset and limit must not be negative")
     out = numbered(rows, order)
     return out.filter((F.col("id") >= offset) & ((F.col("id") < offset + limit) if limit else F.lit(True))).drop("id")
+
+
+def run_summary(samples: DataFrame, events: DataFrame) -> DataFrame:
+    """One row of a run's rates over all its samples (id): n, failed (with an error event), skipped_count (skipped, not
+    failed), failure_rate, fail_rate(%d) in per cent and skip_rate; rates of no samples are 0."""
+    of = lambda kind: F.max(F.when(F.col("type") == kind, 1).otherwise(0))
+    per = events.groupBy("id").agg(of("error").alias("e"), of("skipped").alias("s"))
+    counted = samples.select("id").join(per, "id", "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("e") == 1).alias("failed"), F.count_if((F.col("s") == 1) & (F.col("e") == 0)).alias("skipped_count"))
+    share = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("n")), F.lit(0.0))
+    return counted.select("*", share("failed").alias("failure_rate"), (100 * share("failed")).alias("fail_rate(%d)"), share("skipped_count").alias("skip_rate"))
