@@ -67,6 +67,14 @@ def agreement(tracks: DataFrame, cell: list[str], a: str, b: str, close: float =
     return tracks.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(both, 1)).alias("paired"), share(apart == 0).alias("exact"), share(F.abs(apart) <= close).alias("close"), F.avg(F.when(both, apart)).alias("mean_delta"))
 
 
+def caption_references(samples: DataFrame, index: DataFrame, path: str) -> DataFrame:
+    """samples with the captions of their path, null where the index has none. index: audio_path, audio_filepath, captions
+    (an array), line; either path finds a row, missing captions don't count, and of several rows the later one does."""
+    given = index.withColumn("_c", F.filter("captions", lambda c: c.isNotNull() & (c != ""))).filter("size(_c) > 0")
+    keys = given.select(F.explode(F.array("audio_path", "audio_filepath")).alias(path), "_c", "line").filter(F.col(path) != "")
+    return samples.join(keys.groupBy(path).agg(F.max_by("_c", "line").alias("captions")), path, "left")
+
+
 def control_free(text: Column) -> Column:
     """Text without control characters, as spreadsheets need it."""
     return F.regexp_replace(text, "[\\x00-\\x1F\\x7F]", "")

@@ -18,7 +18,7 @@ from evalspark.session import table
 from evalspark.streaming import events as streams
 
 #: Modules that register further queries.
-SISTERS = ("text_queries", "score_queries", "cube_queries", "event_queries", "join_queries", "label_queries", "sample_queries", "schema_queries")
+SISTERS = ("text_queries", "score_queries", "cube_queries", "event_queries", "join_queries", "label_queries", "sample_queries", "schema_queries", "report_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

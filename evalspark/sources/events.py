@@ -123,3 +123,8 @@ def run_summary(samples: DataFrame, events: DataFrame) -> DataFrame:
     counted = samples.select("id").join(per, "id", "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("e") == 1).alias("failed"), F.count_if((F.col("s") == 1) & (F.col("e") == 0)).alias("skipped_count"))
     share = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("n")), F.lit(0.0))
     return counted.select("*", share("failed").alias("failure_rate"), (100 * share("failed")).alias("fail_rate(%d)"), share("skipped_count").alias("skip_rate"))
+
+
+def first_ids(events: DataFrame, n: int) -> DataFrame:
+    """The events of the n smallest ids: a report's beginning, so n is small."""
+    return events.join(F.broadcast(events.select("id").distinct().orderBy("id").limit(n)), "id", "left_semi")

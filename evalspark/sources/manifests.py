@@ -63,6 +63,14 @@ def delimited(lines: Column, names: list[str], mark: str = "|") -> list[Column]:
     return [F.get(parts, F.lit(k)).alias(n) for k, n in enumerate(names)]
 
 
+def prompted(spark: SparkSession, lines: str, prompts: str) -> DataFrame:
+    """(speaker, text, prompt_text) of files of `speaker|text` lines and of `speaker|prompt` lines; a speaker without a
+    prompt has null, and of several prompts the first in order counts."""
+    read = lambda path, names: spark.read.text(path).filter("trim(value) <> ''").select(*delimited(F.col("value"), names))
+    one = read(prompts, ["speaker", "prompt_text"]).groupBy("speaker").agg(F.min("prompt_text").alias("prompt_text"))
+    return read(lines, ["speaker", "text"]).join(one, "speaker", "left").select("speaker", "text", "prompt_text")
+
+
 def rttm(lines: Column) -> Column:
     """(file, start, end, speaker) of an RTTM line; null for lines of other types."""
     f = F.split(F.trim(lines), "\\s+")
