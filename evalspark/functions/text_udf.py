@@ -8,7 +8,9 @@ import unicodedata
 from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
@@ -113,30 +115,49 @@ def char_gram_counts(hypothesis: pa.Array, reference: pa.Array) -> pa.Array:
     return pa.array([_gram_counts(bare(h), bare(r), 6) for h, r in zip(hypothesis.to_pylist(), reference.to_pylist(), strict=True)], _COUNT_TYPE)
 
 
-_BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
+def _numbered(values: pa.Array | np.ndarray) -> np.ndarray:
+    """Equal values by one number, in the order in which they first stand."""
+    return pa.array(values).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _words(text: str | None) -> list[str]:
-    """Words between ASCII white space, as the Columns of `text` split them."""
-    return [w for w in _BLANKS.split(text or "") if w]
+def word_codes(*columns: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each column of texts the row and the number of every word between ASCII white space, in order; equal words have
+    one number in all columns."""
+    out, words = [], []
+    for texts in columns:
+        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        flat = pc.list_flatten(lists)
+        rows = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        full = pc.not_equal(flat, "")
+        words.append(flat.filter(full))
+        out.append(rows[full.to_numpy(zero_copy_only=False)])
+    codes = _numbered(pa.concat_arrays(words))
+    bounds = np.cumsum([0, *map(len, words)])
+    return [(rows, codes[a:b]) for rows, a, b in zip(out, bounds[:-1], bounds[1:], strict=True)]
 
 
 @F.arrow_udf(returnType=StructType([StructField(c, LongType()) for c in ("common", "n_a", "n_b")]))
 def common_words(a: pa.Array, b: pa.Array) -> pa.Array:
     """Words that two texts share, as multisets, and how many each has."""
-    rows = [(_words(x), _words(y)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
-    kind = pa.struct([(c, pa.int64()) for c in ("common", "n_a", "n_b")])
-    return pa.array([{"common": (Counter(x) & Counter(y)).total(), "n_a": len(x), "n_b": len(y)} for x, y in rows], kind)
+    n, sides = len(a), word_codes(a, b)
+    (x, n_x), (y, n_y) = (np.unique(rows << 32 | codes, return_counts=True) for rows, codes in sides)
+    both, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    common = np.bincount(both >> 32, weights=np.minimum(n_x[i], n_y[j]), minlength=n).astype(np.int64)
+    sizes = [np.bincount(rows, minlength=n).astype(np.int64) for rows, _ in sides]
+    return pa.StructArray.from_arrays([pa.array(c) for c in (common, *sizes)], names=["common", "n_a", "n_b"])
 
 
 @F.arrow_udf(returnType=DoubleType())
 def repeated_share(text: pa.Array) -> pa.Array:
     """1 minus the share of distinct runs of four words; 0 for fewer words."""
-
-    def share(w: list[str]) -> float:
-        return 1 - len(set(zip(w, w[1:], w[2:], w[3:], strict=False))) / (len(w) - 3) if len(w) > 3 else 0.0
-
-    return pa.array([share(_words(t)) for t in text.to_pylist()], pa.float64())
+    ((rows, codes),) = word_codes(text)
+    # pairs of words, then pairs of pairs, by their numbers among all pairs: these stay small and are exact
+    for step in (1, 2):
+        codes = _numbered(codes[:-step] << 32 | codes[step:]) if len(codes) > step else codes[:0]
+    inside = rows[:-3] == rows[3:]
+    runs = np.bincount(rows[:-3][inside], minlength=len(text))
+    distinct = np.bincount(pc.unique(pa.array(rows[:-3][inside] << 32 | codes[inside])).to_numpy() >> 32, minlength=len(text))
+    return pa.array(np.where(runs > 0, 1 - distinct / np.maximum(runs, 1), 0.0))
 
 
 _CJK = re.compile("[\u4e00-\u9fff]")

@@ -177,22 +177,26 @@ class Mesh:
         aggs = {"sample_count": merged.count(F.lit(1))}
         for m in names:
             aggs |= {m: merged.mean(c(m)), f"{m}/sample_count": F.nullif(merged.count(c(m)), F.lit(0))}
-        for m in ("wer", "cer"):
-            if {f"{m}_errors", f"{m}_n", "language"} <= has:
-                alone = merged.same(F.when(c(f"{m}_n").isNotNull(), F.lower("language")))
+        for m, usual in (("wer", "en"), ("cer", "zh")):
+            if {f"{m}_errors", f"{m}_n"} <= has:
+                language = F.coalesce(F.nullif(F.lower("language"), F.lit("")), F.lit(usual)) if "language" in has else F.lit(usual)
+                alone = merged.same(F.when(c(f"{m}_n").isNotNull(), language))
                 aggs |= {f"{m}%": F.when(alone, F.try_divide(100.0 * merged.total(c(f"{m}_errors")), merged.total(c(f"{m}_n")))), f"{m}%/sample_count": F.when(alone, merged.count(c(f"{m}_n")))}
         for m, score in OVERLAPS:
             if f"{m}_counts" in has:
                 counts = c(f"{m}_counts")
                 n = F.nullif(merged.count(counts), F.lit(0))
                 value = score({f: merged.total(counts[f]) for f in rows.schema[f"{m}_counts"].dataType.fieldNames()})
-                aggs |= {m: F.when(n > 0, value), f"{m}/sample_count": n}
+                tokens = f"{m}_tokenizer"
+                fits = merged.same(F.when(counts.isNotNull(), c(tokens))) if tokens in has else n > 0
+                aggs |= {m: F.when(fits, value), f"{m}/sample_count": F.when(fits, n)}
         if {"der", "der_error_duration", "der_reference_duration"} <= has:
             enough = c("der").isNotNull() & c("der_error_duration").isNotNull() & (c("der_reference_duration") > 0)
             ready = merged.count(F.when(enough, 1))
             complete = ready == merged.count(c("der"))
             weighed = F.try_divide(merged.total(F.when(enough, c("der_error_duration"))), merged.total(F.when(enough, c("der_reference_duration"))))
-            aggs |= {"der": F.when(complete, weighed).otherwise(merged.mean(c("der"))), "der/sufficient_statistics_count": F.when(~complete, ready)}
+            spoken = F.when(complete, merged.total(F.when(enough, c("der_reference_duration"))))
+            aggs |= {"der": F.when(complete, weighed).otherwise(merged.mean(c("der"))), "der/sufficient_statistics_count": F.when(~complete, ready), "der/reference_duration_seconds": spoken, "der/sample_count": F.when(complete, F.nullif(ready, F.lit(0))).otherwise(aggs.get("der/sample_count", F.lit(None)))}
         if "annotation_confidence" in has:
             aggs |= {"confidence_mean": merged.mean(c("annotation_confidence"))}
         for column, name in GAUGES.items():
@@ -236,9 +240,10 @@ def mesh(rows: DataFrame, sets: list[list[str]] | None = None, names: list[str]
     """(slice, label, metric, value) of every slice: sample_count, small_sample (1 below least_size), and of each metric
     its mean and <metric>/sample_count.
 
-    Over means stand: error rates `wer%` and `cer%` where rows have <wer|cer>_errors, <wer|cer>_n and language (summed;
-    gone where a slice mixes languages), `bleu` and `chrf` of summed counts where rows have them as a struct
-    <metric>_counts, `der` by duration where all its rows have durations, macro_f1 of classification_pred and _ref, eer
+    Over means stand: error rates `wer%` and `cer%` where rows have <wer|cer>_errors and <wer|cer>_n (summed; gone where a
+    slice mixes languages, of which a missing one is en for words and zh for characters), `bleu` and `chrf` of summed
+    counts where rows have them as a struct <metric>_counts (gone where a slice mixes <metric>_tokenizer, if there is
+    such a column), `der` by duration where all its rows have durations, macro_f1 of classification_pred and _ref, eer
     and auc of verification_score and _label, percentiles of latencies, means of gauges and rates,
     annotation_confidence as confidence_mean, and counts of failure_stage and failure_type.
 

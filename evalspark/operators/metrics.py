@@ -42,9 +42,9 @@ def covered(predicted: Column, reference: Column) -> Column:
     return predicted / F.greatest(reference, F.lit(1))
 
 
-#: Buckets per unit of log(1 + |value|) that ordered values fall into first, and parts that such a bucket is cut into
-#: between its least and its greatest value.
-LOG_BUCKETS, LINEAR_BUCKETS = 4096, 65_536
+#: Buckets per unit of log(1 + |value|) that ordered values fall into: values within some 65,536th of one another share
+#: one, and what a task orders is a bucket's distinct values.
+LOG_BUCKETS = 65_536
 
 
 def log_bucket(value: Column) -> Column:
@@ -52,12 +52,6 @@ def log_bucket(value: Column) -> Column:
     return F.when(F.isnan(value), F.lit(2**62)).otherwise(F.floor(F.signum(value) * F.log1p(F.abs(value)) * LOG_BUCKETS)).cast("long")
 
 
-def linear_bucket(value: Column, low: Column, high: Column) -> Column:
-    """A part of the range from low to high that never falls as the value grows; a range without a finite width is one."""
-    share = F.try_divide(value - low, high - low)
-    return F.when((share >= 0) & (share <= 1), F.floor(share * LINEAR_BUCKETS)).otherwise(F.when(F.isnan(value) & ~F.isnan(low), LINEAR_BUCKETS + 1).otherwise(0)).cast("int")
-
-
 def running(per: DataFrame, keys: list[str], value: str, sums: list[str]) -> DataFrame:
     """per (a row per keys and value) with <c>_upto and <c>_all for each column c of sums: its sum over the values of
     these keys up to this one, and over all of them.
@@ -110,32 +104,26 @@ def histogram(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("m"))
 
 
-def percentiles(counts: DataFrame, keys: list[str], name: str, shares: tuple[float, ...] = (0.5, 0.9, 0.95), expand: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def percentiles(counts: DataFrame, keys: list[str], name: str, shares: tuple[float, ...] = (0.5, 0.9, 0.95), expand: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(keys, <name>_p50, ...) of a histogram (v, m and further columns): by linear interpolation at (n - 1) q.
 
-    `expand` gives rows of the histogram their keys, once per key that they count for. It first sees sums by bucket of
-    value, which tell in which buckets the ranks fall, then only those buckets' values; these are cut once more between
-    the least and the greatest of their bucket. Windows run over buckets, parts of a bucket, and the distinct values of a
-    part; equal values are one row, however many there are.
+    `expand`, if given, gives rows of the histogram their keys, once per key that they count for. It first sees sums by
+    bucket of value, which tell in which buckets the ranks fall, then only those buckets' values. Windows run over
+    buckets, and over the distinct values of a bucket; equal values are one row, however many there are.
     """
     by = [c for c in counts.columns if c not in ("v", "m")]
     cut = counts.withColumn("_b", log_bucket(F.col("v")))
     key = F.struct(*keys) if keys else F.struct(F.lit(0))
-    coarse = expand(cut.groupBy(*by, "_b").agg(F.sum("m").alias("m"), F.min("v").alias("low"), F.max("v").alias("high")))
-    sizes = coarse.groupBy(key.alias("_k"), "_b").agg(F.sum("m").alias("m"), F.min("low").alias("low"), F.max("high").alias("high"))
+    sizes = (cut if expand is None else expand(cut.groupBy(*by, "_b").agg(F.sum("m").alias("m")))).groupBy(key.alias("_k"), "_b").agg(F.sum("m").alias("m"))
     before = lambda part, order: F.coalesce(F.sum("m").over(Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.withColumns({"before": before(["_k"], "_b"), "n": F.sum("m").over(Window.partitionBy("_k"))})
     at = lambda q: (F.col("n") - 1) * F.lit(float(q))
     ranks = [f(at(q)) for q in shares for f in (F.floor, F.ceil)]
     inside = F.greatest(*[(r >= F.col("before")) & (r < F.col("before") + F.col("m")) for r in ranks], F.lit(False))
     needed = sizes.filter(inside).drop("m")
-    near = expand(cut.join(needed.select("_b").distinct(), "_b", "left_semi")).withColumn("_k", key)
-    part = linear_bucket(F.col("v"), F.col("low"), F.col("high"))
-    values = near.join(needed, ["_k", "_b"]).groupBy("_k", "_b", part.alias("_c"), "v", "before", "n").agg(F.sum("m").alias("m"))
-    # a row per part of a bucket
-    parts = values.groupBy("_k", "_b", "_c").agg(F.sum("m").alias("m"))
-    parts = parts.select("_k", "_b", "_c", before(["_k", "_b"], "_c").alias("ahead"))
-    ranked = values.join(parts, ["_k", "_b", "_c"]).withColumn("before", F.col("before") + F.col("ahead") + before(["_k", "_b", "_c"], "v"))
+    near = cut if expand is None else expand(cut.join(needed.select("_b").distinct(), "_b", "left_semi"))
+    values = near.withColumn("_k", key).join(needed, ["_k", "_b"]).groupBy("_k", "_b", "v", "before", "n").agg(F.sum("m").alias("m"))
+    ranked = values.withColumn("before", F.col("before") + before(["_k", "_b"], "v"))
     picked = [F.max(F.when((r >= F.col("before")) & (r < F.col("before") + F.col("m")), F.col("v"))).alias(f"v{k}") for k, r in enumerate(ranks)]
     out = ranked.groupBy("_k", "n").agg(*picked)
     # the nearer rank alone where the share is whole: an infinite neighbour times 0 is no number

@@ -112,7 +112,7 @@ def overlap_cube(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     c = table(spark, sf_dir, "conversations").withColumns({"heard": F.lead("text").over(w), "language": F.lead("role").over(w)}).filter("heard is not null")
     low = lambda x: translation_tokens(F.lower(x))
-    rows = c.select(F.col("role").alias("task"), F.col("language").alias("capability"), word_gram_counts(low("heard"), low("text")).alias("bleu_counts"), char_gram_counts("heard", "text").alias("chrf_counts"))
+    rows = c.select(F.col("role").alias("task"), F.col("language").alias("capability"), word_gram_counts(low("heard"), low("text")).alias("bleu_counts"), char_gram_counts("heard", "text").alias("chrf_counts"), F.when(F.col("conv_id") % 9 == 0, "zh").otherwise("13a").alias("bleu_tokenizer"))
     return r6_all(cube.mesh(rows, [["task"], ["task", "capability"]], []), "value")
 
 
