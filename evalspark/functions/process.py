@@ -46,7 +46,8 @@ def content_extract(text: Column) -> Column:
     return F.coalesce(F.get_json_object(inner, "$.content"), text)
 
 
-#: In this order; @ stands for the option letters.
+# Patterns in the order in which they count; @ stands for the option letters. A list that glues
+# `故选?\s*([@])` to the pattern behind it never finds either; they are two here.
 OPTION_PATTERNS = (
     r"答案是?\s*([@])",
     r"答案是?\s*：\s*([@])",
@@ -63,7 +64,8 @@ OPTION_PATTERNS = (
     r"答案为\s*([@])",
     r"答案选\s*([@])",
     r"选择?\s*([@])",
-    r"故选?\s*([@])只有选?项?\s?([@])\s?是?对",
+    r"故选?\s*([@])",
+    r"只有选?项?\s?([@])\s?是?对",
     r"只有选?项?\s?([@])\s?是?错",
     r"只有选?项?\s?([@])\s?不?正确",
     r"只有选?项?\s?([@])\s?错误",

@@ -15,6 +15,7 @@ from evalspark.functions import process as P
 from evalspark.functions import structured as S
 from evalspark.functions import text as T
 from evalspark.functions import text_udf as U
+from evalspark.operators import samples
 from evalspark.operators import cube, intervals, joins, metrics
 from evalspark.operators import diarization as D
 from evalspark.operators import error_rates as R
@@ -60,7 +61,7 @@ def test_wer_of_whole_conversations_matches_brute_force(spark):
 
 
 def test_first_options_match_the_rules_on_plain_cases(spark):
-    cases = {"The answer is (B).": "B", "答案：C": "C", "I choose D, not A": "A", "boxed{C}": "C", "so it is b": "B", "zzz": "none"}
+    cases = {"The answer is (B).": "B", "答案：C": "C", "I choose D, not A": "A", "boxed{C}": "C", "so it is b": "B", "故选 C": "C", "只有D是对": "D", "zzz": "none"}
     got = {t: value(spark, P.first_option(F.lit(t), default="none")) for t in cases}
     assert {t: g for t, g in got.items() if t != "I choose D, not A"} == {t: o for t, o in cases.items() if t != "I choose D, not A"}
     assert got["I choose D, not A"] in "AD"
@@ -178,6 +179,7 @@ def test_cube_over_all_default_sets_matches_a_twin(spark):
         if known:
             want[slice_, label, "acc"], want[slice_, label, "acc/sample_count"] = sum(known) / len(known), len(known)
         want[slice_, label, "der"] = sum(r["der_error_duration"] for r in some) / (5.0 * len(some))
+        want[slice_, label, "der/reference_duration_seconds"], want[slice_, label, "der/sample_count"] = 5.0 * len(some), len(some)
         if len(some) < 5:
             want[slice_, label, "small_sample"] = 1
 
@@ -271,7 +273,7 @@ def test_labelling_edges(spark):
     assert L.audit_sample(spark.range(9), "id", 0).count() == 0 and L.audit_sample(spark.range(9), "id", 0.05).count() == 1 and L.audit_sample(spark.range(9), "id", 2).count() == 9
     df = spark.createDataFrame([(1,), (None,)], "n int")
     assert [r.v for r in df.select(L.condition("n >= 1").alias("v")).collect()] == [True, False]
-    assert value(spark, E.majority(F.array(F.lit("Yes"), F.lit("no")))) == "no"
+    assert value(spark, samples.majority(F.array(F.lit("Yes"), F.lit("no")))) == "no"
 
 
 def test_text_edges(spark):

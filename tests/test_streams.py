@@ -92,3 +92,21 @@ def test_percentiles_of_ties_infinities_and_near_values(spark):
         with np.errstate(invalid="ignore"):
             expected = [np.quantile(mine, q) for q in (0.25, 0.5, 0.9, 0.95)]
         assert list(got)[2:6] == pytest.approx(expected) and (got[1], got[6]) == (min(mine), max(mine))
+
+
+def test_overlap_of_slices_and_languages_that_are_missing(spark):
+    from evalspark.functions.text_udf import char_gram_counts, word_gram_counts
+    from evalspark.operators import overlap
+
+    texts = [("a b c d e", "a b c x e"), ("f g h i", "f g h i j"), ("k l m n o p", "k l m n"), ("q r s t", "q q s t")]
+    rows = [(("x", "y")[k % 2], r, h, ("13a", "13a", "13a", "zh")[k], (None, "EN", "de", "en")[k], k, 5) for k, (r, h) in enumerate(texts)]
+    df = spark.createDataFrame(rows, "task string, r string, h string, bleu_tokenizer string, language string, wer_errors int, wer_n int")
+    split = lambda c: F.split(c, " ")
+    df = df.withColumns({"bleu_counts": word_gram_counts(split("h"), split("r")), "chrf_counts": char_gram_counts("h", "r")})
+    got = cells(cube.mesh(df, [["task"]], []))
+    chrf = {r.task: r.v for r in df.groupBy("task").agg(*overlap.summed("chrf_counts")).select("task", overlap.chrf().alias("v")).collect()}
+    bleu = df.filter("task = 'x'").agg(*overlap.summed("bleu_counts")).select(overlap.bleu().alias("v")).first().v
+    assert got["task", "x", "bleu"] == pytest.approx(bleu) and ("task", "y", "bleu") not in got and ("overall", "", "bleu") not in got
+    assert all(got["task", t, "chrf"] == pytest.approx(v) for t, v in chrf.items())
+    # x has a missing language (en) and de, y two ways to write en
+    assert ("task", "x", "wer%") not in got and got["task", "y", "wer%"] == 40
