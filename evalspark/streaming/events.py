@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 LATE = "1 hour"
 
@@ -54,6 +55,17 @@ def run_complete(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/{last[0]}") if last else spark.createDataFrame([], stream.schema)
 
 
+def run_updates(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """An aggregate over everything available: the rows that a batch changed are a partition named by the batch, written
+    anew when it is replayed; all of them are read back, with their batch."""
+    spark = stream.sparkSession
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+    # a folder that can be read, whether or not there are batches
+    write(spark.createDataFrame([], stream.schema), -1)
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("update").start().awaitTermination()
+    return spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(folder)
+
+
 def unseen(events: DataFrame, done: DataFrame) -> DataFrame:
     """Events whose id is not among those done before (a static table), as a stream or a batch."""
     return events.join(done.select("id").distinct(), "id", "left_anti")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from evalspark.sources.events import ORDER, TERMINAL, fold
+from evalspark.streaming.events import run_updates
 
 #: State of many ids needs a store that isn't the executors' heap.
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
@@ -66,7 +67,8 @@ def fold_stream(events: DataFrame, types: tuple[str, ...] = ORDER, late: str = "
     A row comes out when an id's terminal event arrives (closed_by terminal), and again, as the next revision, at each
     later event of that id; an id without a terminal event comes out when event time has passed its last event by
     patience_ms (closed_by timer). Then its state goes: an event that comes later yet begins a row of its own. Needs the
-    settings STORE.
+    settings STORE. Python is called for every id of a batch; a log of millions of ids without a need for timers is
+    folded by fold_available.
     """
     rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).select("id", "type", F.col("seq").cast("long").alias("seq"), F.col("data").cast("string").alias("data"), F.unix_millis("ts").alias("ms"), "ts")
     kind = events.schema["id"].dataType.simpleString()
@@ -80,6 +82,15 @@ def settled(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(last.alias("last")).select("id", "last.*")
 
 
+def fold_available(stream: DataFrame, folder: str, checkpoint: str, types: tuple[str, ...] = ORDER) -> DataFrame:
+    """All ids of a stream of events (id, type, seq, data) with the last data of each type. What came before is the state
+    of Spark's own aggregation, kept for every id; each batch puts out the ids that it changed, and the last batch of an
+    id counts. Wants the settings STORE."""
+    rows = run_updates(fold(stream, types), folder, checkpoint)
+    last = F.max_by(F.struct(*types), "batch")
+    return rows.groupBy("id").agg(last.alias("last")).select("id", "last.*")
+
+
 def folded_view(rows: DataFrame, log: DataFrame, types: tuple[str, ...] = ORDER) -> DataFrame:
     """All ids of a log: the settled rows of its stream, and the fold of those that the stream still waits for."""
     done = settled(rows).drop("revision", "closed_by")

@@ -53,6 +53,28 @@ def test_fold_stream_with_a_late_and_a_missing_event(spark, feed, tmp_path):
     assert sorted(map(tuple, view.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
 
 
+def test_fold_available_has_every_id_after_each_batch_and_without_one(spark, feed, tmp_path):
+    run = lambda: sorted(map(tuple, fold.fold_available(feed.stream(), str(tmp_path / "out"), str(tmp_path / "cp")).collect()))
+    feed([("a", "prompt", 1, "p", 0), ("b", "prompt", 2, "q", 1)])
+    feed([("a", "eval", 9, "e", 3), ("a", "inference", 7, "j", 4)])
+    first = [("a", "p", "j", None, "e", None, None), ("b", "q", None, None, None, None, None)]
+    # the second run has nothing to read
+    assert run() == first and run() == first
+    # older and newer events than those in the state
+    feed([("a", "inference", 3, "i", 2), ("b", "prompt", 12, "r", 5), ("c", "other", 13, "x", 5)])
+    third = run()
+    assert third == [first[0], ("b", "r", *[None] * 5), ("c", *[None] * 6)]
+    assert third == sorted(map(tuple, log.fold(spark.read.schema(LOG).parquet(feed.folder)).collect()))
+
+
+def test_query_stream_fold_calls_no_python_for_ids(spark, monkeypatch):
+    from evalspark.plans import queries
+
+    monkeypatch.setattr(fold, "fold_stream", None)
+    found, at = queries.queries(), "/root/testdata/sf0.001"
+    assert sorted(map(str, found["stream_fold"](spark, at).collect())) == sorted(map(str, found["fold_events"](spark, at).collect()))
+
+
 def rows_of(spark):
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     return e.select(F.col("event_type").alias("task"), F.when(F.col("user_id") % 3 > 0, F.concat(F.lit("c"), F.col("user_id") % 3)).alias("capability"), F.col("value").alias("latency_ms"), F.col("value").alias("verification_score"), (F.col("event_id") % 2).alias("verification_label"), (F.col("event_id") % 4 > 0).cast("int").alias("acc"), F.when(F.col("event_id") % 5 == 0, "timeout").alias("failure_type"), F.lit("l").alias("classification_pred"), F.concat(F.lit("l"), F.col("event_id") % 2).alias("classification_ref"))
