@@ -170,15 +170,17 @@ def costs(usage: DataFrame, prices: dict[str, tuple[float, float]]) -> DataFrame
     return sums.withColumn("cost", (F.col("prompt_tokens") * price(0) + F.col("completion_tokens") * price(1)) / 1e6)
 
 
-def audio_seconds(explicit: Column, audios: Column, fallback: Column) -> Column:
+def audio_seconds(explicit: Column, audios: Column, fallback: Column, positive: bool = True) -> Column:
     """Seconds of a sample: what it says, else the sum over its distinct paths of their duration or end - start, else the
-    fallback. audios: array of (path, start, end, duration); a path without either leaves the sum open."""
-    one = lambda a: F.coalesce(F.when(a["duration"] > 0, a["duration"]), F.when(a["end"] > a["start"], a["end"] - a["start"]))
+    fallback. audios: array of (path, start, end, duration); a path without either leaves the sum open. Only positive
+    values say anything; without `positive`, all that are there count as they stand."""
+    said = lambda v: F.when(v > 0, v) if positive else v
+    one = lambda a: F.coalesce(said(a["duration"]), said(a["end"] - a["start"]))
     paths = F.array_distinct(F.transform(audios, lambda a: a["path"]))
     # of several mentions of a path the last one counts
     per = F.transform(paths, lambda p: one(F.element_at(F.filter(audios, lambda a: a["path"] == p), -1)))
     total = F.when((F.size(per) > 0) & ~F.exists(per, lambda x: x.isNull()), F.aggregate(per, F.lit(0.0), lambda s, x: s + x))
-    return F.coalesce(F.when(explicit > 0, explicit), total, F.when(fallback > 0, fallback))
+    return F.coalesce(said(explicit), total, said(fallback))
 
 
 def compact(value: Column) -> Column:
