@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from decimal import ROUND_FLOOR, Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,14 +145,19 @@ def merged_scores(scores: DataFrame) -> DataFrame:
     return scores.select("id", named.alias("metric"), "value").distinct()
 
 
-def audit_sample(rows: DataFrame, sample_id: str, rate: float, seed: int = 42) -> DataFrame:
-    """max(1, n * rate) rows, the same ones in every run, by a hash of the id and the seed. A sampling operator."""
+def share(n: int, rate: float, rounding: str = ROUND_FLOOR) -> int:
+    """n * rate as a whole number, at least 1; rate counts as it is written, so no binary fraction shifts a bound."""
+    return max(1, int((n * Decimal(str(rate))).to_integral_value(rounding)))
+
+
+def audit_sample(rows: DataFrame, sample_id: str, rate: float, seed: int = 42, rounding: str = ROUND_FLOOR) -> DataFrame:
+    """share(n, rate) of n rows, the same ones in every run, by a hash of the id and the seed. A sampling operator."""
     if rate <= 0:
         return rows.limit(0)
     n = rows.count()
     if rate >= 1 or not n:
         return rows
-    return exact_sample(rows, sample_id, max(1, int(n * rate)), seed)
+    return exact_sample(rows, sample_id, share(n, rate, rounding), seed)
 
 
 def profile(rows: DataFrame, fields: list[str], most: int = 10, by: str | None = None) -> DataFrame:
