@@ -75,8 +75,10 @@ def rating(text: Column) -> Column:
     return F.coalesce(marked, F.try_element_at(numbers, F.lit(-1))).cast("double")
 
 
-def yes_no(text: Column) -> Column:
-    """1 for the last `yes`, 0 for the last `no`, null for neither."""
-    found = F.regexp_extract_all(F.lower(text), F.lit("\\b(yes|no)\\b"), 1)
+def yes_no(text: Column, ascii_bounds: bool = False) -> Column:
+    """1 for the last `yes`, 0 for the last `no`, null for neither. Words end at whatever is no letter, figure or _, of any
+    script or, with ascii_bounds, of ASCII alone."""
+    pattern = "(?<![A-Za-z0-9_])(yes|no)(?![A-Za-z0-9_])" if ascii_bounds else "\\b(yes|no)\\b"
+    found = F.regexp_extract_all(F.lower(text), F.lit(pattern), 1)
     last = F.try_element_at(found, F.lit(-1))
     return F.when(last == "yes", 1).when(last == "no", 0)
