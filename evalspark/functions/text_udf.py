@@ -6,7 +6,7 @@ import re
 import string
 import unicodedata
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +28,29 @@ def lcs(a: Sequence[str], b: Sequence[str]) -> int:
     return len(b) - state.bit_count()
 
 
+#: Bytes of a column's texts that become Python objects, or numbers of words, at once.
+CHUNK_BYTES = 1 << 20
+
+
+def chunks(*columns: pa.Array) -> Iterator[list[pa.Array]]:
+    """Columns of one length in slices of about CHUNK_BYTES each, a row at least, so that what a batch of rows takes
+    doesn't hang on how many rows or how long texts it has."""
+    start, n = 0, len(columns[0])
+    rows = max(1, min(n, CHUNK_BYTES * n // max(1, *(c.nbytes for c in columns))))
+    while start < n:
+        part = [c.slice(start, rows) for c in columns]
+        # rows differ in length
+        if len(part[0]) > 1 and max(c.nbytes for c in part) > 2 * CHUNK_BYTES:
+            rows = max(1, len(part[0]) // 2)
+            continue
+        yield part
+        start += len(part[0])
+
+
 @F.arrow_udf(returnType=LongType())
 def lcs_length(a: pa.Array, b: pa.Array) -> pa.Array:
     """lcs of two columns of arrays."""
-    return pa.array([lcs(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int64())
+    return pa.array([lcs(x, y) for p, q in chunks(a, b) for x, y in zip(p.to_pylist(), q.to_pylist(), strict=True)], pa.int64())
 
 
 def edits(a: Sequence[str], b: Sequence[str]) -> int:
@@ -56,13 +75,13 @@ def edits(a: Sequence[str], b: Sequence[str]) -> int:
 @F.arrow_udf(returnType=LongType())
 def edit_distance(a: pa.Array, b: pa.Array) -> pa.Array:
     """edits of two columns of arrays, of any length and vocabulary."""
-    return pa.array([edits(x or [], y or []) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int64())
+    return pa.array([edits(x or [], y or []) for p, q in chunks(a, b) for x, y in zip(p.to_pylist(), q.to_pylist(), strict=True)], pa.int64())
 
 
 @F.arrow_udf(returnType=LongType())
 def common_count(a: pa.Array, b: pa.Array) -> pa.Array:
     """Sizes of the multiset intersections of two columns of arrays."""
-    return pa.array([(Counter(x or []) & Counter(y or [])).total() for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int64())
+    return pa.array([(Counter(x or []) & Counter(y or [])).total() for p, q in chunks(a, b) for x, y in zip(p.to_pylist(), q.to_pylist(), strict=True)], pa.int64())
 
 
 @F.arrow_udf(returnType=StringType())
@@ -105,14 +124,14 @@ _COUNT_TYPE = pa.struct([(f"{s}{n}", pa.int64()) for n in range(1, 7) for s in "
 @F.arrow_udf(returnType=_COUNTS)
 def word_gram_counts(hypothesis: pa.Array, reference: pa.Array) -> pa.Array:
     """Of n-grams of up to four tokens: clipped matches m, and how many there are in the hypothesis h and reference r."""
-    return pa.array([_gram_counts(h or [], r or [], 4) for h, r in zip(hypothesis.to_pylist(), reference.to_pylist(), strict=True)], _COUNT_TYPE)
+    return pa.array([_gram_counts(h or [], r or [], 4) for p, q in chunks(hypothesis, reference) for h, r in zip(p.to_pylist(), q.to_pylist(), strict=True)], _COUNT_TYPE)
 
 
 @F.arrow_udf(returnType=_COUNTS)
 def char_gram_counts(hypothesis: pa.Array, reference: pa.Array) -> pa.Array:
     """The same of n-grams of up to six characters, white space left out."""
     bare = lambda t: "".join((t or "").split())
-    return pa.array([_gram_counts(bare(h), bare(r), 6) for h, r in zip(hypothesis.to_pylist(), reference.to_pylist(), strict=True)], _COUNT_TYPE)
+    return pa.array([_gram_counts(bare(h), bare(r), 6) for p, q in chunks(hypothesis, reference) for h, r in zip(p.to_pylist(), q.to_pylist(), strict=True)], _COUNT_TYPE)
 
 
 def _numbered(values: pa.Array | np.ndarray) -> np.ndarray:
@@ -139,6 +158,11 @@ def word_codes(*columns: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 @F.arrow_udf(returnType=StructType([StructField(c, LongType()) for c in ("common", "n_a", "n_b")]))
 def common_words(a: pa.Array, b: pa.Array) -> pa.Array:
     """Words that two texts share, as multisets, and how many each has."""
+    none = pa.array([], pa.int64())
+    return pa.concat_arrays([pa.StructArray.from_arrays([none] * 3, names=["common", "n_a", "n_b"]), *[_common(p, q) for p, q in chunks(a, b)]])
+
+
+def _common(a: pa.Array, b: pa.Array) -> pa.Array:
     n, sides = len(a), word_codes(a, b)
     (x, n_x), (y, n_y) = (np.unique(rows << 32 | codes, return_counts=True) for rows, codes in sides)
     both, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
@@ -195,4 +219,4 @@ _BEST = ("text_f1", "exact_match", "rouge_l")
 def best_of(predicted: pa.Array, references: pa.Array) -> pa.Array:
     """best_scores of a column of texts and one of arrays of references."""
     kind = pa.struct([(c, pa.float64()) for c in _BEST])
-    return pa.array([best_scores(p, r) for p, r in zip(predicted.to_pylist(), references.to_pylist(), strict=True)], kind)
+    return pa.array([best_scores(p, r) for x, y in chunks(predicted, references) for p, r in zip(x.to_pylist(), y.to_pylist(), strict=True)], kind)
