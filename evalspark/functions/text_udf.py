@@ -174,6 +174,10 @@ def _common(a: pa.Array, b: pa.Array) -> pa.Array:
 @F.arrow_udf(returnType=DoubleType())
 def repeated_share(text: pa.Array) -> pa.Array:
     """1 minus the share of distinct runs of four words; 0 for fewer words."""
+    return pa.concat_arrays([pa.array([], pa.float64()), *[_repeated(part) for (part,) in chunks(text)]])
+
+
+def _repeated(text: pa.Array) -> pa.Array:
     ((rows, codes),) = word_codes(text)
     # pairs of words, then pairs of pairs, by their numbers among all pairs: these stay small and are exact
     for step in (1, 2):
