@@ -28,6 +28,20 @@ def at(record: Column, path: str) -> Column:
     return F.when(~shown.isin("", "[]"), shown)
 
 
+def opened(record: Column, paths: Sequence[str], body: Callable[[Callable[[str], Column], Callable[[str], Column]], Column]) -> Column:
+    """body(text, kind) of two functions from a path to a Column: what `at` gives, and the type (VOID if missing). Every
+    path is read once per row, however often body names it."""
+    paths = list(dict.fromkeys(paths))
+
+    def one(value: Column) -> Column:
+        kind, text = F.coalesce(F.schema_of_variant(value), F.lit("VOID")), F.try_variant_get(value, "$", "string")
+        shown = F.when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
+        return F.struct(kind.alias("kind"), F.when(~shown.isin("", "[]"), shown).alias("text"))
+
+    values = let(record, lambda r: F.transform(F.array(*[F.try_variant_get(r, p, "variant") for p in paths]), one))
+    return let(values, lambda held: body(*[lambda p, n=n: F.get(held, F.lit(paths.index(p)))[n] for n in ("text", "kind")]))
+
+
 def as_list(record: Column, path: str) -> Column:
     """A path's list of texts; a single value is a list of one, a missing one is empty."""
     many = F.try_variant_get(record, path, "array<string>")
@@ -202,11 +216,15 @@ V2_REQUIRED = ("schema_version", "sample_id", "dataset", "task", "capability", "
 def v2_errors(record: Column, taxonomy: Taxonomy, formal: bool = True) -> Column:
     """What is wrong with a record of the second schema; its protocol is resolved elsewhere. taxonomy: tasks (task to
     capabilities), primary, secondary (primary to secondaries), enums (metadata field to terms), core_fields."""
-    kind = lambda p: F.coalesce(F.schema_of_variant(F.try_variant_get(record, p, "variant")), F.lit("VOID"))
-    text = lambda p: F.coalesce(at(record, p), F.lit(""))
-    task, capability, primary = text("$.task"), text("$.capability"), at(record, "$.scenario.primary")
-    tasks, secondary = taxonomy.get("tasks") or {}, at(record, "$.scenario.secondary")
-    there = lambda p: at(record, p).isNotNull() & (at(record, p) != "{}")
+    paths = [*[f"$.{f}" for f in V2_REQUIRED], "$.scenario.primary", "$.scenario.secondary", "$.metadata.speaker_count", *[f"$.metadata.{n}" for n in taxonomy.get("core_fields") or ()]]
+    return let(record, lambda r: opened(r, paths, lambda held, kind: _v2_errors(r, held, kind, taxonomy, formal)))
+
+
+def _v2_errors(record: Column, at: Callable[[str], Column], kind: Callable[[str], Column], taxonomy: Taxonomy, formal: bool) -> Column:
+    text = lambda p: F.coalesce(at(p), F.lit(""))
+    task, capability, primary = text("$.task"), text("$.capability"), at("$.scenario.primary")
+    tasks, secondary = taxonomy.get("tasks") or {}, at("$.scenario.secondary")
+    there = lambda p: at(p).isNotNull() & (at(p) != "{}")
     shaped = lambda p: ~there(p) | kind(p).startswith("OBJECT")
     formal_row = F.lit(formal) & (text("$.use_bucket") == "formal_subscores")
     shown = F.coalesce(primary, F.lit("None"))
@@ -214,11 +232,11 @@ def v2_errors(record: Column, taxonomy: Taxonomy, formal: bool = True) -> Column
     def enum(name: str, terms: object) -> Column:
         return F.transform(F.filter(as_list(record, f"$.metadata.{name}"), lambda v: (v != "") & ~F.array_contains(_terms(terms), v)), lambda v: F.concat(F.lit(f"unknown metadata.{name}: "), v))
 
-    count = F.try_variant_get(record, "$.metadata.speaker_count", "variant")
-    whole = F.schema_of_variant(count).isin("BIGINT", "INT", "SMALLINT", "TINYINT") & (F.try_variant_get(record, "$.metadata.speaker_count", "long") >= 0)
+    count = "$.metadata.speaker_count"
+    whole = kind(count).isin("BIGINT", "INT", "SMALLINT", "TINYINT") & (at(count).try_cast("long") >= 0)
     return F.concat(
         *[_wrong(~there(f"$.{f}"), f"missing required V2 field: {f}") for f in V2_REQUIRED],
-        _wrong(text("$.schema_version") != "2.0", "unsupported canonical schema_version: ", F.coalesce(at(record, "$.schema_version"), F.lit("None"))),
+        _wrong(text("$.schema_version") != "2.0", "unsupported canonical schema_version: ", F.coalesce(at("$.schema_version"), F.lit("None"))),
         _wrong(~F.array_contains(_terms(tasks), task), "unknown V2 task: ", task),
         _wrong(F.array_contains(_terms(tasks), task) & ~F.array_contains(_listed(tasks, task), capability), "capability ", capability, " does not belong to V2 task ", task),
         _wrong(~shaped("$.scenario"), "V2 scenario must be an object"),
@@ -226,8 +244,8 @@ def v2_errors(record: Column, taxonomy: Taxonomy, formal: bool = True) -> Column
         _wrong(shaped("$.scenario") & secondary.isNotNull() & ~F.array_contains(_listed(taxonomy.get("secondary"), shown), secondary), "scenario.secondary ", secondary, " does not belong to ", shown),
         _wrong(~shaped("$.metadata"), "V2 metadata must be an object"),
         *[enum(n, terms) for n, terms in (taxonomy.get("enums") or {}).items()],
-        _wrong(count.isNotNull() & (F.schema_of_variant(count) != "VOID") & ~whole, "metadata.speaker_count must be a non-negative integer or null"),
-        *[_wrong(formal_row & (F.coalesce(at(record, f"$.metadata.{n}"), F.lit("unknown")) == "unknown"), f"formal V2 sample has unknown core metadata: {n}") for n in taxonomy.get("core_fields") or ()],
+        _wrong((kind(count) != "VOID") & ~whole, "metadata.speaker_count must be a non-negative integer or null"),
+        *[_wrong(formal_row & (F.coalesce(at(f"$.metadata.{n}"), F.lit("unknown")) == "unknown"), f"formal V2 sample has unknown core metadata: {n}") for n in taxonomy.get("core_fields") or ()],
         _wrong(formal_row & (primary == "unknown"), "formal V2 sample has unknown scenario.primary"),
     )
 
