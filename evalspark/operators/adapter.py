@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.operators.schemas import at
+from evalspark.operators.schemas import at, held_readers, held_values
 
 # Tasks by capability, noises, scenarios, splits, and what sources of labels are called.
 RECOGNITION = ("asr", "long_form_asr", "speech_translation", "code_switch")
@@ -24,6 +24,9 @@ SPLITS = {"validation": "dev", "valid": "dev", "eval": "test", "evaluation": "te
 SOURCES = {"native": "dataset_native", "rule": "legacy_adapter", "acoustic_model": "acoustic_model", "llm_draft": "llm_draft", "knowledge_verified": "verified_derived", "knowledge_revise": "verified_derived", "knowledge_flagged": "unknown", "human": "human"}
 CORE = ("device_type", "recording_setup", "noise_type", "snr_bucket", "speaker_count", "overlap_level")
 
+#: What of a record of the first schema is looked at.
+PATHS = ("$.task", "$.task_name", "$.capability", "$.scenario", "$.scenario.primary", "$.scenario.secondary", "$.condition", *[f"$.condition.{k}" for k in ("acoustic", "spatial", "speaker", "device")], "$.use_bucket", "$.split")
+
 
 def _map(table: Mapping[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
@@ -48,17 +51,21 @@ def v1_to_v2(rows: DataFrame, record: str, taxonomy: Mapping[str, Sequence[str]]
     taxonomy: the capabilities of each task of the second schema. A record whose task has no counterpart has an error,
     and no task; a formal record with unknown core metadata or scenario is downgraded to coverage_debt.
     """
-    r = F.col(record)
-    text = lambda p: F.coalesce(at(r, p), F.lit(""))
-    kind = lambda p: F.coalesce(F.schema_of_variant(F.try_variant_get(r, p, "variant")), F.lit("VOID"))
-    old_task, old_capability = F.coalesce(at(r, "$.task"), at(r, "$.task_name"), F.lit("")), text("$.capability")
+    r, added = F.col(record), ("_held", "_mine", "_sources")
+    own = F.coalesce(F.try_variant_get(r, "$.metadata", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    # what the columns below name again and again is read once per row
+    rows = rows.withColumns({
+        "_held": held_values(r, PATHS), "_mine": F.map_filter(F.transform_values(own, lambda _, v: at(v, "$")), lambda k, _: k != "metrics"),
+        "_sources": F.coalesce(F.try_variant_get(r, "$.label_meta.sources", "map<string,string>"), F.create_map().cast("map<string,string>")),
+    })
+    mine, sources = F.col("_mine"), F.col("_sources")
+    there_at, kind = held_readers(F.col("_held"), PATHS)
+    text = lambda p: F.coalesce(there_at(p), F.lit(""))
+    old_task, old_capability = F.coalesce(there_at("$.task"), there_at("$.task_name"), F.lit("")), text("$.capability")
     task, capability, kept = _mapped(old_task, old_capability, taxonomy)
-    sources = F.coalesce(F.try_variant_get(r, "$.label_meta.sources", "map<string,string>"), F.create_map().cast("map<string,string>"))
     origin = lambda key: F.coalesce(_map(SOURCES)[F.lower(sources[key])], F.lit("legacy_adapter"))
-    own = F.coalesce(F.try_variant_get(r, "$.metadata", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-    mine = F.map_filter(F.transform_values(own, lambda _, v: at(v, "$")), lambda k, _: k != "metrics")
-    condition = lambda k: at(r, f"$.condition.{k}")
-    acoustic, spatial, speaker, scenario = condition("acoustic"), condition("spatial"), condition("speaker"), at(r, "$.scenario")
+    condition = lambda k: there_at(f"$.condition.{k}")
+    acoustic, spatial, speaker, scenario = condition("acoustic"), condition("spatial"), condition("speaker"), there_at("$.scenario")
     whole = kind("$.scenario").startswith("OBJECT")
     phone = F.coalesce(~whole & (scenario == "phone"), F.lit(False))
     # (field, value that the record's conditions give it, where that comes from, confidence)
@@ -76,15 +83,15 @@ def v1_to_v2(rows: DataFrame, record: str, taxonomy: Mapping[str, Sequence[str]]
         first = F.coalesce(*[F.when(v.isNotNull(), s) for v, s in given], F.when(~there, F.struct(F.lit("unknown").alias("source"), F.lit(0.0).alias("confidence"))))
         origins += [F.lit(name), first]
     metadata = F.map_concat(F.map_filter(mine, lambda k, _: ~k.isin(*CORE)), F.create_map(*values))
-    primary = F.when(whole, F.coalesce(at(r, "$.scenario.primary"), F.lit("unknown"))).when(scenario.isin(*SCENARIOS), scenario).otherwise("unknown")
-    asked = F.coalesce(at(r, "$.use_bucket"), F.lit("diagnostic_evidence"))
+    primary = F.when(whole, F.coalesce(there_at("$.scenario.primary"), F.lit("unknown"))).when(scenario.isin(*SCENARIOS), scenario).otherwise("unknown")
+    asked = F.coalesce(there_at("$.use_bucket"), F.lit("diagnostic_evidence"))
     unknown = F.greatest(*[F.coalesce(values[2 * k + 1], F.lit("unknown")) == "unknown" for k in range(len(CORE))])
     lowered = (asked == "formal_subscores") & ((primary == "unknown") | unknown)
-    split = F.lower(F.coalesce(at(r, "$.split"), F.lit("test")))
+    split = F.lower(F.coalesce(there_at("$.split"), F.lit("test")))
     say = lambda when, *words: F.when(when, F.concat(*[F.lit(w) if isinstance(w, str) else w for w in words]))
     warnings = F.array_distinct(F.array_compact(F.array(
         say(~kept & (task == "speech_generation_delivery"), "legacy speech_output capability retained as an evaluation dimension"),
-        say(at(r, "$.condition").isNotNull() & ~kind("$.condition").startswith("OBJECT"), "legacy condition was not an object"),
+        say(there_at("$.condition").isNotNull() & ~kind("$.condition").startswith("OBJECT"), "legacy condition was not an object"),
         say(spatial.isNotNull() & ~spatial.isin("near_field", "far_field"), "legacy spatial value retained only in legacy: ", spatial),
         say(acoustic.isNotNull() & _map(NOISES)[acoustic].isNull(), "ambiguous legacy acoustic value retained: ", acoustic),
         say(speaker.isNotNull() & (speaker != "single_speaker"), "legacy speaker value retained only in legacy: ", speaker),
@@ -96,6 +103,6 @@ def v1_to_v2(rows: DataFrame, record: str, taxonomy: Mapping[str, Sequence[str]]
     error = error.when(task.isNull(), F.concat(F.lit("cannot map legacy task/capability without evidence: "), old_task, F.lit("/"), old_capability))
     return rows.withColumns({
         "task": task, "capability": F.when(task.isNotNull(), capability), "capability_protocol": F.concat(task, F.lit("/"), capability, F.lit("@1")),
-        "primary": primary, "secondary": F.when(whole, at(r, "$.scenario.secondary")), "metadata": metadata, "provenance": F.map_filter(F.create_map(*origins), lambda _, v: v.isNotNull()),
+        "primary": primary, "secondary": F.when(whole, there_at("$.scenario.secondary")), "metadata": metadata, "provenance": F.map_filter(F.create_map(*origins), lambda _, v: v.isNotNull()),
         "use_bucket": F.when(lowered, "coverage_debt").otherwise(asked), "split": F.coalesce(_map(SPLITS)[split], split), "warnings": warnings, "error": error,
-    })
+    }).drop(*added)

@@ -28,18 +28,26 @@ def at(record: Column, path: str) -> Column:
     return F.when(~shown.isin("", "[]"), shown)
 
 
-def opened(record: Column, paths: Sequence[str], body: Callable[[Callable[[str], Column], Callable[[str], Column]], Column]) -> Column:
-    """body(text, kind) of two functions from a path to a Column: what `at` gives, and the type (VOID if missing). Every
-    path is read once per row, however often body names it."""
-    paths = list(dict.fromkeys(paths))
+def held_values(record: Column, paths: Sequence[str]) -> Column:
+    """What held_readers read: an array of the paths' types (VOID if missing) and of what `at` gives."""
 
     def one(value: Column) -> Column:
         kind, text = F.coalesce(F.schema_of_variant(value), F.lit("VOID")), F.try_variant_get(value, "$", "string")
         shown = F.when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
         return F.struct(kind.alias("kind"), F.when(~shown.isin("", "[]"), shown).alias("text"))
 
-    values = let(record, lambda r: F.transform(F.array(*[F.try_variant_get(r, p, "variant") for p in paths]), one))
-    return let(values, lambda held: body(*[lambda p, n=n: F.get(held, F.lit(paths.index(p)))[n] for n in ("text", "kind")]))
+    return let(record, lambda r: F.transform(F.array(*[F.try_variant_get(r, p, "variant") for p in paths]), one))
+
+
+def held_readers(held: Column, paths: Sequence[str]) -> list[Callable[[str], Column]]:
+    """Two functions from a path to a Column of held_values: its text and its type."""
+    return [lambda p, n=n: F.get(held, F.lit(paths.index(p)))[n] for n in ("text", "kind")]
+
+
+def opened(record: Column, paths: Sequence[str], body: Callable[[Callable[[str], Column], Callable[[str], Column]], Column]) -> Column:
+    """body(text, kind) of held_readers: every path is read once per row, however often body names it."""
+    paths = list(dict.fromkeys(paths))
+    return let(held_values(record, paths), lambda held: body(*held_readers(held, paths)))
 
 
 def as_list(record: Column, path: str) -> Column:
